@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn
-from lexigrove.operators.numbering import running_before
+from lexigrove.operators.numbering import locate, running_before
 from lexigrove.session import settle
 
 # Up to this depth each task keeps a heap of the page; beyond it, counts by
@@ -113,6 +113,21 @@ def page_across_sources(df: DataFrame, sources: DataFrame, offset: int, limit: i
     return df.filter(wanted)
 
 
+def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None = None) -> DataFrame:
+    """Records by a bounded list of numbers, pruned by statistics.
+
+    The numbers are literals of the scan, so only row groups and pages that can
+    hold them are read; with the source offsets also only their sources' folders.
+    """
+    found = records.filter(F.col("record_no").isin(record_nos))
+    if offsets is None or not record_nos:
+        return found
+    spark = records.sparkSession
+    positions = spark.createDataFrame([(n,) for n in record_nos], "position bigint")
+    sources = [r["source"] for r in locate(positions, offsets).select("source").distinct().collect()]
+    return found.filter(F.col("source").isin(sources))
+
+
 def by_ids(df: DataFrame, record_nos: list[int], most: int = 30) -> DataFrame:
     return df.filter(F.col("record_no").isin(record_nos[:most]))
 

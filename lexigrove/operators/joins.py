@@ -56,11 +56,10 @@ def topic_points(records: DataFrame, points: DataFrame, assignments: DataFrame)
 
 def uncovered(left: DataFrame, right: DataFrame, key: str = "record_no") -> DataFrame:
     """Keys on one side only, with the side that has them."""
-    a, b = left.select(key), right.select(key)
-    return (
-        a.join(b, key, "left_anti").withColumn("only_in", F.lit("left"))
-        .unionByName(b.join(a, key, "left_anti").withColumn("only_in", F.lit("right")))
-    )
+    a = left.select(key, F.lit(True).alias("in_left"))
+    b = right.select(key, F.lit(True).alias("in_right"))
+    both = a.join(b, key, "full").filter(F.col("in_left").isNull() | F.col("in_right").isNull())
+    return both.select(key, F.when(F.col("in_left"), "left").otherwise("right").alias("only_in"))
 
 
 def domain_of(rows: DataFrame, sources: DataFrame) -> DataFrame:

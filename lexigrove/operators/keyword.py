@@ -70,21 +70,34 @@ def term_totals(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def collection(records: DataFrame) -> DataFrame:
-    """Number of records and mean length, from the metadata alone."""
-    return records.agg(F.count("*").alias("n"), F.avg("token_count").alias("avg_dl"))
+def write_term_stats(index: DataFrame, path: str) -> None:
+    """Term totals in the same folders as the postings."""
+    (
+        term_totals(index).withColumn("folder", term_folder(F.col("term")))
+        .repartition("folder").sortWithinPartitions("folder", "term")
+        .write.option("compression", "zstd").partitionBy("folder").parquet(path)
+    )
+
+
+def read_term_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, df bigint, cf bigint, folder int").parquet(path)
+
+
+def collection(records: DataFrame) -> dict:
+    """Number of records and mean length, from one metadata column."""
+    return records.agg(F.count("*").alias("n"), F.avg("token_count").alias("avg_dl")).first().asDict()
 
 
-def bm25(index: DataFrame, records: DataFrame, terms: Sequence[str],
+def bm25(index: DataFrame, term_stats: DataFrame, size: dict, terms: Sequence[str],
          allowed: DataFrame | None = None, require_all: bool = False) -> DataFrame:
     """Scores of every record with at least one (or every) query word.
 
     A metadata filter (``allowed``) decides which records may match. It changes
-    no score: frequencies and lengths are those of the whole collection.
+    no score: frequencies and lengths are those of the whole collection. Both
+    come from stored tables; only the postings of the query words are read.
     """
     hits = for_terms(index, terms)
-    frequencies = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
-    size = collection(records).first()
+    frequencies = {r["term"]: r["df"] for r in for_terms(term_stats, terms).select("term", "df").collect()}
     if not frequencies:
         return index.select("record_no", F.lit(0.0).alias("score")).limit(0)
     weight = F.lit(0.0)
@@ -167,9 +180,9 @@ def phrase(records: DataFrame, index: DataFrame, terms: Sequence[str]) -> DataFr
     return starts.filter(F.col("votes") == len(terms)).groupBy("record_no").agg(F.count("*").alias("places"))
 
 
-def document_stats(index: DataFrame, records: DataFrame) -> DataFrame:
+def document_stats(index: DataFrame, size: dict) -> DataFrame:
     """Per term: df, cf, idf over the whole collection."""
-    n = F.lit(float(collection(records).first()["n"]))
+    n = F.lit(float(size["n"]))
     return term_totals(index).select(
         "term", "df", "cf",
         F.round(F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)), SCORE_DIGITS).alias("idf"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexigrove.session import settle
 
-RANGE_WIDTH = 1_000_000
+RANGE_WIDTH = 200_000
 
 
 def running_before(value: str, order: list, partition: list | None = None):

@@ -27,11 +27,12 @@ def allowed_only(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
     return rows if allowed is None else rows.join(allowed.select("record_no"), "record_no", "left_semi")
 
 
-def exact_scores(vectors: DataFrame, query: Sequence[float], allowed: DataFrame | None = None) -> DataFrame:
+def exact_scores(vectors: DataFrame, query: Sequence[float], allowed: DataFrame | None = None,
+                 digits: int = SCORE_DIGITS) -> DataFrame:
     """Cosine of every usable, allowed vector with the query."""
     usable = allowed_only(vectors.filter(vec.is_usable(F.col("vec"))), allowed)
     return usable.select(
-        "record_no", F.round(vec.cosine_with(query)(F.col("vec")), SCORE_DIGITS).alias("score"))
+        "record_no", F.round(vec.cosine_with(query)(F.col("vec")), digits).alias("score"))
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:
@@ -73,7 +74,8 @@ def training_sample(vectors: DataFrame, size: int, seed: int = fixed.SEED) -> Da
         narrowed = usable.filter(F.substring(order, 1, 8) <= cut)
         if narrowed.count() >= size:
             usable = narrowed
-    return usable.orderBy(order, "record_no").limit(size)
+    chosen = usable.select("record_no").orderBy(order, "record_no").limit(size)
+    return usable.join(chosen, "record_no", "left_semi")
 
 
 def train_cells(sample: DataFrame, cells: int, seed: int = fixed.SEED, rounds: int = 20) -> DataFrame:
@@ -155,9 +157,9 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("record_no bigint, code array<smallint>, cell bigint").parquet(path)
 
 
-def probed(query: Sequence[float], centroids: DataFrame, probes: int) -> list[int]:
+def probed(query: Sequence[float], centroids: tuple[list[int], list[list[float]]], probes: int) -> list[int]:
     """The cells nearest to the query, from the fixed-size centroid table."""
-    ids, table = small_table(centroids)
+    ids, table = centroids
     matrix = np.asarray(table)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     scores = matrix @ np.asarray(query)
@@ -171,10 +173,11 @@ def candidates(cells: DataFrame, score: Column, chosen: Sequence[int], allowed:
     return top(rows.select("record_no", score.alias("score")), limit)
 
 
-def rescored(found: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
+def rescored(found: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int,
+             digits: int = SCORE_DIGITS) -> DataFrame:
     """Exact cosines for candidates, so no quantisation error is returned."""
     originals = vectors.join(found.select("record_no"), "record_no", "left_semi")
-    return top(exact_scores(originals, query), limit)
+    return top(exact_scores(originals, query, digits=digits), limit)
 
 
 # --- product codes ---------------------------------------------------------------
@@ -209,8 +212,7 @@ def product_codes(vectors: DataFrame, books: Sequence[Sequence[Sequence[float]]]
             block = rows[:, part * width:(part + 1) * width]
             distance = (table ** 2).sum(axis=1) - 2 * block @ table.T
             codes[:, part] = distance.argmin(axis=1)
-        offsets = np.arange(0, codes.size + 1, len(tables), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))
+        return vec._lists(codes)
 
     usable = vectors.filter(vec.is_usable(F.col("vec")))
     return usable.withColumn("code", encode(vec.normalised(F.col("vec"))))
@@ -240,10 +242,11 @@ def self_retrieval(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame
     from pyspark.sql import Window as W
 
     asked = training_sample(vectors, queries, seed).select("record_no", "vec").collect()
+    table = small_table(centroids)
     pairs = []
     for row in asked:
         unit = np.asarray(row["vec"]) / np.linalg.norm(row["vec"])
-        for cell in probed(unit, centroids, probes):
+        for cell in probed(unit, table, probes):
             pairs.append((row["record_no"], cell))
     spark = vectors.sparkSession
     plan = spark.createDataFrame(pairs, "query bigint, cell bigint")

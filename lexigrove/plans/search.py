@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
-from lexigrove.operators import encoding, keyword, selection, similarity
+from lexigrove.operators import browse, encoding, keyword, selection, similarity
 from lexigrove.session import settle
 
 
@@ -45,7 +45,7 @@ def build_index(vectors: DataFrame, path: str, sample_size: int = 160_000, cells
 def index_candidates(index: VectorIndex, query: list[float], allowed: DataFrame | None,
                      probes: int = 512, limit: int = fixed.IVF_CANDIDATES) -> DataFrame:
     score = similarity.decoder(query, index.low, index.high)(F.col("code"))
-    chosen = similarity.probed(query, index.centroids, probes)
+    chosen = similarity.probed(query, similarity.small_table(index.centroids), probes)
     return similarity.candidates(index.cells, score, chosen, allowed, limit)
 
 
@@ -59,11 +59,12 @@ def use_exact(allowed: DataFrame | None, index: VectorIndex | None,
 
 
 def semantic_candidates(vectors: DataFrame, query: list[float], allowed: DataFrame | None,
-                        index: VectorIndex | None, limit: int = fixed.RERANK_CANDIDATES) -> DataFrame:
+                        index: VectorIndex | None, limit: int = fixed.RERANK_CANDIDATES,
+                        digits: int = similarity.SCORE_DIGITS) -> DataFrame:
     if use_exact(allowed, index):
-        return similarity.top(similarity.exact_scores(vectors, query, allowed), limit)
+        return similarity.top(similarity.exact_scores(vectors, query, allowed, digits), limit)
     found = index_candidates(index, query, allowed, limit=max(fixed.IVF_CANDIDATES, 2 * limit))
-    return similarity.rescored(found, vectors, query, limit)
+    return similarity.rescored(found, vectors, query, limit, digits)
 
 
 def adaptive_candidates(index: VectorIndex, query: list[float], allowed: DataFrame | None,
@@ -78,19 +79,20 @@ def adaptive_candidates(index: VectorIndex, query: list[float], allowed: DataFra
         probes = min(probes * 4, total)
 
 
-def hybrid(vectors: DataFrame, postings: DataFrame, vocabulary: DataFrame, text: str,
+def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text: str,
            allowed: DataFrame | None = None, index: VectorIndex | None = None,
            candidates: int = fixed.RERANK_CANDIDATES, keep: int = fixed.MAX_RESULTS) -> DataFrame:
     """Candidates by document cosine, reranked with concept coverage.
 
-    The words of the candidates come from the postings, so no text is read or
-    split again; the candidate list is bounded and leads the join.
+    Only the texts of the candidates are read: their number is bounded, so their
+    record numbers go into the scan as literals, which prunes row groups and pages.
     """
     query = encoding.query_vector(check_query(text), vocabulary)
     if query is None:
         raise ValueError("No word of the query is in the vocabulary")
-    found = settle(semantic_candidates(vectors, query, allowed, index, candidates))
-    words = postings.join(found.select("record_no"), "record_no", "left_semi")
+    found = settle(semantic_candidates(vectors, query, allowed, index, candidates, digits=12))
+    numbers = [r["record_no"] for r in found.select("record_no").collect()]
+    words = encoding.word_counts(browse.lookup(records, numbers))
     covered = encoding.concept_coverage(words, found, text, vocabulary)
     blended = found.join(covered, "record_no").select(
         "record_no", F.round(
@@ -107,8 +109,8 @@ def semantic_page(results: DataFrame, records: DataFrame, offset: int, limit: in
         records.select("record_no", "id", "source", "domain", "token_count"), "record_no")
 
 
-def keyword_search(postings: DataFrame, records: DataFrame, text: str, filters: dict[str, Any],
-                   topics: DataFrame | None = None, require_all: bool = False) -> DataFrame:
+def keyword_search(postings: DataFrame, term_stats: DataFrame, size: dict, records: DataFrame, text: str,
+                   filters: dict[str, Any], topics: DataFrame | None = None, require_all: bool = False) -> DataFrame:
     """Scores of all matching records under metadata filters."""
     allowed = selection.eligible(records, filters, topics)
-    return keyword.bm25(postings, records, keyword.query_terms(check_query(text)), allowed, require_all)
+    return keyword.bm25(postings, term_stats, size, keyword.query_terms(check_query(text)), allowed, require_all)

@@ -81,13 +81,11 @@ class Workspace:
     def records(self) -> DataFrame:
         """Numbered records, one folder per corpus and source."""
         path = scratch(self.spark, "records")
-        rows = described(self.spark, self.folder)
-        # Only the keys are numbered; texts do not take part in that shuffle.
-        numbers = numbering.dense_numbers(rows.select("source", "doc_id"), "source", "doc_id")
-        numbered = rows.join(numbers, ["source", "doc_id"])
-        write_partitioned(
-            numbered, path, ["corpus", "source"],
-            F.floor(F.col("source_row") / numbering.RANGE_WIDTH))
+        # One shuffle by (source, range) numbers the rows and is also the layout of
+        # the files: a dominant source is many ranges, hence many tasks and files,
+        # each sorted by record number for page pruning.
+        numbered = numbering.dense_numbers(described(self.spark, self.folder), "source", "doc_id")
+        write_partitioned(numbered, path, ["corpus", "source"])
         return self.spark.read.schema(RECORD_SCHEMA).parquet(path)
 
     @cached_property
@@ -96,6 +94,17 @@ class Workspace:
         keyword.write_postings(self.records, path)
         return keyword.read_postings(self.spark, path)
 
+    @cached_property
+    def term_stats(self) -> DataFrame:
+        path = scratch(self.spark, "term-stats")
+        keyword.write_term_stats(self.postings, path)
+        return keyword.read_term_stats(self.spark, path)
+
+    @cached_property
+    def collection(self) -> dict:
+        """Number of records and mean length."""
+        return keyword.collection(self.records)
+
     @cached_property
     def sources(self) -> DataFrame:
         """Catalog rows per corpus and source (catalog-sized)."""
@@ -124,7 +133,7 @@ class Workspace:
         """The most frequent words with an unweighted vector each."""
         from pyspark.sql import Window as W
 
-        top = keyword.term_totals(self.postings).orderBy(F.desc("cf"), F.asc("term")).limit(VOCABULARY_SIZE)
+        top = self.term_stats.orderBy(F.desc("cf"), F.asc("term")).limit(VOCABULARY_SIZE)
         ranked = top.select(
             F.col("term").alias("word"),
             F.row_number().over(W.orderBy(F.desc("cf"), F.asc("term"))).cast("long").alias("rank"))
@@ -174,9 +183,9 @@ class Workspace:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        """Document vectors of whole texts, from the postings."""
-        counts = self.postings.select("record_no", "term", "tf")
-        return self._stored(encoding.encode_counts(counts, self.records, self.vocabulary), "encoded")
+        """Document vectors of whole texts. Built from texts, not from postings:
+        there a record's words lie together, so only one row per record moves."""
+        return self._stored(encoding.encode_documents(self.records, self.vocabulary), "encoded")
 
     @cached_property
     def index(self):

@@ -35,18 +35,29 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return result
 
 
-def per_source_files(spark: SparkSession, globs: dict[str, list[str]], expected: DataFrame) -> DataFrame:
-    """One DataFrame over the file lists of all sources.
+def per_source_files(spark: SparkSession, globs: dict[str, list[str]], expected: DataFrame,
+                     schema: T.StructType) -> DataFrame:
+    """One scan over the file lists of all sources.
 
     The declared sources must equal the catalog's, otherwise nothing is read.
+    Globs are resolved by listing only; a small file → source table then names
+    the rows of the single scan.
     """
     declared = spark.createDataFrame([(s,) for s in sorted(globs)], "source string")
     wanted = expected.select("source").distinct()
     if not declared.exceptAll(wanted).isEmpty() or not wanted.exceptAll(declared).isEmpty():
         raise ValueError("Input sources differ from the catalog")
-    return union_by_name([
-        with_position(spark, paths).withColumn("source", F.lit(source)) for source, paths in sorted(globs.items())
-    ])
+    files = [
+        (path, source) for source, paths in sorted(globs.items())
+        for path in spark.read.schema(schema).parquet(*paths).inputFiles()
+    ]
+    plain = F.regexp_replace("file_path", "^file:/+", "/")  # both spellings of a local path
+    names = spark.createDataFrame(files, "file_path string, source string").withColumn("file_path", plain)
+    rows = spark.read.schema(schema).parquet(*[path for path, _ in files])
+    return rows.select(
+        *[f for f in schema.names if f != "source"],
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"),
+    ).withColumn("file_path", plain).join(names, "file_path")
 
 
 def optional_annotations(spark: SparkSession, path: str | None) -> DataFrame:

@@ -10,31 +10,31 @@ TAG_SCHEMA = "record_no bigint, tag string, saved_at timestamp_ntz, event_id big
 
 
 def upsert(spark: SparkSession, inbox: str, store: str, checkpoint: str, files_per_batch: int = 100) -> None:
-    """Merges each batch into versioned tables ``store/v=<batch>``.
+    """Appends the newest write per record of each batch under ``store/batch=<n>``.
 
-    Every batch writes a new version from the previous one plus its own rows; a
-    repeated batch overwrites its own version only, so retries change nothing.
-    No state grows inside the stream.
+    A repeated batch overwrites only its own folder, so retries change nothing,
+    and the cost of a batch does not depend on what is stored already. No state
+    grows inside the stream. Removals are kept as empty tags, so an older write
+    can never bring a tag back.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        rows = batch.select(tags.TAG_COLUMNS)
-        if number > 0:
-            before = session.read.schema(TAG_SCHEMA).parquet(f"{store}/v={number - 1}")
-            rows = before.unionByName(rows)
-        # Removals stay as empty tags, so an older write can never bring one back.
-        tags.latest(rows).write.mode("overwrite").parquet(f"{store}/v={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        tags.latest(batch.select(tags.TAG_COLUMNS)).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     query = (
         spark.readStream.schema(TAG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
-        .writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        .writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def current(spark: SparkSession, store: str) -> DataFrame:
-    """The newest version, without removed tags."""
-    versions = spark.read.option("basePath", store).schema(TAG_SCHEMA + ", v bigint").parquet(store)
-    newest = versions.select("v").agg(F.max("v")).first()[0]
-    return versions.filter((F.col("v") == newest) & (F.col("tag") != "")).drop("v")
+    """Live tags: the newest write per record over all batches."""
+    return tags.live(spark.read.schema(TAG_SCHEMA + ", batch bigint").parquet(store).select(tags.TAG_COLUMNS))
+
+
+def compact(spark: SparkSession, store: str, target: str) -> None:
+    """Folds all batches into one folder of another store; removals stay."""
+    rows = spark.read.schema(TAG_SCHEMA + ", batch bigint").parquet(store)
+    last = rows.agg(F.max("batch")).first()[0]
+    tags.latest(rows.select(tags.TAG_COLUMNS)).write.mode("overwrite").parquet(f"{target}/batch={last}")

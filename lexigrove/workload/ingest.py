@@ -50,7 +50,9 @@ def _source_files(w: Workspace) -> str:
 def scan_multi_file_source(w: Workspace) -> DataFrame:
     path = _source_files(w)
     names = [r["source"] for r in w.source_table.select("source").collect()]
-    rows = tables.per_source_files(w.spark, {s: [f"{path}/source={s}"] for s in names}, w.source_table)
+    rows = tables.per_source_files(
+        w.spark, {s: [f"{path}/source={s}/*.parquet"] for s in names}, w.source_table,
+        documents(w.spark, w.folder).schema)
     return rows.select("source", "doc_id", F.char_length("text").cast("long").alias("chars"))
 
 
@@ -262,7 +264,7 @@ SEARCH = ["the", "market", "dans", "orre"]
 
 
 def _hits(w: Workspace) -> DataFrame:
-    return keyword.best(keyword.bm25(w.postings, w.records, SEARCH), 100)
+    return keyword.best(keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH), 100)
 
 
 HITS = """

@@ -30,12 +30,12 @@ def index_postings(w: Workspace) -> DataFrame:
       round(ln(1 + ((SELECT count(*) FROM records) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
     FROM postings GROUP BY term""", "postings records")
 def index_doc_stats(w: Workspace) -> DataFrame:
-    return keyword.document_stats(w.postings, w.records)
+    return keyword.document_stats(w.postings, w.collection)
 
 
 @query("search_bm25", hits_sql(SEARCH), "postings records")
 def search_bm25(w: Workspace) -> DataFrame:
-    return keyword.bm25(w.postings, w.records, SEARCH)
+    return keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH)
 
 
 _FILTER = {"domain": "News", "min_tokens": 100}
@@ -44,7 +44,7 @@ _WHERE = "AND record_no IN (SELECT record_no FROM records WHERE domain = 'News'
 
 @query("search_bm25_filtered", hits_sql(SEARCH, _WHERE), "postings records")
 def search_bm25_filtered(w: Workspace) -> DataFrame:
-    return search.keyword_search(w.postings, w.records, " ".join(SEARCH), _FILTER)
+    return search.keyword_search(w.postings, w.term_stats, w.collection, w.records, " ".join(SEARCH), _FILTER)
 
 
 @query("search_phrase", """
@@ -60,13 +60,14 @@ def search_phrase(w: Workspace) -> DataFrame:
 
 @query("search_require_all", hits_sql(["the", "de", "in"], having="HAVING count(*) = 3"), "postings records")
 def search_require_all(w: Workspace) -> DataFrame:
-    return keyword.bm25(w.postings, w.records, ["the", "de", "in"], require_all=True)
+    return keyword.bm25(w.postings, w.term_stats, w.collection, ["the", "de", "in"], require_all=True)
 
 
 @query("search_by_topic", hits_sql(SEARCH, "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 2)"),
        "postings records assigned")
 def search_by_topic(w: Workspace) -> DataFrame:
-    return search.keyword_search(w.postings, w.records, " ".join(SEARCH), {"topic_id": 2}, w.assignments)
+    return search.keyword_search(
+        w.postings, w.term_stats, w.collection, w.records, " ".join(SEARCH), {"topic_id": 2}, w.assignments)
 
 
 @query("search_page", f"""
@@ -74,7 +75,7 @@ def search_by_topic(w: Workspace) -> DataFrame:
       SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total
       FROM ({hits_sql(SEARCH)})) WHERE rank > 30 AND rank <= 60""", "postings records")
 def search_page(w: Workspace) -> DataFrame:
-    return keyword.search_page(keyword.bm25(w.postings, w.records, SEARCH), 30)
+    return keyword.search_page(keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH), 30)
 
 
 @query("search_with_snippet", f"""
@@ -82,7 +83,7 @@ def search_page(w: Workspace) -> DataFrame:
       SELECT r.*, h.score, {snippet_start(SEARCH)} AS start FROM ({TOP100}) h JOIN records r ON r.record_no = h.record_no)""",
        "postings records")
 def search_with_snippet(w: Workspace) -> DataFrame:
-    top = keyword.best(keyword.bm25(w.postings, w.records, SEARCH), 100)
+    top = keyword.best(keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH), 100)
     return keyword.with_snippets(top, w.records, SEARCH)
 
 
@@ -304,14 +305,14 @@ def concept_coverage(w: Workspace) -> DataFrame:
 
 def _hybrid(where: str = "", keep: int = 300) -> str:
     return f"""SELECT e.record_no, round(0.45 * e.score + 0.55 * c.coverage, 6) AS score FROM (
-        SELECT record_no, round(list_cosine_similarity(vec, q), 6) AS score FROM {ENCODED}, {_QUERY_UNIT}
+        SELECT record_no, round(list_cosine_similarity(vec, q), 12) AS score FROM {ENCODED}, {_QUERY_UNIT}
         WHERE list_dot_product(vec, vec) > 0 {where} ORDER BY score DESC, record_no LIMIT 1200) e
       JOIN {COVERAGE} c ON e.record_no = c.record_no ORDER BY score DESC, e.record_no LIMIT {keep}"""
 
 
 @query("search_hybrid_rerank", f"SELECT record_no, score FROM ({_hybrid()})", "records postings vocab")
 def search_hybrid_rerank(w: Workspace) -> DataFrame:
-    return search.hybrid(w.encoded, w.postings, w.vocabulary, TEXT)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT)
 
 
 @query("semantic_page", f"""
@@ -319,7 +320,7 @@ def search_hybrid_rerank(w: Workspace) -> DataFrame:
       SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total FROM ({_hybrid()})) h
     JOIN records r ON r.record_no = h.record_no WHERE rank > 30 AND rank <= 60""", "records postings vocab")
 def semantic_page(w: Workspace) -> DataFrame:
-    results = settle(search.hybrid(w.encoded, w.postings, w.vocabulary, TEXT))
+    results = settle(search.hybrid(w.encoded, w.records, w.vocabulary, TEXT))
     return search.semantic_page(results, w.records, 30)
 
 
@@ -329,7 +330,7 @@ _TOPIC = "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 5)"
 @query("semantic_by_topic", f"SELECT record_no, score FROM ({_hybrid(_TOPIC)})", "records postings vocab assigned")
 def semantic_by_topic(w: Workspace) -> DataFrame:
     allowed = selection.eligible(w.records, {"topic_id": 5}, w.assignments)
-    return search.hybrid(w.encoded, w.postings, w.vocabulary, TEXT, allowed)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, allowed)
 
 
 @query("validate_self_retrieval")
