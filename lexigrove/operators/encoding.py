@@ -1,16 +1,26 @@
-"""Document and query vectors from weighted word vectors."""
+"""Document and query vectors from weighted word vectors.
+
+A word-vector vocabulary is a model artefact of fixed size. Its size is checked:
+within the bound it is broadcast once and every task encodes its own records in
+Arrow batches, so texts are neither joined nor shuffled. Beyond the bound the
+words are joined with the vocabulary and summed by record.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
-from lexigrove.session import settle
 
-# A vocabulary of a word-vector model has a fixed size; up to this many bytes
-# every task may hold it, beyond that the words are joined with a shuffle.
 VOCABULARY_BYTES = 512 * 1024 * 1024
+TOKENS_PER_BLOCK = 16_384
 
 
 def weighted_vocabulary(raw: DataFrame, offset: int = fixed.VOCAB_RANK_OFFSET) -> DataFrame:
@@ -31,109 +41,144 @@ def dimensions(vocabulary: DataFrame) -> int:
     return row["n"] if row else 0
 
 
-def _shared(vocabulary: DataFrame, size: int) -> DataFrame:
-    """Broadcast the vocabulary only if its counted size is within the bound."""
-    rows = vocabulary.count()
-    return F.broadcast(vocabulary) if rows * (size * 8 + 64) <= VOCABULARY_BYTES else vocabulary
+@dataclass
+class Words:
+    """A vocabulary in the form tasks use: words and one matrix."""
 
+    words: pa.Array
+    table: np.ndarray
 
-def summed(weighted_words: DataFrame, key: str, vocabulary: DataFrame, size: int) -> DataFrame:
-    """``key, term, tf`` → sum of word vectors per key.
 
-    One plain sum per dimension keeps the aggregation in Tungsten's binary
-    buffers. All words of a record are in one task, so the partial aggregate
-    already yields one row per record and the shuffle moves only that row.
-    """
-    words = weighted_words.join(
-        _shared(vocabulary.select("word", "vec"), size), F.col("term") == F.col("word"))
-    sums = words.groupBy(key).agg(*[
-        F.sum(F.get("vec", F.lit(i)) * F.col("tf")).alias(f"d{i}") for i in range(size)
-    ])
-    return sums.select(key, F.array(*[f"d{i}" for i in range(size)]).alias("total"))
+def shared(vocabulary: DataFrame, size: int, bound: int = VOCABULARY_BYTES) -> Broadcast | None:
+    """The vocabulary as a broadcast, or ``None`` if its counted size is over the bound."""
+    if vocabulary.count() * (size * 8 + 64) > bound:
+        return None
+    rows = vocabulary.select("word", "vec").toArrow()
+    table = rows["vec"].combine_chunks()
+    matrix = table.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+    return vocabulary.sparkSession.sparkContext.broadcast(Words(rows["word"].combine_chunks(), matrix))
 
 
-def encode_counts(counts: DataFrame, records: DataFrame, vocabulary: DataFrame, key: str = "record_no") -> DataFrame:
-    """Unit document vectors; a record without a known word gets a zero vector."""
-    size = dimensions(vocabulary)
-    totals = summed(counts, key, vocabulary, size)
-    zero = F.array_repeat(F.lit(0.0), size)
-    return records.select(key).join(totals, key, "left").select(
-        key, vec.normalised(F.coalesce("total", zero)).alias("vec"))
+def _known(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and vocabulary index of every known word of a batch, in row order."""
+    lengths = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
+    found = pc.index_in(tokens.flatten().cast(words.type), value_set=words)
+    keep = found.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(tokens)), lengths)[keep]
+    return rows, found.drop_null().to_numpy(zero_copy_only=False)
 
 
-def word_counts(records: DataFrame, key: str = "record_no") -> DataFrame:
-    tokens = records.select(key, text_fn.words(F.col("text")).alias("w"))
-    return tokens.select(key, F.explode(text_fn.term_counts(F.col("w"))).alias("t")).select(key, "t.term", "t.tf")
+def _fold(tokens: pa.Array, words: pa.Array, table: np.ndarray, fold: np.ufunc, start: float) -> np.ndarray:
+    """Folds the table rows of all words of each record."""
+    rows, index = _known(tokens, words)
+    out = np.full((len(tokens), table.shape[1]), start)
+    for begin in range(0, len(rows), TOKENS_PER_BLOCK):
+        part = rows[begin:begin + TOKENS_PER_BLOCK]
+        edges = np.flatnonzero(np.diff(part, prepend=-1))
+        folded = fold.reduceat(table[index[begin:begin + TOKENS_PER_BLOCK]], edges, axis=0)
+        out[part[edges]] = fold(out[part[edges]], folded)
+    return out
+
+
+def encoder(vocabulary: Broadcast):
+    """Arrow function: word lists → unit vectors; zero without a known word."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(tokens: pa.Array) -> pa.Array:
+        v = vocabulary.value
+        total = _fold(tokens, v.words, v.table, np.add, 0.0)
+        return vec._lists(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12))
+
+    return encode
+
+
+def _joined(tokens: DataFrame, key: str, vocabulary: DataFrame, size: int) -> DataFrame:
+    """The same for a vocabulary too large to broadcast: join, then one sum per dimension."""
+    words = tokens.select(key, F.explode(text_fn.term_counts(F.col("tokens"))).alias("t")).join(
+        vocabulary.select("word", "vec"), F.col("t.term") == F.col("word"))
+    sums = words.groupBy(key).agg(*[
+        F.sum(F.get("vec", F.lit(i)) * F.col("t.tf")).alias(f"d{i}") for i in range(size)
+    ])
+    total = sums.select(key, F.array(*[f"d{i}" for i in range(size)]).alias("total"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    return tokens.select(key).join(total, key, "left").select(
+        key, vec.normalised(F.coalesce("total", zero)).alias("vec"))
 
 
-def encode_documents(records: DataFrame, vocabulary: DataFrame, key: str = "record_no") -> DataFrame:
-    """Whole texts → unit vectors."""
-    return encode_counts(word_counts(records, key), records, vocabulary, key)
+def encode_documents(records: DataFrame, vocabulary: DataFrame, key: str = "record_no",
+                     bound: int = VOCABULARY_BYTES) -> DataFrame:
+    """Whole texts → unit document vectors."""
+    size = dimensions(vocabulary)
+    tokens = records.select(key, text_fn.words(F.col("text")).alias("tokens"))
+    words = shared(vocabulary, size, bound)
+    if words is None:
+        return _joined(tokens, key, vocabulary, size)
+    return tokens.select(key, encoder(words)(F.col("tokens")).alias("vec"))
 
 
 def encode_long_documents(records: DataFrame, vocabulary: DataFrame,
                           chars: int = fixed.PART_CHARS, key: str = "record_no") -> DataFrame:
-    """Texts in parts: each part becomes a unit vector, parts are added by length.
-
-    The parts of one text are encoded by different tasks, so a huge text does
-    not hold up its neighbours.
-    """
+    """Texts in parts: each part becomes a unit vector, parts are added by length."""
     size = dimensions(vocabulary)
     parts = records.select(key, F.posexplode(text_fn.text_parts(F.col("text"), chars)).alias("part", "text"))
-    parts = parts.withColumn("part_key", F.concat_ws(":", F.col(key).cast("string"), F.col("part").cast("string")))
-    lengths = parts.select("part_key", key, F.char_length("text").alias("chars"))
-    encoded = encode_documents(parts, vocabulary, "part_key")
-    weighted = encoded.join(lengths, "part_key")
-    sums = weighted.groupBy(key).agg(*[
-        F.sum(F.get("vec", F.lit(i)) * F.col("chars")).alias(f"d{i}") for i in range(size)
+    parts = parts.withColumn("place", F.struct(F.col(key), F.col("part"), F.char_length("text").alias("chars")))
+    encoded = encode_documents(parts, vocabulary, "place")
+    sums = encoded.groupBy(F.col(f"place.{key}").alias(key)).agg(*[
+        F.sum(F.get("vec", F.lit(i)) * F.col("place.chars")).alias(f"d{i}") for i in range(size)
     ])
     return sums.select(key, vec.normalised(F.array(*[f"d{i}" for i in range(size)])).alias("vec"))
 
 
-def query_vector(text: str, vocabulary: DataFrame) -> list[float] | None:
-    """Unit vector of a query; ``None`` if no word is known."""
-    spark = vocabulary.sparkSession
-    one = spark.createDataFrame([(0, text)], "record_no bigint, text string")
-    row = encode_documents(one, vocabulary).filter(vec.is_usable(F.col("vec"))).first()
-    return list(row["vec"]) if row else None
+@dataclass
+class Query:
+    """Known words of a query: how often each occurs and its weighted vector."""
 
+    words: list[str]
+    counts: list[int]
+    vectors: np.ndarray
 
-def query_words(text: str, vocabulary: DataFrame) -> DataFrame:
-    """Known query words with unit vectors and weights; bounded by the query."""
+    def vector(self) -> list[float]:
+        total = np.asarray(self.counts, dtype=np.float64) @ self.vectors
+        return [float(x) for x in total / max(float(np.linalg.norm(total)), 1e-12)]
+
+
+def query_of(text: str, vocabulary: DataFrame) -> Query | None:
+    """Looks up the few words of a query; ``None`` if none is known."""
     spark = vocabulary.sparkSession
-    words = spark.createDataFrame([(text,)], "q string").select(
-        F.explode(F.array_distinct(text_fn.words(F.col("q")))).alias("word"))
-    known = vocabulary.join(F.broadcast(words), "word", "left_semi")
-    return settle(known.select(
-        F.col("word").alias("query_word"), vec.norm(F.col("vec")).alias("query_weight"),
-        vec.normalised(F.col("vec")).alias("query_vec")))
+    row = spark.createDataFrame([(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
+    asked = list(row["w"])
+    found = {r["word"]: r["vec"] for r in vocabulary.filter(F.col("word").isin(asked)).collect()}
+    known = [w for w in dict.fromkeys(asked) if w in found]
+    if not known:
+        return None
+    return Query(known, [asked.count(w) for w in known], np.asarray([found[w] for w in known]))
 
 
-def concept_coverage(words: DataFrame, records: DataFrame, text: str, vocabulary: DataFrame,
-                     key: str = "record_no") -> DataFrame:
+def query_vector(text: str, vocabulary: DataFrame) -> list[float] | None:
+    """Unit vector of a query; ``None`` if no word is known."""
+    query = query_of(text, vocabulary)
+    return query.vector() if query else None
+
+
+def concept_coverage(query: Query, vocabulary: DataFrame, tokens: Column,
+                     bound: int = VOCABULARY_BYTES) -> Column:
     """How well the known words of a record cover the words of a query.
 
     For each query word the best cosine to any word of the record, clipped to
-    0..1, averaged with the query words' weights. Similarities are computed per
-    vocabulary word, not per record, and looked up by word.
+    0..1, averaged with the query words' weights. The cosines of all vocabulary
+    words to the query words are computed once and broadcast.
     """
-    asked = query_words(text, vocabulary)
-    if asked.isEmpty():
-        raise ValueError("No word of the query is in the vocabulary")
-    concepts = asked.orderBy("query_word").collect()  # at most the words of one query
-    targets = F.array(*[
-        F.struct(F.lit(c["query_word"]).alias("query_word"), F.lit(c["query_weight"]).alias("query_weight"))
-        for c in concepts
-    ])
-    to_query = vec.cosines_with([c["query_vec"] for c in concepts])
-    similar = vocabulary.select("word", F.posexplode(to_query(F.col("vec"))).alias("i", "cosine"))
-    similar = settle(similar.select(
-        "word", F.get(targets, F.col("i")).alias("t"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cosine"))).alias("similarity"),
-    ).select("word", "t.query_word", "t.query_weight", "similarity"))
-    best = words.select(key, "term").join(similar, F.col("term") == F.col("word")).groupBy(
-        key, "query_word", "query_weight").agg(F.max("similarity").alias("best"))
-    mean = best.groupBy(key).agg(
-        F.sum(F.col("best") * F.col("query_weight")).alias("s"), F.sum("query_weight").alias("w"))
-    return records.select(key).join(mean, key, "left").select(
-        key, F.coalesce(F.col("s") / F.col("w"), F.lit(0.0)).alias("coverage"))
+    if vocabulary.count() * (len(query.words) * 8 + 64) > bound:
+        raise ValueError("The vocabulary is too large to share")
+    weights = np.linalg.norm(query.vectors, axis=1)
+    cosines = vec.cosines_with(query.vectors)
+    rows = vocabulary.select("word", cosines(F.col("vec")).alias("vec")).toArrow()
+    matrix = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    similar = vocabulary.sparkSession.sparkContext.broadcast(Words(rows["word"].combine_chunks(), matrix))
+
+    @F.arrow_udf(T.DoubleType())
+    def coverage(words: pa.Array) -> pa.Array:
+        table = similar.value
+        best = _fold(words, table.words, table.table, np.maximum, 0.0)
+        return pa.array(np.clip(best, 0, 1) @ weights / weights.sum())
+
+    return coverage(tokens)

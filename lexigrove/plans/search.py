@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
+from lexigrove.functions import text as text_fn
 from lexigrove.operators import browse, encoding, keyword, selection, similarity
 from lexigrove.session import settle
 
@@ -87,13 +88,14 @@ def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text:
     Only the texts of the candidates are read: their number is bounded, so their
     record numbers go into the scan as literals, which prunes row groups and pages.
     """
-    query = encoding.query_vector(check_query(text), vocabulary)
+    query = encoding.query_of(check_query(text), vocabulary)
     if query is None:
         raise ValueError("No word of the query is in the vocabulary")
-    found = settle(semantic_candidates(vectors, query, allowed, index, candidates, digits=12))
+    found = settle(semantic_candidates(vectors, query.vector(), allowed, index, candidates, digits=12))
     numbers = [r["record_no"] for r in found.select("record_no").collect()]
-    words = encoding.word_counts(browse.lookup(records, numbers))
-    covered = encoding.concept_coverage(words, found, text, vocabulary)
+    texts = browse.lookup(records, numbers)
+    coverage = encoding.concept_coverage(query, vocabulary, text_fn.words(F.col("text")))
+    covered = texts.select("record_no", coverage.alias("coverage"))
     blended = found.join(covered, "record_no").select(
         "record_no", F.round(
             fixed.COSINE_WEIGHT * F.col("score") + fixed.COVERAGE_WEIGHT * F.col("coverage"), 6).alias("score"))

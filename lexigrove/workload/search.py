@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
-from lexigrove.functions import vectors as vec
+from lexigrove.functions import text as text_fn, vectors as vec
 from lexigrove.operators import audits, browse, catalog, encoding, joins, keyword, selection, similarity, stats, topics
 from lexigrove.plans import build, search, topic_model
 from lexigrove.plans.workspace import UNPUBLISHED, Workspace
@@ -299,8 +299,9 @@ COVERAGE = """(
 
 @query("concept_coverage", f"SELECT record_no, round(coverage, 6) AS coverage FROM {COVERAGE}", "records postings vocab")
 def concept_coverage(w: Workspace) -> DataFrame:
-    covered = encoding.concept_coverage(w.postings, w.records, TEXT, w.vocabulary)
-    return covered.select("record_no", F.round("coverage", 6).alias("coverage"))
+    query_ = encoding.query_of(TEXT, w.vocabulary)
+    coverage = encoding.concept_coverage(query_, w.vocabulary, text_fn.words(F.col("text")))
+    return w.records.select("record_no", F.round(coverage, 6).alias("coverage"))
 
 
 def _hybrid(where: str = "", keep: int = 300) -> str:
