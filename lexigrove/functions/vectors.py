@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-ROWS_PER_PRODUCT = 2048
+SCORES_PER_PRODUCT = 4_000_000
 
 
 def doubles(vector: Column) -> Column:
@@ -134,8 +134,9 @@ def nearest_in(ids: Sequence[int], centroids: Sequence[Sequence[float]]):
         rows = _rows(vectors)
         cell = np.full(len(rows), -1, dtype=np.int64)
         best = np.zeros(len(rows))
-        for start in range(0, len(rows), ROWS_PER_PRODUCT):
-            block = rows[start:start + ROWS_PER_PRODUCT]
+        step = max(64, SCORES_PER_PRODUCT // len(table))
+        for start in range(0, len(rows), step):
+            block = rows[start:start + step]
             sizes = np.linalg.norm(block, axis=1)
             scores = np.round(block @ table.T / np.maximum(sizes, 1e-12)[:, None], 12)
             top = scores.argmax(axis=1)

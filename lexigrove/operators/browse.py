@@ -128,6 +128,17 @@ def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None
     return found.filter(F.col("source").isin(sources))
 
 
+def enrich(hits: DataFrame, records: DataFrame, columns: list[str], offsets: DataFrame | None = None) -> DataFrame:
+    """Columns of the records behind a page or a bounded result list.
+
+    The hits are computed once; their numbers prune the scan of the records, so
+    a page never reads the texts of the corpus.
+    """
+    page_hits = settle(hits)
+    numbers = [r["record_no"] for r in page_hits.select("record_no").collect()]
+    return page_hits.join(lookup(records, numbers, offsets).select("record_no", *columns), "record_no")
+
+
 def by_ids(df: DataFrame, record_nos: list[int], most: int = 30) -> DataFrame:
     return df.filter(F.col("record_no").isin(record_nos[:most]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
-from lexigrove.operators.stats import all_distributions, present_fields
+from lexigrove.operators import stats
 
 SOURCE_KEY = ["corpus", "source", "domain"]
 
@@ -14,12 +14,13 @@ def catalog_sources(records: DataFrame, unpublished: list[str]) -> DataFrame:
     """Per source: records, tokens, annotated, quality counts and one map of
     label counts per field. A corpus without published annotations has NULL
     there, which is not the same as zero."""
-    base = records.groupBy(*SOURCE_KEY).agg(
-        F.count("*").alias("records"),
-        F.coalesce(F.sum("token_count"), F.lit(0)).cast("long").alias("tokens"),
-        F.count("content_quality").alias("annotated"),
+    summary = stats.profile(records, SOURCE_KEY)
+    labelled = F.get("content_quality", F.lit(0)) != fixed.MISSING
+    base = summary.groupBy(*SOURCE_KEY).agg(
+        F.sum("records").alias("records"), F.sum("tokens").alias("tokens"),
+        F.coalesce(F.sum(F.when(labelled, F.col("records"))), F.lit(0)).alias("annotated"),
     )
-    counts = all_distributions(records, SOURCE_KEY).filter(F.col("value") != fixed.MISSING)
+    counts = stats.opened(summary, SOURCE_KEY).filter(F.col("value") != fixed.MISSING)
     per_field = counts.groupBy(*SOURCE_KEY, "field").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "records")))).alias("labels"))
     maps = per_field.groupBy(*SOURCE_KEY).agg(
@@ -30,7 +31,7 @@ def catalog_sources(records: DataFrame, unpublished: list[str]) -> DataFrame:
     # A published field without any label still has an (empty) map.
     empty = F.map_from_entries(F.array(*[
         F.struct(F.lit(f), F.map_from_entries(F.array().cast("array<struct<value:string,records:bigint>>")))
-        for f in present_fields(records)
+        for f in stats.present_fields(records)
     ]))
     full = F.map_zip_with(empty, F.col("m"), lambda _, e, m: F.coalesce(m, e))
     return base.join(maps, SOURCE_KEY, "left").select(

@@ -46,10 +46,6 @@ def enrich_by_key(hits: DataFrame, records: DataFrame, columns: list[str]) -> Da
     return hits.join(records.select("source", "id", *columns), ["source", "id"])
 
 
-def enrich_by_number(hits: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
-    return hits.join(records.select("record_no", *columns), "record_no")
-
-
 def topic_points(records: DataFrame, points: DataFrame, assignments: DataFrame) -> DataFrame:
     return records.join(points, "record_no").join(assignments, "record_no")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn
+from lexigrove.operators import browse
 from lexigrove.operators.numbering import RANGE_WIDTH
 
 TERM_FOLDERS = 64
@@ -139,9 +140,10 @@ def ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Hits joined with their texts after the ranking is final."""
-    return top.join(records.select("record_no", "source", "id", "text"), "record_no").select(
+def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str],
+                  offsets: DataFrame | None = None) -> DataFrame:
+    """Hits with an extract of their texts, read after the ranking is final."""
+    return browse.enrich(top, records, ["source", "id", "text"], offsets).select(
         "record_no", "source", "id", "score",
         text_fn.preview_snippet(F.col("text"), terms).alias("preview"))
 

@@ -116,11 +116,12 @@ def range_groups(positions: DataFrame, size: int = 30, width: int = RANGE_WIDTH)
     borders or fill a whole source: the start of a run is carried from range to
     range over the small range summary only.
     """
-    spanned = positions.distinct().withColumn("span", F.floor(F.col("position") / width).cast("long"))
+    spanned = positions.withColumn("span", F.floor(F.col("position") / width).cast("long"))
     inside = W.partitionBy("source", "span").orderBy("position")
-    starts = spanned.withColumn("before", F.lag("position").over(inside)).withColumn(
-        "start", F.when(F.col("before").isNull() | (F.col("before") + 1 != F.col("position")), F.col("position"))
-    )
+    # A repeated position follows itself; it is dropped without a shuffle of its own.
+    starts = spanned.withColumn("before", F.lag("position").over(inside)).filter(
+        F.col("before").isNull() | (F.col("before") < F.col("position"))
+    ).withColumn("start", F.when(F.col("before").isNull() | (F.col("before") + 1 < F.col("position")), F.col("position")))
     run = starts.withColumn("start", F.last("start", ignorenulls=True).over(
         inside.rowsBetween(W.unboundedPreceding, 0)))
     edges = run.groupBy("source", "span").agg(

@@ -93,7 +93,7 @@ def annotation_distribution(records: DataFrame, field: str) -> DataFrame:
         raise ValueError("Unknown annotation field")
     # Few distinct label combinations exist, so they are counted first and the
     # lists are opened on the summary, not on the records.
-    combos = settle(records.groupBy(label_array(field).alias("labels")).agg(F.count("*").alias("n")))
+    combos = settle(records.groupBy(F.array_sort(label_array(field)).alias("labels")).agg(F.count("*").alias("n")))
     counted = combos.select(F.explode("labels").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("records"))
     # A record without a label is in exactly one combination, the sentinel alone.
     labelled = F.get("labels", F.lit(0)) != fixed.MISSING
@@ -114,8 +114,27 @@ def long_labels(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         *extra, F.col("p.field").alias("field"), F.explode("p.labels").alias("value"))
 
 
+def profile(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Records and tokens per combination of labels: one scan, one narrow shuffle.
+
+    Labels come from short fixed lists, so few combinations occur and every
+    label statistic can be read from this summary.
+    """
+    combos = [F.array_sort(label_array(f)).alias(f) for f in present_fields(records)]
+    return records.select(*extra, "token_count", *combos).groupBy(*extra, *present_fields(records)).agg(*_records_tokens())
+
+
+def opened(summary: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """A profile as ``field, value, records``, the missing label included."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("labels")) for f in present_fields(summary)])
+    long = summary.select(*extra, "records", F.explode(pairs).alias("p")).select(
+        *extra, "records", F.col("p.field").alias("field"), F.explode("p.labels").alias("value"))
+    return long.groupBy(*extra, "field", "value").agg(F.sum("records").alias("records"))
+
+
 def all_distributions(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    return long_labels(records, extra).groupBy(*extra, "field", "value").agg(F.count("*").alias("records"))
+    """Records per field and label, each label once per record."""
+    return opened(profile(records, extra), extra)
 
 
 def annotation_values(records: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def adaptive_candidates(index: VectorIndex, query: list[float], allowed: DataFra
 
 
 def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text: str,
-           allowed: DataFrame | None = None, index: VectorIndex | None = None,
+           allowed: DataFrame | None = None, index: VectorIndex | None = None, offsets: DataFrame | None = None,
            candidates: int = fixed.RERANK_CANDIDATES, keep: int = fixed.MAX_RESULTS) -> DataFrame:
     """Candidates by document cosine, reranked with concept coverage.
 
@@ -93,7 +93,7 @@ def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text:
         raise ValueError("No word of the query is in the vocabulary")
     found = settle(semantic_candidates(vectors, query.vector(), allowed, index, candidates, digits=12))
     numbers = [r["record_no"] for r in found.select("record_no").collect()]
-    texts = browse.lookup(records, numbers)
+    texts = browse.lookup(records, numbers, offsets)
     coverage = encoding.concept_coverage(query, vocabulary, text_fn.words(F.col("text")))
     covered = texts.select("record_no", coverage.alias("coverage"))
     blended = found.join(covered, "record_no").select(
@@ -102,13 +102,13 @@ def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text:
     return keyword.best(blended, keep)
 
 
-def semantic_page(results: DataFrame, records: DataFrame, offset: int, limit: int = fixed.PAGE_SIZE) -> DataFrame:
+def semantic_page(results: DataFrame, records: DataFrame, offset: int, limit: int = fixed.PAGE_SIZE,
+                  offsets: DataFrame | None = None) -> DataFrame:
     """A slice of the bounded result list with metadata."""
-    ranked = keyword.ranked(results)
+    results = settle(results)
+    ranked = keyword.ranked(results).withColumn("total", F.lit(results.count()).cast("long"))
     page = ranked.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    total = results.agg(F.count("*")).scalar()
-    return page.withColumn("total", total).join(
-        records.select("record_no", "id", "source", "domain", "token_count"), "record_no")
+    return browse.enrich(page, records, ["id", "source", "domain", "token_count"], offsets)
 
 
 def keyword_search(postings: DataFrame, term_stats: DataFrame, size: dict, records: DataFrame, text: str,

@@ -85,7 +85,7 @@ class Workspace:
         # the files: a dominant source is many ranges, hence many tasks and files,
         # each sorted by record number for page pruning.
         numbered = numbering.dense_numbers(described(self.spark, self.folder), "source", "doc_id")
-        write_partitioned(numbered, path, ["corpus", "source"])
+        write_partitioned(numbered, path, ["corpus", "source"], order="record_no")
         return self.spark.read.schema(RECORD_SCHEMA).parquet(path)
 
     @cached_property

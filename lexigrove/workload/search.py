@@ -84,7 +84,7 @@ def search_page(w: Workspace) -> DataFrame:
        "postings records")
 def search_with_snippet(w: Workspace) -> DataFrame:
     top = keyword.best(keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH), 100)
-    return keyword.with_snippets(top, w.records, SEARCH)
+    return keyword.with_snippets(top, w.records, SEARCH, w.source_table)
 
 
 @query("original_text_lookup", """
@@ -313,7 +313,7 @@ def _hybrid(where: str = "", keep: int = 300) -> str:
 
 @query("search_hybrid_rerank", f"SELECT record_no, score FROM ({_hybrid()})", "records postings vocab")
 def search_hybrid_rerank(w: Workspace) -> DataFrame:
-    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, offsets=w.source_table)
 
 
 @query("semantic_page", f"""
@@ -321,8 +321,8 @@ def search_hybrid_rerank(w: Workspace) -> DataFrame:
       SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total FROM ({_hybrid()})) h
     JOIN records r ON r.record_no = h.record_no WHERE rank > 30 AND rank <= 60""", "records postings vocab")
 def semantic_page(w: Workspace) -> DataFrame:
-    results = settle(search.hybrid(w.encoded, w.records, w.vocabulary, TEXT))
-    return search.semantic_page(results, w.records, 30)
+    results = search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, offsets=w.source_table)
+    return search.semantic_page(results, w.records, 30, offsets=w.source_table)
 
 
 _TOPIC = "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 5)"
@@ -331,7 +331,7 @@ _TOPIC = "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 5)"
 @query("semantic_by_topic", f"SELECT record_no, score FROM ({_hybrid(_TOPIC)})", "records postings vocab assigned")
 def semantic_by_topic(w: Workspace) -> DataFrame:
     allowed = selection.eligible(w.records, {"topic_id": 5}, w.assignments)
-    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, allowed)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, allowed, offsets=w.source_table)
 
 
 @query("validate_self_retrieval")

@@ -114,10 +114,10 @@ def find_topic(w: Workspace) -> DataFrame:
 
 @query("unpublished_category_check", """
     SELECT field, value, count(*) AS records FROM labels_long
-    WHERE value <> '__missing__' AND (field, value) NOT IN (SELECT (field, value) FROM flat WHERE domain = 'News')
+    WHERE value <> '__missing__' AND (field, value) NOT IN (SELECT (field, value) FROM flat WHERE value NOT IN ('harmful', 'opinion'))
     GROUP BY field, value""", "labels_long flat")
 def unpublished_category_check(w: Workspace) -> DataFrame:
-    published = catalog.flatten_labels(w.sources.filter("domain = 'News'")).select("field", "value").distinct()
+    published = catalog.flatten_labels(w.sources).filter("value NOT IN ('harmful', 'opinion')").select("field", "value").distinct()
     return selection.unpublished_values(w.records, published)
 
 
@@ -459,7 +459,7 @@ def clean_markdown(w: Workspace) -> DataFrame:
       WHEN 'no_pii' THEN 'No PII flagged' ELSE upper(substr(value, 1, 1)) || substr(replace(value, '_', ' '), 2) END AS shown
     FROM labels_long GROUP BY value""", "labels_long")
 def pretty_label(w: Workspace) -> DataFrame:
-    counted = stats.long_labels(w.records).groupBy("value").agg(F.count("*").alias("records"))
+    counted = stats.all_distributions(w.records).groupBy("value").agg(F.sum("records").alias("records"))
     return counted.withColumn("shown", label_fn.pretty_label(F.col("value")))
 
 
