@@ -107,6 +107,28 @@ def clean_markdown(text: Column) -> Column:
     return F.regexp_replace(plain, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def term_positions(tokens: Column) -> Column:
+    """Array of ``(term, positions)`` for one record, counted from 0, without a shuffle."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    size = F.size(tokens)
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), size),
+            lambda i: (i == 0) | (i == size) | (F.get(w, i)["term"] != F.get(w, i - 1)["term"]),
+        )
+        return F.transform(F.array(starts), lambda s: F.transform(
+            F.sequence(F.lit(0), F.size(s) - 2),
+            lambda j: F.struct(
+                F.get(w, F.get(s, j))["term"].alias("term"),
+                F.slice(w, F.get(s, j) + 1, F.get(s, j + 1) - F.get(s, j))["position"].alias("positions"),
+            ),
+        ))
+
+    found = F.get(F.flatten(F.transform(F.array(placed), runs)), F.lit(0))
+    return F.when(size > 0, found)
+
+
 def term_counts(tokens: Column) -> Column:
     """Array of ``(term, tf)`` for one record, without a shuffle.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn
-from lexigrove.operators.numbering import locate, running_before
+from lexigrove.operators.numbering import running_before
 from lexigrove.session import settle
 
 # Up to this depth each task keeps a heap of the page; beyond it, counts by
@@ -122,10 +124,10 @@ def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None
     found = records.filter(F.col("record_no").isin(record_nos))
     if offsets is None or not record_nos:
         return found
-    spark = records.sparkSession
-    positions = spark.createDataFrame([(n,) for n in record_nos], "position bigint")
-    sources = [r["source"] for r in locate(positions, offsets).select("source").distinct().collect()]
-    return found.filter(F.col("source").isin(sources))
+    spans = sorted((r["offset"], r["source"]) for r in offsets.filter("records > 0").select("offset", "source").collect())
+    starts = [offset for offset, _ in spans]  # catalog-sized
+    touched = {spans[max(0, bisect_right(starts, n) - 1)][1] for n in record_nos}
+    return found.filter(F.col("source").isin(sorted(touched)))
 
 
 def enrich(hits: DataFrame, records: DataFrame, columns: list[str], offsets: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
+from lexigrove.session import local_table
 
 VOCABULARY_BYTES = 512 * 1024 * 1024
 TOKENS_PER_BLOCK = 16_384
@@ -144,7 +145,7 @@ class Query:
 def query_of(text: str, vocabulary: DataFrame) -> Query | None:
     """Looks up the few words of a query; ``None`` if none is known."""
     spark = vocabulary.sparkSession
-    row = spark.createDataFrame([(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
+    row = local_table(spark, [(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
     asked = list(row["w"])
     found = {r["word"]: r["vec"] for r in vocabulary.filter(F.col("word").isin(asked)).collect()}
     known = [w for w in dict.fromkeys(asked) if w in found]

@@ -1,6 +1,6 @@
 """Keyword search on a postings table.
 
-``postings(term, record_no, tf, dl)`` is written in folders by term hash, so a
+``postings(term, record_no, tf, dl, positions)`` is written in folders by term hash, so a
 query opens only the folders of its own words; inside a folder the rows are
 spread by record range, so a very common word is still read by many tasks.
 Scores follow BM25 (Robertson and Zaragoza 2009) with exact lengths.
@@ -16,9 +16,10 @@ from lexigrove import fixed
 from lexigrove.functions import text as text_fn
 from lexigrove.operators import browse
 from lexigrove.operators.numbering import RANGE_WIDTH
+from lexigrove.session import local_table
 
 TERM_FOLDERS = 64
-POSTING_SCHEMA = "term string, record_no bigint, tf bigint, dl bigint, folder int"
+POSTING_SCHEMA = "term string, record_no bigint, tf bigint, dl bigint, positions array<int>, folder int"
 SCORE_DIGITS = 6
 
 
@@ -30,9 +31,11 @@ def postings(records: DataFrame) -> DataFrame:
     """Inverted index rows. Words are counted inside each record, so building
     them moves nothing between tasks."""
     tokens = records.select("record_no", text_fn.words(F.col("text")).alias("tokens"))
-    counted = tokens.select(
-        "record_no", F.size("tokens").cast("long").alias("dl"), F.explode(text_fn.term_counts(F.col("tokens"))).alias("t"))
-    return counted.select("t.term", "record_no", "t.tf", "dl")
+    placed = tokens.select(
+        "record_no", F.size("tokens").cast("long").alias("dl"),
+        F.explode(text_fn.term_positions(F.col("tokens"))).alias("t"))
+    return placed.select(
+        "t.term", "record_no", F.size("t.positions").cast("long").alias("tf"), "dl", "t.positions")
 
 
 def write_postings(records: DataFrame, path: str) -> None:
@@ -54,15 +57,14 @@ def for_terms(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     if "folder" not in index.columns:
         return wanted
     spark = index.sparkSession
-    folders = spark.createDataFrame([(t,) for t in terms], "term string").select(
-        term_folder(F.col("term")).alias("f")).distinct()
-    return wanted.filter(F.col("folder").isin([r["f"] for r in folders.collect()]))
+    folders = local_table(spark, [(t,) for t in terms], "term string").select(term_folder(F.col("term")).alias("f"))
+    return wanted.filter(F.col("folder").isin(sorted({r["f"] for r in folders.collect()})))
 
 
 def query_terms(text: str) -> list[str]:
     """Distinct words of a query in the order given."""
     spark = SparkSession.active()
-    row = spark.createDataFrame([(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
+    row = local_table(spark, [(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
     return list(dict.fromkeys(row["w"]))
 
 
@@ -148,38 +150,26 @@ def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str],
         text_fn.preview_snippet(F.col("text"), terms).alias("preview"))
 
 
-def token_positions(records: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Where the query words stand; other words are dropped inside the row."""
-    tokens = records.select("record_no", text_fn.words(F.col("text")).alias("w"))
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-    placed = F.filter(
-        F.transform(F.col("w"), lambda t, i: F.struct(t.alias("term"), i.cast("long").alias("position"))),
-        lambda s: F.array_contains(wanted, s["term"]),
-    )
-    return tokens.select("record_no", F.explode(placed).alias("p")).select("record_no", "p.term", "p.position")
-
-
-def phrase(records: DataFrame, index: DataFrame, terms: Sequence[str]) -> DataFrame:
+def phrase(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Records that contain the words next to each other, with the number of places.
 
-    The index first reduces the texts to records holding every word. A word
-    that should be the k-th of the phrase and stands at ``p`` votes for a start
-    at ``p - k``; starts with one vote per word are occurrences. Voting happens
-    in groups of at most ``len(terms)`` rows, so no record becomes a hot group.
+    Answered from the index alone. Records lacking a word are dropped first.
+    Then a word that should be the k-th of the phrase and stands at ``p`` votes
+    for a start at ``p - k``; starts with one vote per word are occurrences.
+    Voting groups hold at most ``len(terms)`` rows, so no group becomes hot.
     """
     distinct = list(dict.fromkeys(terms))
-    candidates = for_terms(index, distinct).groupBy("record_no").agg(F.count("*").alias("n")).filter(
-        F.col("n") == len(distinct)).select("record_no")
-    places = token_positions(records.join(candidates, "record_no", "left_semi"), distinct)
+    hits = for_terms(index, distinct)
+    whole = hits.groupBy("record_no").agg(F.count("*").alias("n")).filter(F.col("n") == len(distinct))
     offsets = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(k).cast("long").alias("k")) for k, t in enumerate(terms)
+        F.struct(F.lit(t).alias("term"), F.lit(k).alias("k")) for k, t in enumerate(terms)
     ])
-    votes = places.select(
-        "record_no", "term", "position", F.explode(offsets).alias("o")
-    ).filter(F.col("o.term") == F.col("term"))
-    starts = votes.groupBy("record_no", (F.col("position") - F.col("o.k")).alias("start")).agg(
-        F.count("*").alias("votes"))
-    return starts.filter(F.col("votes") == len(terms)).groupBy("record_no").agg(F.count("*").alias("places"))
+    places = hits.join(whole.select("record_no"), "record_no", "left_semi").select(
+        "record_no", F.filter(offsets, lambda o: o["term"] == F.col("term")).alias("o"), "positions")
+    starts = F.flatten(F.transform("o", lambda o: F.transform("positions", lambda p: p - o["k"])))
+    votes = places.select("record_no", F.explode(starts).alias("start"))
+    counted = votes.groupBy("record_no", "start").agg(F.count("*").alias("votes"))
+    return counted.filter(F.col("votes") == len(terms)).groupBy("record_no").agg(F.count("*").alias("places"))
 
 
 def document_stats(index: DataFrame, size: dict) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexigrove import fixed
 from lexigrove.functions import vectors as vec
-from lexigrove.session import settle
+from lexigrove.session import local_table
 
 SCORE_DIGITS = 6
 MAX_CELLS = 16_384
@@ -87,7 +87,7 @@ def train_cells(sample: DataFrame, cells: int, seed: int = fixed.SEED, rounds: i
 
 def centroid_table(spark: SparkSession, centers: Sequence) -> DataFrame:
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
-    return spark.createDataFrame(rows, "cell bigint, vec array<double>")
+    return local_table(spark, rows, "cell bigint, vec array<double>")
 
 
 def small_table(centroids: DataFrame, name: str = "cell") -> tuple[list[int], list[list[float]]]:
@@ -249,9 +249,9 @@ def self_retrieval(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame
         for cell in probed(unit, table, probes):
             pairs.append((row["record_no"], cell))
     spark = vectors.sparkSession
-    plan = spark.createDataFrame(pairs, "query bigint, cell bigint")
-    units = spark.createDataFrame(
-        [(r["record_no"], [float(x) for x in r["vec"]]) for r in asked], "query bigint, query_vec array<double>")
+    plan = local_table(spark, pairs, "query bigint, cell bigint")
+    units = local_table(
+        spark, [(r["record_no"], [float(x) for x in r["vec"]]) for r in asked], "query bigint, query_vec array<double>")
     usable = assigned.filter(F.col("cell") >= 0)
     scored = usable.join(plan, "cell").join(units, "query").select(
         "query", "record_no",

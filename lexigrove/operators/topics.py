@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
 from lexigrove.operators import numbering, selection, similarity
-from lexigrove.session import settle
+from lexigrove.session import local_table, settle
 
 
 def fit_sample(vectors: DataFrame, per_source: int = fixed.TOPIC_SAMPLE_PER_SOURCE,
@@ -85,7 +85,7 @@ def reduce_topics(labelled: DataFrame, size: int, most: int = fixed.TOPIC_MAX) -
     pairs = [(old, new) for new, olds in members.items() for old in olds]
     if not pairs:
         return labelled
-    names = labelled.sparkSession.createDataFrame(pairs, "topic_id bigint, merged bigint")
+    names = local_table(labelled.sparkSession, pairs, "topic_id bigint, merged bigint")
     return labelled.join(names, "topic_id", "left").withColumn(
         "topic_id", F.coalesce("merged", "topic_id")).drop("merged")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,6 +58,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few given rows as a local relation: known size, no job to read it."""
+    types = _parse_datatype_string(schema)
+    columns = list(zip(*rows)) or [[] for _ in types.names]
+    arrow = to_arrow_schema(types)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=types)
+
+
 def settle(df: DataFrame, bound: int = LOCAL_ROW_BOUND) -> DataFrame:
     """Compute a summary once and reuse it.
 

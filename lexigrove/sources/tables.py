@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lexigrove.session import local_table
+
 ANNOTATION_SCHEMA = T.StructType([
     T.StructField("corpus", T.StringType()),
     T.StructField("source", T.StringType()),
@@ -43,7 +45,7 @@ def per_source_files(spark: SparkSession, globs: dict[str, list[str]], expected:
     Globs are resolved by listing only; a small file → source table then names
     the rows of the single scan.
     """
-    declared = spark.createDataFrame([(s,) for s in sorted(globs)], "source string")
+    declared = local_table(spark, [(s,) for s in sorted(globs)], "source string")
     wanted = expected.select("source").distinct()
     if not declared.exceptAll(wanted).isEmpty() or not wanted.exceptAll(declared).isEmpty():
         raise ValueError("Input sources differ from the catalog")
@@ -52,7 +54,7 @@ def per_source_files(spark: SparkSession, globs: dict[str, list[str]], expected:
         for path in spark.read.schema(schema).parquet(*paths).inputFiles()
     ]
     plain = F.regexp_replace("file_path", "^file:/+", "/")  # both spellings of a local path
-    names = spark.createDataFrame(files, "file_path string, source string").withColumn("file_path", plain)
+    names = local_table(spark, files, "file_path string, source string").withColumn("file_path", plain)
     rows = spark.read.schema(schema).parquet(*[path for path, _ in files])
     return rows.select(
         *[f for f in schema.names if f != "source"],

@@ -229,7 +229,10 @@ def review_tags_export(w: Workspace) -> DataFrame:
 
 
 def _micros(column: str):
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds of a timestamp without zone, whatever the session's zone is."""
+    return F.expr(
+        f"unix_date(CAST({column} AS DATE)) * 86400000000L + (hour({column}) * 3600 + minute({column}) * 60) * 1000000L"
+        f" + CAST(date_part('SECOND', {column}) * 1000000 AS BIGINT)")
 
 
 # --- joins -------------------------------------------------------------------------

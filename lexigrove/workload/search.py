@@ -55,7 +55,7 @@ def search_bm25_filtered(w: Workspace) -> DataFrame:
     WHERE pair = ['of', 'the'] GROUP BY record_no""".replace("$WORD", "'[\\p{L}\\p{Nl}\\p{No}]+(?:[''’][\\p{L}\\p{Nl}\\p{No}]+)?'"),
        "records")
 def search_phrase(w: Workspace) -> DataFrame:
-    return keyword.phrase(w.records, w.postings, ["of", "the"])
+    return keyword.phrase(w.postings, ["of", "the"])
 
 
 @query("search_require_all", hits_sql(["the", "de", "in"], having="HAVING count(*) = 3"), "postings records")

@@ -61,9 +61,9 @@ def test_filter_changes_membership_but_no_score(index, docs):
 
 def test_every_word_and_phrase(index, docs):
     assert set(as_dict(keyword.bm25(*index, ["island", "bread"], require_all=True))) == {1, 2}
-    places = {r["record_no"]: r["places"] for r in keyword.phrase(docs, index[0], ["of", "the"]).collect()}
+    places = {r["record_no"]: r["places"] for r in keyword.phrase(index[0], ["of", "the"]).collect()}
     assert places == {2: 2}
-    assert {r["record_no"] for r in keyword.phrase(docs, index[0], ["island", "bread", "island"]).collect()} == {1}
+    assert {r["record_no"] for r in keyword.phrase(index[0], ["island", "bread", "island"]).collect()} == {1}
 
 
 def test_page_state(index):
@@ -79,6 +79,14 @@ def test_query_opens_only_its_folders(index):
     assert "PartitionFilters: [isnotnull(folder" in plan or "folder#" in plan.split("PartitionFilters")[1][:60]
 
 
+def test_lookup_of_a_long_candidate_list(work):
+    from lexigrove.operators import browse
+
+    found = browse.lookup(work.records, list(range(3000)), work.source_table)
+    assert found.select("text").count() == work.records.count()
+    assert browse.lookup(work.records, [], work.source_table).isEmpty()
+
+
 def test_query_length():
     for wrong in ("x", "y" * 251):
         with pytest.raises(ValueError):
