@@ -36,6 +36,15 @@ def test_term_counts(spark):
         assert {r["term"]: r["tf"] for r in got} == Counter(value.split())
 
 
+def test_term_positions(spark):
+    for value in ("a b a c b a", "solo", "", "x x x x"):
+        got = one(spark, value, text.term_positions(text.words(F.col("t")))) or []
+        expected = {}
+        for place, word in enumerate(value.split()):
+            expected.setdefault(word, []).append(place)
+        assert {r["term"]: r["positions"] for r in got} == expected
+
+
 def test_snippet(spark):
     body = "x" * 300 + " Needle " + "y" * 900
     got = one(spark, body, text.preview_snippet(F.col("t"), ["absent", "needle", "ab"]))
