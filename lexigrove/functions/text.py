@@ -10,8 +10,7 @@ from lexigrove import fixed
 
 # --- fixed values: word patterns ---------------------------------------------
 WORD = r"[\p{L}\p{Nl}\p{No}]+(?:['’][\p{L}\p{Nl}\p{No}]+)?"
-RUN = r"[\p{L}\p{N}_]+"
-TOPIC_TERM = r"^[\p{L}\p{Nl}\p{No}]{3,}$"
+TOPIC_RUN = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}]{3,}+(?![\p{L}\p{N}_])"
 SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 EMAIL = r"[A-Za-z0-9.+_-]+@[A-Za-z0-9-]+\.[A-Za-z]+"
 
@@ -22,10 +21,10 @@ def words(text: Column) -> Column:
 
 
 def topic_terms(text: Column, stop_words: Sequence[str] = fixed.TOPIC_STOP_WORDS) -> Column:
-    """Whole runs of at least three letters, function words removed."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    runs = F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
-    return F.filter(runs, lambda t: t.rlike(TOPIC_TERM) & ~F.array_contains(stop, t))
+    """Runs of at least three letters with no digit or underscore next to them,
+    function words removed. The pattern does the work; the word list is a hash set."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(TOPIC_RUN), F.lit(0))
+    return F.filter(runs, lambda t: ~t.isin(*stop_words)) if stop_words else runs
 
 
 def preview_prefix(text: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexigrove import fixed
 from lexigrove.functions import vectors as vec
+from lexigrove.operators import browse
 from lexigrove.session import local_table
 
 SCORE_DIGITS = 6
@@ -174,9 +175,14 @@ def candidates(cells: DataFrame, score: Column, chosen: Sequence[int], allowed:
 
 
 def rescored(found: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int,
-             digits: int = SCORE_DIGITS) -> DataFrame:
-    """Exact cosines for candidates, so no quantisation error is returned."""
-    originals = vectors.join(found.select("record_no"), "record_no", "left_semi")
+             digits: int = SCORE_DIGITS, offsets: DataFrame | None = None) -> DataFrame:
+    """Exact cosines for candidates, so no quantisation error is returned.
+
+    The candidate list is bounded; its numbers are literals of the scan, so the
+    vector table is read only where candidates can be.
+    """
+    numbers = [r["record_no"] for r in found.select("record_no").collect()]
+    originals = browse.lookup(vectors, numbers, offsets)
     return top(exact_scores(originals, query, digits=digits), limit)
 
 

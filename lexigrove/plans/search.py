@@ -61,11 +61,11 @@ def use_exact(allowed: DataFrame | None, index: VectorIndex | None,
 
 def semantic_candidates(vectors: DataFrame, query: list[float], allowed: DataFrame | None,
                         index: VectorIndex | None, limit: int = fixed.RERANK_CANDIDATES,
-                        digits: int = similarity.SCORE_DIGITS) -> DataFrame:
+                        digits: int = similarity.SCORE_DIGITS, offsets: DataFrame | None = None) -> DataFrame:
     if use_exact(allowed, index):
         return similarity.top(similarity.exact_scores(vectors, query, allowed, digits), limit)
     found = index_candidates(index, query, allowed, limit=max(fixed.IVF_CANDIDATES, 2 * limit))
-    return similarity.rescored(found, vectors, query, limit, digits)
+    return similarity.rescored(found, vectors, query, limit, digits, offsets)
 
 
 def adaptive_candidates(index: VectorIndex, query: list[float], allowed: DataFrame | None,

@@ -37,11 +37,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def described(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with labels as corpus records, not numbered yet."""
-    d = documents(spark, folder)
+def marked(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the labels some of them have."""
     marks = spark.read.parquet(f"{folder}/labels.parquet").withColumn("marked", F.lit(True))
-    joined = d.join(marks, "doc_id", "left")
+    return documents(spark, folder).join(marks, "doc_id", "left")
+
+
+def described(joined: DataFrame, *numbers: str) -> DataFrame:
+    """Marked documents as corpus records, with the given number columns."""
     labelled = F.col("marked") & ~F.col("lang").isin(UNPUBLISHED)
 
     def when_labelled(value: Column) -> Column:
@@ -49,7 +52,7 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
 
     names = F.array(*[F.lit(d) for d in DOMAINS])
     return joined.withColumn("token_count", F.size(text_fn.words(F.col("text"))).cast("long")).select(
-        F.col("lang").alias("corpus"), "source", "text", "doc_id",
+        *numbers, F.col("lang").alias("corpus"), "source", "text", "doc_id",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
         F.get(names, F.substring("source", 4, 9).cast("int") % len(DOMAINS)).alias("domain"),
         "token_count",
@@ -84,8 +87,10 @@ class Workspace:
         # One shuffle by (source, range) numbers the rows and is also the layout of
         # the files: a dominant source is many ranges, hence many tasks and files,
         # each sorted by record number for page pruning.
-        numbered = numbering.dense_numbers(described(self.spark, self.folder), "source", "doc_id")
-        write_partitioned(numbered, path, ["corpus", "source"], order="record_no")
+        # Words are counted after that shuffle, where the rows are spread evenly.
+        numbered = numbering.dense_numbers(marked(self.spark, self.folder), "source", "doc_id")
+        write_partitioned(
+            described(numbered, "record_no", "source_row"), path, ["corpus", "source"], order="record_no")
         return self.spark.read.schema(RECORD_SCHEMA).parquet(path)
 
     @cached_property
@@ -124,9 +129,13 @@ class Workspace:
         keys = self.records.select("doc_id", "record_no", "corpus", "source")
         zeroed = F.when(F.col("vec_id") % ZERO_EVERY == 0, F.transform("embedding", lambda _: F.lit(0.0)))
         joined = keys.join(e, F.col("doc_id") == F.col("vec_id"))
-        return self._stored(joined.select(
-            "record_no", "corpus", "source", F.col("label").cast("long").alias("label"),
-            F.coalesce(zeroed, vec.doubles(F.col("embedding"))).alias("vec")), "vectors")
+        rows = joined.select(
+            "record_no", F.col("label").cast("long").alias("label"),
+            F.coalesce(zeroed, vec.doubles(F.col("embedding"))).alias("vec"), "corpus", "source")
+        path = scratch(self.spark, "vectors")
+        write_partitioned(
+            rows, path, ["corpus", "source"], F.floor(F.col("record_no") / numbering.RANGE_WIDTH), "record_no")
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @cached_property
     def raw_vocabulary(self) -> DataFrame:

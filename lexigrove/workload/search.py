@@ -271,7 +271,7 @@ def search_rescore_exact(w: Workspace) -> DataFrame:
     cells = len(similarity.small_table(w.index.centroids)[0])
     q = query_vector(w)
     found = search.index_candidates(w.index, q, None, probes=cells, limit=400)
-    return similarity.rescored(found, w.vectors, q, 100)
+    return similarity.rescored(found, w.vectors, q, 100, offsets=w.source_table)
 
 
 @query("search_adaptive_probe")

@@ -107,9 +107,9 @@ def find_source(w: Workspace) -> DataFrame:
     return selection.find_source(w.source_table, "SRC1").select("source", "domain")
 
 
-@query("find_topic", "SELECT topic_id, name FROM topic_names WHERE contains(lower(name || ' ' || keywords), 'an')", "topic_names")
+@query("find_topic", "SELECT topic_id, name FROM topic_names WHERE contains(lower(name || ' ' || keywords), 'ch')", "topic_names")
 def find_topic(w: Workspace) -> DataFrame:
-    return selection.find_topic(topics.names(w.topic_keywords), "AN").select("topic_id", "name")
+    return selection.find_topic(topics.names(w.topic_keywords), "CH").select("topic_id", "name")
 
 
 @query("unpublished_category_check", """

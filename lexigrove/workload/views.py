@@ -13,8 +13,9 @@ def quoted(value: str) -> str:
 
 WORD = quoted(text.WORD)
 EMAIL = quoted(text.EMAIL)
-RUN = quoted(text.RUN)
-TERM = quoted(text.TOPIC_TERM)
+# RE2 has no look-around, so SQL takes whole word-character runs and tests them.
+RUN = quoted(r"[\p{L}\p{N}_]+")
+TERM = quoted(r"^[\p{L}\p{Nl}\p{No}]{3,}$")
 STOP = "[" + ", ".join(quoted(w) for w in fixed.TOPIC_STOP_WORDS) + "]"
 FIELDS = ["content_quality", "pii_presence", "content_type", "content_safety", "content_length"]
 DOMAIN = "[" + ", ".join(quoted(d) for d in ws.DOMAINS) + "]"
