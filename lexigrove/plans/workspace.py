@@ -90,7 +90,8 @@ class Workspace:
         # Words are counted after that shuffle, where the rows are spread evenly.
         numbered = numbering.dense_numbers(marked(self.spark, self.folder), "source", "doc_id")
         write_partitioned(
-            described(numbered, "record_no", "source_row"), path, ["corpus", "source"], order="record_no")
+            described(numbered, "record_no", "source_row"), path, ["corpus", "source"], order="record_no",
+            arranged=True)
         return self.spark.read.schema(RECORD_SCHEMA).parquet(path)
 
     @cached_property

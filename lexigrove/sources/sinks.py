@@ -8,19 +8,23 @@ ROWS_PER_FILE = 1_000_000
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], spread: Column | None = None,
-                      order: str | None = None, mode: str = "overwrite") -> None:
+                      order: str | None = None, arranged: bool = False) -> None:
     """ZSTD Parquet under one folder per key.
 
     Rows are first grouped by key *and* ``spread`` (for instance a record
     range), so a dominant source is written by many tasks and a small one
-    still gives a single file. ``order`` sorts inside each file, so that row
+    still gives a single file. Without ``spread`` Spark balances the groups by
+    size: it splits big ones and joins small ones. ``arranged`` rows are grouped
+    already and not moved again. ``order`` sorts inside each file, so that row
     groups and pages can be skipped by it.
     """
     if spread is not None:
         df = df.repartition(*keys, spread)
+    elif not arranged:
+        df = df.hint("rebalance", *keys)
     if order is not None:
         df = df.sortWithinPartitions(*keys, order)
-    (df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
+    (df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
