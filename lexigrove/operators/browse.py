@@ -24,13 +24,15 @@ def orders() -> dict[str, list[Column]]:
     }
 
 
-def check_page(offset: int, limit: int, most: int = 100) -> None:
+def check_page(offset: int, limit: int, most: int = 101) -> None:
+    """At most 100 rows, and one more to learn whether another page follows."""
     if offset < 0 or not 1 <= limit <= most:
         raise ValueError("Invalid page")
 
 
 def page(df: DataFrame, sort: str, offset: int = 0, limit: int = fixed.PAGE_SIZE,
          span: int = 100_000) -> DataFrame:
+    check_page(offset, limit)
     if sort not in orders():
         raise ValueError("Unknown sort order")
     if offset + limit <= SHALLOW_ROWS:
@@ -166,4 +168,4 @@ def original_checked(records: DataFrame, source: str, row: int, identifier: str)
 
 
 def previews(df: DataFrame, record_nos: list[int]) -> DataFrame:
-    return by_ids(df, record_nos).select("record_no", text_fn.preview_prefix(F.col("text")).alias("preview"))
+    return by_ids(df, record_nos).select("record_no", "id", text_fn.preview_prefix(F.col("text")).alias("preview"))

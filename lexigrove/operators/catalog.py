@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
+from lexigrove.functions.labels import source_name
 from lexigrove.operators import stats
 
 SOURCE_KEY = ["corpus", "source", "domain"]
@@ -39,7 +40,7 @@ def catalog_sources(records: DataFrame, unpublished: list[str]) -> DataFrame:
         F.when(published, F.col("annotated")).alias("annotated"),
         F.when(published, F.coalesce(full, empty)).alias("annotation_distributions"),
     ).withColumn("quality", F.col("annotation_distributions")["content_quality"]).withColumn(
-        "name", F.translate("source", "_-", "  "))
+        "name", source_name(F.col("source")))
 
 
 def domain_rollup(sources: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove import fixed
 from lexigrove.operators.catalog import flatten_labels
 
 
@@ -55,8 +54,3 @@ def categories(sources: DataFrame, field: str) -> DataFrame:
     return (
         sources.select(F.explode(F.map_keys(F.col("annotation_distributions")[field])).alias("value")).distinct()
     )
-
-
-def quality_levels(distribution: DataFrame) -> DataFrame:
-    order = F.array(*[F.lit(q) for q in [*fixed.QUALITY_LABELS, "unreported"]])
-    return distribution.withColumn("place", F.array_position(order, F.col("value")))

@@ -105,15 +105,6 @@ def present_fields(records: DataFrame, fields: Sequence[str] = fixed.SELECTION_F
     return [f for f in fields if f in records.columns]
 
 
-def long_labels(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """One row per record, field and distinct label; one scan for all fields."""
-    pairs = F.array(*[
-        F.struct(F.lit(f).alias("field"), label_array(f).alias("labels")) for f in present_fields(records)
-    ])
-    return records.select(*extra, F.explode(pairs).alias("p")).select(
-        *extra, F.col("p.field").alias("field"), F.explode("p.labels").alias("value"))
-
-
 def profile(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Records and tokens per combination of labels: one scan, one narrow shuffle.
 

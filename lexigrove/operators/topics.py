@@ -182,10 +182,6 @@ def grouped_points(points: DataFrame, colour: str) -> DataFrame:
     return points.select(key.alias("name"), "record_no", "x", "y")
 
 
-def group_sizes(points: DataFrame, colour: str) -> DataFrame:
-    return grouped_points(points, colour).groupBy("name").agg(F.count("*").alias("points"))
-
-
 def label_positions(points: DataFrame, least: int = fixed.TOPIC_LABEL_MIN_POINTS) -> DataFrame:
     """Upper median of both axes for topics with enough points.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
+from lexigrove.functions.labels import source_name
 from lexigrove.operators import catalog, encoding, keyword, numbering, topics
 from lexigrove.session import scratch, settle
 from lexigrove.sources.sinks import write_partitioned
@@ -121,7 +122,7 @@ class Workspace:
         """Records and offset per source over all corpora."""
         counts = self.sources.groupBy("source", "domain").agg(
             F.sum("records").alias("records"), F.sum("tokens").alias("tokens"))
-        return settle(numbering.source_offsets(counts).withColumn("name", F.translate("source", "_-", "  ")))
+        return settle(numbering.source_offsets(counts).withColumn("name", source_name(F.col("source"))))
 
     @cached_property
     def vectors(self) -> DataFrame:

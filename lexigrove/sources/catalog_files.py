@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexigrove.functions.labels import source_name
+
 CATALOG_SCHEMA = """
     id string, records bigint, tokens bigint, annotated bigint,
     sources array<struct<id:string,name:string,domain:string,records:bigint,tokens:bigint,annotated:bigint>>,
@@ -54,7 +56,7 @@ def card_defaults(sources: DataFrame, cards: DataFrame, headers: DataFrame) -> D
                              F.col("license").alias("h_license")), "source", "left")
         .select(
             "source",
-            F.coalesce("pretty_name", F.translate("source", "_-", "  ")).alias("name"),
+            F.coalesce("pretty_name", source_name(F.col("source"))).alias("name"),
             F.coalesce("c_domain", "h_domain", F.lit("Other")).alias("domain"),
             F.coalesce("c_license", "h_license", F.lit("See source")).alias("license"),
         )

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
-from lexigrove.functions import labels as label_fn, text as text_fn, vectors as vec
-from lexigrove.operators import browse, catalog, encoding, joins, keyword, numbering, selection, similarity, tags, topics
+from lexigrove.functions import text as text_fn, vectors as vec
+from lexigrove.operators import browse, catalog, joins, keyword, numbering, selection, similarity, tags
 from lexigrove.plans import build
 from lexigrove.plans.workspace import Workspace, documents
 from lexigrove.session import scratch
 from lexigrove.sources import catalog_files, sinks, tables
 from lexigrove.streaming import ingest as stream_ingest, tags as stream_tags
 from lexigrove.workload.registry import query
-from lexigrove.workload.views import WORD
 
 LABELS = ["content_quality", "content_safety", "pii_presence", "content_length"]
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
-from lexigrove.operators import audits, browse, catalog, encoding, joins, keyword, selection, similarity, stats, topics
-from lexigrove.plans import build, search, topic_model
+from lexigrove.operators import audits, browse, catalog, encoding, joins, keyword, selection, similarity, topics
+from lexigrove.plans import build, search
 from lexigrove.plans.workspace import UNPUBLISHED, Workspace
-from lexigrove.session import scratch, settle
 from lexigrove.workload.ingest import QUERY_VECTOR, SEARCH, TOP100, hits_sql, query_vector
 from lexigrove.workload.registry import query
 from lexigrove.workload.statistics import SNIPPET, snippet_start

@@ -83,8 +83,7 @@ def eligibility_set(w: Workspace) -> DataFrame:
 
 @query("filter_by_ids", "SELECT record_no, id, substr(text, 1, 700) AS preview FROM records WHERE record_no IN (3, 77, 150)", "records")
 def filter_by_ids(w: Workspace) -> DataFrame:
-    return browse.by_ids(w.records, [3, 77, 150]).select(
-        "record_no", "id", text_fn.preview_prefix(F.col("text")).alias("preview"))
+    return browse.previews(w.records, [3, 77, 150])
 
 
 @query("project_row_columns", """

@@ -83,6 +83,15 @@ def test_ingest_resumes_and_refuses_duplicates(spark, tmp_path):
     assert rows.count() == 9 and rows.filter("content_quality = 'good'").count() == 2
 
 
+def test_assembly_unites_and_numbers(spark):
+    texts = texts_of(spark)
+    parts = [texts.filter("source = 'b'"), texts.filter("source <> 'b'").withColumn("label", F.lit("x"))]
+    got = build.assemble(parts, width=2).orderBy("record_no").collect()
+    assert [(r["record_no"], r["source"], r["source_row"]) for r in got] == [
+        (i, "abc"[i // 3], i % 3) for i in range(9)]
+    assert {r["label"] for r in got if r["source"] == "b"} == {None}
+
+
 def test_publication_needs_every_audit(spark, tmp_path):
     texts = texts_of(spark)
     data, manifest = str(tmp_path / "d"), str(tmp_path / "m")

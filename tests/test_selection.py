@@ -113,8 +113,9 @@ def test_pages(four):
         "total": 4, "page_rows": 1, "has_more": False, "next_offset": 4}
     assert browse.envelope(four, 9, 3).first()["page_rows"] == 0
     assert [r["record_no"] for r in browse.jump(four, 99, 4).collect()] == [3]
-    with pytest.raises(ValueError):
-        browse.page(four, "sideways")
+    for wrong in (("sideways", 0, 3), ("original", -1, 3), ("original", 0, 0), ("original", 0, 102)):
+        with pytest.raises(ValueError):
+            browse.page(four, *wrong)
     with pytest.raises(LookupError):
         browse.full_record(four, 12)
 
