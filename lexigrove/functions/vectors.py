@@ -38,7 +38,7 @@ def is_finite(vector: Column) -> Column:
     return F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
-def _rows(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     """A batch of equally long lists as one matrix."""
     count = len(column)
     if column.null_count:
@@ -47,7 +47,7 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(count, -1) if count else flat.reshape(0, 0)
 
 
-def _lists(matrix: np.ndarray) -> pa.Array:
+def lists_of(matrix: np.ndarray) -> pa.Array:
     """A matrix as one list per row."""
     count, width = matrix.shape
     offsets = np.arange(0, count + 1, dtype=np.int32) * width
@@ -60,18 +60,18 @@ def _none() -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _unit(vectors: pa.Array) -> pa.Array:
-    rows = _rows(vectors)
+    rows = matrix_of(vectors)
     if not len(rows):
         return _none()
-    return _lists(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12))
+    return lists_of(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12))
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _times(vectors: pa.Array, factors: pa.Array) -> pa.Array:
-    rows = _rows(vectors)
+    rows = matrix_of(vectors)
     if not len(rows):
         return _none()
-    return _lists(rows * factors.to_numpy(zero_copy_only=False)[:, None])
+    return lists_of(rows * factors.to_numpy(zero_copy_only=False)[:, None])
 
 
 def scaled(vector: Column, factor: Column) -> Column:
@@ -92,7 +92,7 @@ def cosine_with(query: Sequence[float]):
 
     @F.arrow_udf(T.DoubleType())
     def cosine(vectors: pa.Array) -> pa.Array:
-        rows = _rows(vectors)
+        rows = matrix_of(vectors)
         if not len(rows):
             return pa.array([], pa.float64())
         return pa.array((rows @ target) / np.maximum(np.linalg.norm(rows, axis=1), 1e-12))
@@ -107,10 +107,10 @@ def cosines_with(queries: Sequence[Sequence[float]]):
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def cosines(vectors: pa.Array) -> pa.Array:
-        rows = _rows(vectors)
+        rows = matrix_of(vectors)
         if not len(rows):
             return _none()
-        return _lists(rows @ table.T / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12))
+        return lists_of(rows @ table.T / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12))
 
     return cosines
 
@@ -131,7 +131,7 @@ def nearest_in(ids: Sequence[int], centroids: Sequence[Sequence[float]]):
         T.StructField("similarity", T.DoubleType()),
     ]))
     def nearest(vectors: pa.Array) -> pa.Array:
-        rows = _rows(vectors)
+        rows = matrix_of(vectors)
         cell = np.full(len(rows), -1, dtype=np.int64)
         best = np.zeros(len(rows))
         step = max(64, SCORES_PER_PRODUCT // len(table))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn, vectors as vec
+from lexigrove.functions.vectors import lists_of
 from lexigrove.session import local_table
 
 VOCABULARY_BYTES = 512 * 1024 * 1024
@@ -42,22 +43,14 @@ def dimensions(vocabulary: DataFrame) -> int:
     return row["n"] if row else 0
 
 
-@dataclass
-class Words:
-    """A vocabulary in the form tasks use: words and one matrix."""
-
-    words: pa.Array
-    table: np.ndarray
-
-
 def shared(vocabulary: DataFrame, size: int, bound: int = VOCABULARY_BYTES) -> Broadcast | None:
-    """The vocabulary as a broadcast, or ``None`` if its counted size is over the bound."""
+    """Words and their matrix as a broadcast, or ``None`` if the counted size is over the bound."""
     if vocabulary.count() * (size * 8 + 64) > bound:
         return None
     rows = vocabulary.select("word", "vec").toArrow()
     table = rows["vec"].combine_chunks()
     matrix = table.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-    return vocabulary.sparkSession.sparkContext.broadcast(Words(rows["word"].combine_chunks(), matrix))
+    return vocabulary.sparkSession.sparkContext.broadcast((rows["word"].combine_chunks(), matrix))
 
 
 def _known(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +78,9 @@ def encoder(vocabulary: Broadcast):
     """Arrow function: word lists → unit vectors; zero without a known word."""
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def encode(tokens: pa.Array) -> pa.Array:
-        v = vocabulary.value
-        total = _fold(tokens, v.words, v.table, np.add, 0.0)
-        return vec._lists(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12))
+        words, table = vocabulary.value
+        total = _fold(tokens, words, table, np.add, 0.0)
+        return lists_of(total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12))
 
     return encode
 
@@ -174,12 +167,12 @@ def concept_coverage(query: Query, vocabulary: DataFrame, tokens: Column,
     cosines = vec.cosines_with(query.vectors)
     rows = vocabulary.select("word", cosines(F.col("vec")).alias("vec")).toArrow()
     matrix = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-    similar = vocabulary.sparkSession.sparkContext.broadcast(Words(rows["word"].combine_chunks(), matrix))
+    similar = vocabulary.sparkSession.sparkContext.broadcast((rows["word"].combine_chunks(), matrix))
 
     @F.arrow_udf(T.DoubleType())
-    def coverage(words: pa.Array) -> pa.Array:
-        table = similar.value
-        best = _fold(words, table.words, table.table, np.maximum, 0.0)
+    def coverage(tokens: pa.Array) -> pa.Array:
+        words, table = similar.value
+        best = _fold(tokens, words, table, np.maximum, 0.0)
         return pa.array(np.clip(best, 0, 1) @ weights / weights.sum())
 
     return coverage(tokens)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from lexigrove import fixed
 from lexigrove.functions import vectors as vec
+from lexigrove.functions.vectors import lists_of, matrix_of
 from lexigrove.operators import browse
 from lexigrove.session import local_table
 
@@ -139,7 +140,7 @@ def decoder(query: Sequence[float], low: Sequence[float], high: Sequence[float])
 
     @F.arrow_udf(T.DoubleType())
     def approximate(codes: pa.Array) -> pa.Array:
-        rows = vec._rows(codes)
+        rows = matrix_of(codes)
         return pa.array(rows @ factors + base if len(rows) else np.empty(0))
 
     return approximate
@@ -210,7 +211,7 @@ def product_codes(vectors: DataFrame, books: Sequence[Sequence[Sequence[float]]]
 
     @F.arrow_udf(T.ArrayType(T.ShortType()))
     def encode(units: pa.Array) -> pa.Array:
-        rows = vec._rows(units)
+        rows = matrix_of(units)
         if not len(rows):
             return pa.array([], pa.list_(pa.int16()))
         codes = np.empty((len(rows), len(tables)), dtype=np.int16)
@@ -218,7 +219,7 @@ def product_codes(vectors: DataFrame, books: Sequence[Sequence[Sequence[float]]]
             block = rows[:, part * width:(part + 1) * width]
             distance = (table ** 2).sum(axis=1) - 2 * block @ table.T
             codes[:, part] = distance.argmin(axis=1)
-        return vec._lists(codes)
+        return lists_of(codes)
 
     usable = vectors.filter(vec.is_usable(F.col("vec")))
     return usable.withColumn("code", encode(vec.normalised(F.col("vec"))))
