@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, line_spread, mixing, notices, pairwise_quality, pseudonyms, toxicity
+from lexigrove.llm import decontamination, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
@@ -80,3 +80,28 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_notices")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return notices.scan(table(spark, folder, "documents"))
+
+
+@query("op10_jaccard_join", f"""
+    WITH RECURSIVE lowered AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    grams AS (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard_join.WORDS} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct([array_to_string(w[i:i + {jaccard_join.WORDS - 1}], ' ') FOR i IN range(1, len(w) - {jaccard_join.WORDS - 2})]) END) AS g
+        FROM lowered),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * n_both >= {jaccard_join.PERCENT} * (x.n + y.n - n_both)),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a)
+    SELECT r.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+    FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, folder, "documents"))
