@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, toxicity
+from lexigrove.llm import decontamination, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, suffix_dedup, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.joined(table(spark, folder, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
