@@ -39,8 +39,8 @@ ITEM_WORDS = 500_000
 NEAR_TERMS = 3
 NEAR_SLACK = 3
 
-INDEX = "block long, doc_ids array<long>, first array<int>, words array<int>, terms array<binary>, ends array<int>, gaps array<int>"
-FOUND = "block long, number int, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>, near_items array<string>"
+INDEX = "block long, doc_ids array<long>, versions array<long>, first array<int>, words array<int>, terms array<binary>, ends array<int>, gaps array<int>"
+FOUND = "block long, number int, doc_id long, version long, n_words long, spans array<struct<start:int,end:int>>, items array<string>, near_items array<string>"
 
 
 def _block(doc_ids: list, texts: list) -> dict:
@@ -66,16 +66,16 @@ def _block(doc_ids: list, texts: list) -> dict:
 
 def index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Positional postings of all terms of all documents, one row per block."""
-    types = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())),
+    types = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("versions", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())),
                        ("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("gaps", pa.list_(pa.int32()))])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for number, (part, texts) in enumerate(pieces(batches, "text", block_bytes)):
-            block = {"block": base + number, **_block(part.column(0).to_pylist(), texts)}
+            block = {"block": base + number, "versions": part.column(1).to_pylist(), **_block(part.column(0).to_pylist(), texts)}
             yield pa.RecordBatch.from_arrays([pa.array([block[f.name]], f.type) for f in types], schema=types)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(built, INDEX)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(built, INDEX)
 
 
 def _windows(words: list[bytes], size: int) -> range:
@@ -161,7 +161,7 @@ def _item_parts(benchmark: DataFrame) -> Iterator[list]:
 def search(blocks: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = NEAR_SLACK) -> DataFrame:
     """Every indexed document with the word spans of exact matches and the items matched exactly or nearly."""
     context = blocks.sparkSession.sparkContext
-    kind = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+    kind = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()),
                       ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                       ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
@@ -182,7 +182,7 @@ def search(blocks: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: i
                             into.setdefault(number, []).append(item)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([batch.column("block")[i].as_py()] * len(first), pa.int64()), pa.array(range(len(first)), pa.int32()),
-                        cell["doc_ids"], pa.array(counts, pa.int64()),
+                        cell["doc_ids"], cell["versions"], pa.array(counts, pa.int64()),
                         pa.array([_spans(hit[a:a + n]) if d in items else [] for d, (a, n) in enumerate(zip(first, counts))], kind.field("spans").type),
                         pa.array([items.get(d, []) for d in range(len(first))], kind.field("items").type),
                         pa.array([near.get(d, []) for d in range(len(first))], kind.field("near_items").type)], schema=kind)
@@ -195,7 +195,7 @@ def search(blocks: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: i
     rows = passes[0]
     for other in passes[1:]:
         rows = rows.unionByName(other)
-    return rows.groupBy("block", "number", "doc_id", "n_words").agg(
+    return rows.groupBy("block", "number", "doc_id", "version", "n_words").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"),
         F.flatten(F.collect_list("near_items")).alias("near_items"))
 
@@ -215,3 +215,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: in
         n: F.array_sort(F.array_distinct(F.filter(n, lambda x: x.isNotNull()))) for n in ("items", "near_items")})
     return named.withColumn("n_hit", _covered(F.col("spans"))).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated."""
+    bad = matches(docs, benchmark).filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version")).distinct()
+    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version"))
+    return docs.join(bad, same, "left_anti")

@@ -289,8 +289,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
     return pairs.join(one, "a").join(other, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
+    """Per document: doc_id, text hash, size of its set and the root of its component."""
     stats = written(described(docs, n), "shingles")
     rows = stats.filter("part is null").select("doc_id", "version", "n_shingles", "node")
     counts = rarity(stats.filter("part is not null").select("part", "task", "counts"))
@@ -306,13 +306,27 @@ def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
         stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(verified(pairs, texts, n, percent), "links")
     member = components(links.unionByName(more))
-    placed = (rows.join(member.withColumnRenamed("component", "root"), "node", "left")
-              .withColumn("root", F.coalesce("root", "node")))
-    least = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return (placed.join(least, "root", "left")
+    return (rows.join(member.withColumnRenamed("component", "root"), "node", "left")
+            .select("doc_id", "version", "n_shingles", F.coalesce("root", "node").alias("root")))
+
+
+def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    rows = placed(docs, n, percent, heavy)
+    least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return (rows.join(least, "root", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component, and all documents without words."""
+    rows = placed(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version"), "n_shingles", "root")
+    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_id", "_version")).alias("first")).select("first.*")
+    kept = first.unionByName(rows.filter("n_shingles = 0").select("_id", "_version").distinct())
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_version": F.xxhash64("text")})
+    return keyed.join(kept, ["_id", "_version"], "left_semi").dropDuplicates(["_id", "_version"]).select(*docs.columns)
+
+
 def _numbered(docs: DataFrame, counts: np.ndarray, n: int, percent: int, heavy: int) -> DataFrame:
     """Prefix rows with the number of their order, which the last bits of a token tell."""
     return prefixes(docs, counts, n, percent, heavy).withColumn("order_no", F.pmod("token", F.lit(ORDERS)).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, suffix_dedup, toxicity
+from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, suffix_dedup, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_graph_search")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_search.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op4_mixing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
@@ -111,3 +116,4 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
