@@ -13,11 +13,15 @@ Work is by class: documents with equal sets are one node. Steps:
    tasks that keep elements of two or more nodes. Elements so frequent that one
    task could not hold them take an unpacked way of their own;
 3. in each element's group, nodes are first paired with one hub; verified links
-   give components;
+   give components. A few turns with other hubs join most of what belongs
+   together;
 4. then all nodes of a group that still lie in different components are paired,
    so that no link between components is missed, and verified. Pairs inside a
    component need no check: they cannot change the result.
 
+Before any verification a pair must pass a bound: the bits in which two parity
+bitmaps of the sets differ are at most the elements in which the sets differ.
+
 Node ids are 64-bit digests of sets; verification compares whole sets.
 
 Edge cases: null, empty and blank texts have an empty set and are alone, their
@@ -51,6 +55,9 @@ ENTRIES_PER_BUCKET = 1_000_000
 ENTRIES_PER_ROW = 500_000
 HEAVY = 1_000_000
 HUBS = 2
+TURNS = 3
+BITS = 256
+BITMAP = [f"bits{i}" for i in range(BITS // 64)]
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD,
         0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F]
@@ -97,10 +104,18 @@ def digest(hashes: np.ndarray) -> int:
         return int((mixed(hashes, 1).sum(dtype=np.uint64) ^ np.uint64(len(hashes))).view(np.int64))
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of numbers for each set, whose bits tell the parity of the elements that fall on them."""
+    out = np.zeros((len(sets), BITS), dtype=np.uint8)
+    for row, own in zip(out, sets):
+        row[:] = np.bincount((mixed(own, 3) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def described(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """One row per document (id, text hash, size of the set, node) and, at each task's end, its part of the sketch."""
     kind = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()),
-                      ("part", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
+                      *((b, pa.int64()) for b in BITMAP), ("part", pa.int32()), ("task", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cells = Shingler(n), np.zeros(CELLS, dtype=np.uint32)
@@ -110,14 +125,15 @@ def described(docs: DataFrame, n: int = WORDS) -> DataFrame:
             cells += np.bincount((joined % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             rows = len(sets)
             yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), *(pa.nulls(rows, kind.field(i).type) for i in (4, 5, 6))], schema=kind)
+                part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
+                *(pa.array(x) for x in bitmaps(sets).T), *(pa.nulls(rows, kind.field(i).type) for i in (-3, -2, -1))], schema=kind)
         pack = zstandard.ZstdCompressor(level=3)
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pylist([
             {"part": i, "task": task, "counts": pack.compress(c.tobytes())} for i, c in enumerate(np.split(cells.astype(np.uint64), PARTS))], schema=kind)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(
-        run, "doc_id long, version long, n_shingles long, node long, part int, task long, counts binary")
+        run, f"doc_id long, version long, n_shingles long, node long, {', '.join(f'{b} long' for b in BITMAP)}, part int, task long, counts binary")
 
 
 def rarity(sketch: DataFrame) -> np.ndarray:
@@ -238,30 +254,52 @@ def _lengths_fit(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each node with the hubs of its groups, under all orders; the few hubs it shares most with."""
-    hubs = shared.groupBy("order_no", "token").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"))
-    stars = (shared.join(hubs, ["order_no", "token"]).select("order_no", "node", "n", "h.hub", "h.hub_n")
-             .filter("node <> hub").filter(_lengths_fit("n", "hub_n", percent)))
-    both = stars.groupBy("node", "hub").agg(F.count_distinct("order_no").alias("orders"), F.count("*").alias("shared"))
-    best = W.partitionBy("node").orderBy(F.desc("shared"), "hub")
-    return (both.filter(F.col("orders") == ORDERS).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
-            .select(F.col("node").alias("a"), F.col("hub").alias("b")))
+def _may_link(a: str, b: str, percent: int):
+    """False for pairs that the bitmaps prove to differ too much. ``a`` and ``b``: prefixes of columns n and bits."""
+    differing = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITMAP), F.lit(0))
+    return differing * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def _prefixed(df: DataFrame, prefix: str, *names: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in (*names, "n", *BITMAP)]
+
+
+def hub_pairs(placed: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each node with the nearest of its groups' hubs that lie in other components, if they share an element under all orders.
+
+    ``placed``: order_no, token, node, n and component; ``nodes``: node, n and bitmaps.
+    """
+    # Another hub for each element, so that a node meets many.
+    hub = F.min_by(F.struct("node", "component"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), "node")).alias("hub")
+    hubs = placed.groupBy("order_no", "token").agg(hub)
+    both = (placed.join(hubs, ["order_no", "token"]).filter("component <> hub.component")
+            .select("node", F.col("hub.node").alias("hub")).distinct())
+    one, other = nodes.select(*_prefixed(nodes, "a_", "node")), nodes.select(*_prefixed(nodes, "b_", "node"))
+    near = (both.withColumnsRenamed({"node": "a_node", "hub": "b_node"}).join(one, "a_node").join(other, "b_node")
+            .filter(_lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
+    differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
+    best = W.partitionBy("a_node").orderBy(differing, "b_node")
+    chosen = (near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
+              .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    # The pairs must share an element under all orders.
+    elements = placed.select("order_no", "token", "node")
+    meeting = (chosen.join(elements.withColumnRenamed("node", "a"), "a")
+               .join(elements.withColumnRenamed("node", "b"), ["order_no", "token", "b"]))
+    return meeting.groupBy("a", "b").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b")
 
 
-def cross_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a prefix element under every order."""
-    placed = shared.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def cross_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different components that share a prefix element under every order and may be similar enough."""
     per = placed.groupBy("order_no", "token", "component").agg(F.count("*").alias("n_nodes"))
     main = (per.groupBy("order_no", "token").agg(F.max_by("component", F.struct("n_nodes", "component")).alias("main"), F.count("*").alias("kinds"))
             .filter("kinds > 1").select("order_no", "token", "main"))
-    # Columns: order_no, token, node, n, component, main.
-    inside = written(placed.join(main, ["order_no", "token"]), "groups")
-    left = inside.filter("component <> main").select("order_no", "token", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    pairs = (left.join(inside, ["order_no", "token"])
-             .filter((F.col("component") != F.col("a_component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("node"))))
-             .filter(_lengths_fit("a_n", "n", percent)))
-    return (pairs.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    inside = written(placed.join(main, ["order_no", "token"]).join(nodes.drop("n"), "node"), "groups")
+    left = inside.filter("component <> main").select("order_no", "token", *_prefixed(inside, "a_", "node", "component"))
+    right = inside.select("order_no", "token", "main", *_prefixed(inside, "b_", "node", "component"))
+    pairs = (left.join(right, ["order_no", "token"])
+             .filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
+                     & _lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
+    return (pairs.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
             .agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b"))
 
 
@@ -292,20 +330,27 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
 def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
     """Per document: doc_id, text hash, size of its set and the root of its component."""
     stats = written(described(docs, n), "shingles")
-    rows = stats.filter("part is null").select("doc_id", "version", "n_shingles", "node")
+    rows = stats.filter("part is null").select("doc_id", "version", "n_shingles", "node", *BITMAP)
     counts = rarity(stats.filter("part is not null").select("part", "task", "counts"))
     shared = written(_numbered(docs, counts, n, percent, heavy), "prefixes")
-    stars = written(hub_pairs(shared, percent), "stars")
-    nodes = shared.groupBy("node").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("node")
+    held = shared.groupBy("node").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("node")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "version")).alias("first")
-    chosen = rows.filter("n_shingles > 0").groupBy("node").agg(first).join(nodes, "node", "left_semi").select("node", "first.id", "first.version")
-    texts = written(texts_of(docs, chosen), "texts")
-    links = written(verified(stars, texts, n, percent), "links")
-    member = written(components(links), "members")
-    pairs = cross_pairs(shared, member, percent).join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(verified(pairs, texts, n, percent), "links")
-    member = components(links.unionByName(more))
+    nodes = written(rows.filter("n_shingles > 0").groupBy("node").agg(first, F.min("n_shingles").alias("n"), *(F.min(b).alias(b) for b in BITMAP))
+                    .join(held, "node", "left_semi").select("node", "n", *BITMAP, "first.id", "first.version"), "nodes")
+    texts = written(texts_of(docs, nodes.select("node", "id", "version")), "texts")
+    nodes = nodes.drop("id", "version")
+    member = nodes.select("node", F.col("node").alias("component"))
+    links = tried = None
+    for turn in range(TURNS + 1):
+        # Members without a link are components of their own.
+        at = shared.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = hub_pairs(at, nodes, turn, percent) if turn < TURNS else cross_pairs(at, nodes, percent)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(verified(pairs, texts, n, percent), "found")
+        links = found if links is None else links.unionByName(found)
+        if turn == 0 or not found.isEmpty():
+            member = components(links)
     return (rows.join(member.withColumnRenamed("component", "root"), "node", "left")
             .select("doc_id", "version", "n_shingles", F.coalesce("root", "node").alias("root")))
 
