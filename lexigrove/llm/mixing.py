@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from lexigrove.llm.shared import mixed
+from lexigrove.llm.shared import mixed, written
 
 # --- fixed values: words and weights of the mix ---
 WORD = r"[^\x20\x09-\x0D]+"
@@ -193,7 +193,8 @@ def cut(streamed: DataFrame, block_words: int = BLOCK_WORDS, words: Column | Non
 def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """What the mix takes of every document: doc_id, size, source_size, target and taken."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Written once, so that the texts are counted once.
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     made = plan(sized, block_words=block_words)
     sources = source_table(spark, made)
     pieces = cut(streams(sized, sources, sized.count()), block_words)
