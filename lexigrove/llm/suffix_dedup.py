@@ -159,6 +159,7 @@ class BlindTrie:
 
 def deep_shallow(buffer: bytes, starts: np.ndarray, groups: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> np.ndarray:
     """Flags of the suffixes that share their first ``length`` bytes with another of their group."""
+    shallow = min(shallow, length // 8 * 8)
     padded = np.frombuffer(buffer + bytes(8), dtype=np.uint8)
     words = np.ndarray(shape=(len(padded) - 7,), dtype=">u8", buffer=padded.data, strides=(1,))
     repeated = np.zeros(len(starts), dtype=bool)

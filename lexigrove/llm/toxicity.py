@@ -45,7 +45,7 @@ BEGINNINGS = (4, 5)
 KNOWN_WORDS = 300_000
 
 # Costs of the channel, as natural logarithms.
-KEEP, REPLACE, DROP_REPEAT = 0.0, -1.0, -0.5
+KEEP, REPLACE, DROP_REPEAT, DROP_SPACE = 0.0, -1.0, -0.5, -0.5
 
 _odd = re.compile(r"(?=.*[^\W\d_])(?:.*[0134578@$!+|9]|.*?([^\W\d_])\1\1)", re.S)
 _apart = re.compile(r"(?<!\S)(?:[^\W\d_]|[0134578@$!+|9])(?:[ .\-_*][^\W_]|[ .\-_*][@$!+|]){2,}(?![^\s.,;:!?])")
@@ -70,19 +70,28 @@ class CharacterModel:
         """The likeliest plain form of a token.
 
         States are the last two plain characters; of a run of one letter, any
-        number of copies beyond the first may be dropped.
+        number of copies beyond the first may be dropped; a space is dropped or
+        ends a word.
         """
         table = self.table
         states = {(EDGE, EDGE): (0.0, None)}
         previous = ""
         for char in token:
+            if char == " ":
+                after = {}
+                for (a, b), (score, path) in states.items():
+                    for state, total, way in (((a, b), score + DROP_SPACE, path), ((EDGE, EDGE), score + table[a, b, EDGE], (EDGE, path))):
+                        if state not in after or total > after[state][0]:
+                            after[state] = (total, way)
+                states, previous = after, ""
+                continue
             if char in LETTERS:
                 choices = [(LETTERS.index(char), KEEP)]
             elif char in MEANT:
                 choices = [(LETTERS.index(c), REPLACE) for c in MEANT[char]]
             else:
                 continue
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            after = {}
             for (a, b), (score, path) in states.items():
                 for symbol, cost in choices:
                     total = score + cost + table[a, b, symbol]
@@ -96,7 +105,7 @@ class CharacterModel:
         (_, path) = max(((s + table[a, b, EDGE], p) for (a, b), (s, p) in states.items()), key=lambda x: x[0])
         out = []
         while path is not None:
-            out.append(LETTERS[path[0]])
+            out.append((LETTERS + " ")[path[0]])
             path = path[1]
         return "".join(reversed(out))
 
@@ -116,9 +125,14 @@ def restored(text: str, model: CharacterModel) -> Iterator[list[str]]:
     lowered = text.lower()
     for word in set(lowered.split()):
         yield plain(word, model)
+    yield from set_apart(lowered, model)
+
+
+def set_apart(lowered: str, model: CharacterModel) -> Iterator[list[str]]:
+    """Forms of letters set apart: all of them joined, and the words that decoding finds."""
     for apart in _apart.finditer(lowered):
-        joined = re.sub(r"[ .\-_*]", "", apart[0])
-        yield [joined, model.decode(joined)]
+        spaced = re.sub(r"[ .\-_*]", " ", apart[0])
+        yield [spaced.replace(" ", ""), *model.decode(spaced).split()]
 
 
 def names_of(form: str) -> list[str]:
@@ -182,10 +196,8 @@ class Model:
                 names = tuple(n for form in plain(word, self.characters) for n in names_of(form) if n in self.weights)
                 known[word] = names
             yield from names
-        for apart in _apart.finditer(lowered):
-            joined = re.sub(r"[ .\-_*]", "", apart[0])
-            for form in (joined, self.characters.decode(joined)):
-                yield from (n for n in names_of(form) if n in self.weights)
+        for forms in set_apart(lowered, self.characters):
+            yield from (n for form in forms for n in names_of(form) if n in self.weights)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held_out=None) -> DataFrame:
