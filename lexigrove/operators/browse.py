@@ -27,14 +27,14 @@ def orders() -> dict[str, list[Column]]:
 def check_page(offset: int, limit: int, most: int = 101) -> None:
     """At most 100 rows, and one more to learn whether another page follows."""
     if offset < 0 or not 1 <= limit <= most:
-        raise ValueError("Invalid page")
+        raise ValueError("a page needs an offset of 0 or more and a limit within its bound")
 
 
 def page(df: DataFrame, sort: str, offset: int = 0, limit: int = fixed.PAGE_SIZE,
          span: int = 100_000) -> DataFrame:
     check_page(offset, limit)
     if sort not in orders():
-        raise ValueError("Unknown sort order")
+        raise ValueError(f"pages cannot be ordered by {sort!r}")
     if offset + limit <= SHALLOW_ROWS:
         return df.orderBy(*orders()[sort]).offset(offset).limit(limit)
     return deep_page(df, sort, offset, limit, span)
@@ -118,13 +118,14 @@ def page_across_sources(df: DataFrame, sources: DataFrame, offset: int, limit: i
 
 
 def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None = None) -> DataFrame:
-    """Records by a bounded list of numbers, pruned by statistics.
+    """Records by a bounded list of numbers.
 
-    The numbers are literals of the scan, so only row groups and pages that can
-    hold them are read; with the source offsets also only their sources' folders.
+    Up to 10 numbers reach the scan as single values and prune row groups and
+    pages; of more, Spark pushes only the smallest and largest. With the source
+    offsets, folders of other sources are never read.
     """
     found = records.filter(F.col("record_no").isin(record_nos))
-    if offsets is None or not record_nos:
+    if offsets is None or not record_nos or "source" not in records.columns:
         return found
     spans = sorted((r["offset"], r["source"]) for r in offsets.filter("records > 0").select("offset", "source").collect())
     starts = [offset for offset, _ in spans]  # catalog-sized
@@ -135,22 +136,23 @@ def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None
 def enrich(hits: DataFrame, records: DataFrame, columns: list[str], offsets: DataFrame | None = None) -> DataFrame:
     """Columns of the records behind a page or a bounded result list.
 
-    The hits are computed once; their numbers prune the scan of the records, so
-    a page never reads the texts of the corpus.
+    The hits are computed once; their numbers restrict the scan of the records
+    as ``lookup`` describes.
     """
     page_hits = settle(hits)
     numbers = [r["record_no"] for r in page_hits.select("record_no").collect()]
     return page_hits.join(lookup(records, numbers, offsets).select("record_no", *columns), "record_no")
 
 
-def by_ids(df: DataFrame, record_nos: list[int], most: int = 30) -> DataFrame:
-    return df.filter(F.col("record_no").isin(record_nos[:most]))
+def by_ids(df: DataFrame, record_nos: list[int]) -> DataFrame:
+    """All records with the given numbers."""
+    return df.filter(F.col("record_no").isin(record_nos))
 
 
 def full_record(df: DataFrame, record_no: int) -> DataFrame:
     found = df.filter(F.col("record_no") == record_no)
     if found.isEmpty():
-        raise LookupError("Record not found")
+        raise LookupError(f"no record has the number {record_no}")
     return found
 
 
@@ -163,7 +165,7 @@ def original_checked(records: DataFrame, source: str, row: int, identifier: str)
     """Text at a position, only if the id there is the expected one."""
     found = records.filter((F.col("source") == source) & (F.col("source_row") == row) & (F.col("id") == identifier))
     if found.isEmpty():
-        raise LookupError("Record identity differs from the published release")
+        raise LookupError("another record stands at this position")
     return found.select("source", "source_row", "id", "text")
 
 

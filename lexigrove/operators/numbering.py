@@ -40,7 +40,7 @@ def range_counts(df: DataFrame, group: str, position: str, width: int) -> DataFr
     inside = counts.select(
         group, "span", "rows", running_before("rows", ["span"], [group]).alias("span_offset")
     )
-    return settle(inside.join(totals, group))
+    return settle(inside.join(totals.withColumnRenamed(group, "of"), F.col(group).eqNullSafe(F.col("of"))).drop("of"))
 
 
 def dense_numbers(df: DataFrame, group: str, position: str, width: int = RANGE_WIDTH) -> DataFrame:
@@ -50,10 +50,11 @@ def dense_numbers(df: DataFrame, group: str, position: str, width: int = RANGE_W
     local = F.row_number().over(W.partitionBy(group, "span").orderBy(position)) - 1
     return (
         keyed.withColumn("local", local)
-        .join(offsets.drop("rows"), [group, "span"])
+        .join(offsets.drop("rows").withColumnsRenamed({group: "of", "span": "of_span"}),
+              F.col(group).eqNullSafe(F.col("of")) & F.col("span").eqNullSafe(F.col("of_span")))
         .withColumn("source_row", (F.col("span_offset") + F.col("local")).cast("long"))
         .withColumn("record_no", (F.col("group_offset") + F.col("source_row")).cast("long"))
-        .drop("local", "span", "span_offset", "group_offset")
+        .drop("local", "span", "of", "of_span", "span_offset", "group_offset")
     )
 
 

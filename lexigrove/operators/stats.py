@@ -25,12 +25,13 @@ def _records_tokens() -> list[Column]:
 
 def totals(records: DataFrame) -> DataFrame:
     """Records, tokens, sources, annotated. Sources are counted from the
-    per-source partial sums, which avoids a second distinct shuffle."""
+    per-source partial sums, which avoids a second distinct shuffle; rows
+    without a source count as records but are no source."""
     per_source = records.groupBy("source").agg(*_records_tokens(), F.count("content_quality").alias("annotated"))
     return per_source.agg(
         F.coalesce(F.sum("records"), F.lit(0)).cast("long").alias("records"),
         F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens"),
-        F.count("*").alias("sources"),
+        F.count("source").alias("sources"),
         F.coalesce(F.sum("annotated"), F.lit(0)).cast("long").alias("annotated"),
     )
 
@@ -149,7 +150,7 @@ def published_fallback(catalog_sources: DataFrame, field: str, filters: dict | N
     lengths needs the records and is refused here.
     """
     if filters:
-        raise ValueError("Selection statistics are waiting for the complete record index.")
+        raise ValueError("published counts cannot answer a selection by labels or lengths")
     counts = F.col("annotation_distributions")[field]
     labels = catalog_sources.select(F.explode(counts).alias("name", "records"))
     known = F.aggregate(F.coalesce(F.map_values(counts), F.array().cast("array<bigint>")),

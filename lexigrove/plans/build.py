@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lexigrove.operators import audits, joins, numbering
 from lexigrove.sources import sinks, tables
 
-MANIFEST_SCHEMA = "artefact string, status string, revision string, records bigint, fingerprint string"
+MANIFEST_SCHEMA = "artefact string, status string, revision string, records bigint, fingerprint string, folder string"
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -49,18 +50,34 @@ def assemble(parts: list[DataFrame], width: int = numbering.RANGE_WIDTH) -> Data
 
 
 def publish(spark: SparkSession, path: str, snapshot: DataFrame, checks: dict[str, DataFrame],
-            write: Callable[[DataFrame], None]) -> DataFrame:
-    """Writes data and, only after every audit passed, the manifest as the last step."""
+            write: Callable[[DataFrame, str], None]) -> DataFrame:
+    """Writes a new version of the data and, last, the manifest that names it.
+
+    Nothing is written before every audit passed. The new folder is read back;
+    its row count and content digest, overall and by source, must be those of
+    the snapshot. Until the manifest is replaced, readers see the old version,
+    whose folder stays as it is.
+    """
     results = audits.verdict(checks)
     failed = results.filter(F.col("faults") > 0).orderBy("check").limit(len(checks)).collect()
     if failed:
         raise ValueError("Audits failed: " + ", ".join(f"{r['check']} ({r['faults']})" for r in failed))
-    write(snapshot)
-    manifest = describe(snapshot, "records", "ready")
+    folder = f"{path}-data-{uuid.uuid4().hex}"
+    write(snapshot, folder)
+    stored = spark.read.parquet(folder)
+    wanted, got = (sinks.fingerprint(df, ["source"], F.concat_ws("/", "source", "id")) for df in (snapshot, stored))
+    if not (wanted.exceptAll(got).isEmpty() and got.exceptAll(wanted).isEmpty()):
+        raise ValueError("the written data differ from the snapshot")
+    manifest = describe(stored, "records", "ready").withColumn("folder", F.lit(folder))
     manifest.write.mode("overwrite").parquet(path)
     return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
 
 
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The data of the version that the manifest names."""
+    return spark.read.parquet(spark.read.schema(MANIFEST_SCHEMA).parquet(path).first()["folder"])
+
+
 def describe(df: DataFrame, artefact: str, status: str, revision: str = "v1") -> DataFrame:
     """Manifest row: row count and order-free content digest of the record keys."""
     digest = sinks.fingerprint(df, [], F.concat_ws("/", "source", "id"))

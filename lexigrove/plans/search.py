@@ -50,19 +50,20 @@ def index_candidates(index: VectorIndex, query: list[float], allowed: DataFrame
     return similarity.candidates(index.cells, score, chosen, allowed, limit)
 
 
-def use_exact(allowed: DataFrame | None, index: VectorIndex | None,
-              limit: int = fixed.EXACT_SEARCH_LIMIT) -> bool:
-    """Exact search without a current index or for a small selection. The count
-    stops as soon as the limit is passed."""
-    if index is None or not index.ready:
-        return True
-    return allowed is not None and allowed.limit(limit + 1).count() <= limit
+def check_method(method: str, index: VectorIndex | None) -> str:
+    """The caller chooses: all vectors (``exact``) or the cells of a current index (``index``)."""
+    if method not in ("exact", "index"):
+        raise ValueError(f"there is no search method {method!r}")
+    if method == "index" and (index is None or not index.ready):
+        raise ValueError("a search by index needs an index of the current corpus")
+    return method
 
 
 def semantic_candidates(vectors: DataFrame, query: list[float], allowed: DataFrame | None,
                         index: VectorIndex | None, limit: int = fixed.RERANK_CANDIDATES,
-                        digits: int = similarity.SCORE_DIGITS, offsets: DataFrame | None = None) -> DataFrame:
-    if use_exact(allowed, index):
+                        digits: int = similarity.SCORE_DIGITS, offsets: DataFrame | None = None,
+                        method: str = "exact") -> DataFrame:
+    if check_method(method, index) == "exact":
         return similarity.top(similarity.exact_scores(vectors, query, allowed, digits), limit)
     found = index_candidates(index, query, allowed, limit=max(fixed.IVF_CANDIDATES, 2 * limit))
     return similarity.rescored(found, vectors, query, limit, digits, offsets)
@@ -82,7 +83,7 @@ def adaptive_candidates(index: VectorIndex, query: list[float], allowed: DataFra
 
 def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text: str,
            allowed: DataFrame | None = None, index: VectorIndex | None = None, offsets: DataFrame | None = None,
-           candidates: int = fixed.RERANK_CANDIDATES, keep: int = fixed.MAX_RESULTS) -> DataFrame:
+           candidates: int = fixed.RERANK_CANDIDATES, keep: int = fixed.MAX_RESULTS, method: str = "exact") -> DataFrame:
     """Candidates by document cosine, reranked with concept coverage.
 
     Only the texts of the candidates are read: their number is bounded, so their
@@ -91,7 +92,7 @@ def hybrid(vectors: DataFrame, records: DataFrame, vocabulary: DataFrame, text:
     query = encoding.query_of(check_query(text), vocabulary)
     if query is None:
         raise ValueError("No word of the query is in the vocabulary")
-    found = settle(semantic_candidates(vectors, query.vector(), allowed, index, candidates, digits=12))
+    found = settle(semantic_candidates(vectors, query.vector(), allowed, index, candidates, digits=12, offsets=offsets, method=method))
     numbers = [r["record_no"] for r in found.select("record_no").collect()]
     texts = browse.lookup(records, numbers, offsets)
     coverage = encoding.concept_coverage(query, vocabulary, text_fn.words(F.col("text")))

@@ -176,10 +176,9 @@ def validated_publish(w: Workspace) -> DataFrame:
         "tokens": audits.token_counts(w.records),
         "numbers": audits.boundary_numbers(w.records, w.source_table),
     }
-    data = scratch(w.spark, "published")
     manifest = build.publish(
         w.spark, scratch(w.spark, "manifest"), w.records, checks,
-        lambda df: sinks.write_partitioned(df.drop("text"), data, ["corpus", "source"]))
+        lambda df, folder: sinks.write_partitioned(df, folder, ["corpus", "source"]))
     return manifest.select("artefact", "status", "revision", "records")
 
 

@@ -94,13 +94,22 @@ def test_assembly_unites_and_numbers(spark):
 
 def test_publication_needs_every_audit(spark, tmp_path):
     texts = texts_of(spark)
-    data, manifest = str(tmp_path / "d"), str(tmp_path / "m")
-    write = lambda df: sinks.write_partitioned(df, data, ["corpus", "source"])
+    manifest = str(tmp_path / "m")
+    write = lambda df, folder: sinks.write_partitioned(df, folder, ["corpus", "source"])
     with pytest.raises(ValueError, match="keys"):
         build.publish(spark, manifest, texts, {"keys": audits.repeated(texts.union(texts), ["source", "id"])}, write)
-    assert not tables.exists(spark, manifest) and not tables.exists(spark, data)
-    row = build.publish(spark, manifest, texts, {"keys": audits.repeated(texts, ["source", "id"])}, write).first()
+    assert not tables.exists(spark, manifest)
+    good = {"keys": audits.repeated(texts, ["source", "id"])}
+    row = build.publish(spark, manifest, texts, good, write).first()
     assert row["records"] == 9 and row["status"] == "ready"
+    # A writer that stores too little leaves the old version in place.
+    with pytest.raises(ValueError, match="differ"):
+        build.publish(spark, manifest, texts, good, lambda df, folder: write(df.limit(1), folder))
+    assert build.published(spark, manifest).count() == 9
+    # A source that is gone is gone in the next version too.
+    fewer = texts.filter("source <> 'a'")
+    assert build.publish(spark, manifest, fewer, good, write).first()["records"] == 6
+    assert build.published(spark, manifest).select("source").distinct().count() == 2
 
 
 def test_fingerprint_ignores_order_but_not_content(spark):

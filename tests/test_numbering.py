@@ -84,3 +84,9 @@ def test_sample_is_balanced_and_prefiltered(spark):
     assert {r["count"] for r in sample.groupBy("source").count().collect()} == {5}
     plan = sample._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rows_without_group_or_position_are_numbered(spark):
+    rows = spark.createDataFrame([(None, 5), ("a", None), ("a", 10**9), (None, 70_000_000)], "source string, doc_id bigint")
+    got = numbering.dense_numbers(rows, "source", "doc_id", width=10).collect()
+    assert sorted(r["record_no"] for r in got) == [0, 1, 2, 3]

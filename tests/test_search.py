@@ -253,11 +253,13 @@ def test_adaptive_probe_finds_enough(spark, coarse):
 
 def test_strategy(spark, coarse):
     _, _, index = coarse
-    few = spark.range(5).withColumnRenamed("id", "record_no")
-    assert search.use_exact(None, None) and search.use_exact(few, index)
-    assert not search.use_exact(None, index) and not search.use_exact(few, index, limit=4)
+    assert search.check_method("exact", None) == "exact" and search.check_method("index", index) == "index"
+    for method, given in (("index", None), ("fast", index)):
+        with pytest.raises(ValueError):
+            search.check_method(method, given)
     index.ready = False
-    assert search.use_exact(None, index)
+    with pytest.raises(ValueError):
+        search.check_method("index", index)
     index.ready = True
 
 

@@ -135,3 +135,22 @@ def test_deep_page_equals_sorted_page(spark, sort):
 def test_statistics_come_from_one_scan(four):
     cube = stats.cube(four)
     assert cube.agg(F.sum("records"), F.sum("tokens"), F.sum("annotated")).first()[:] == (4, 1160, 3)
+
+
+def test_topic_filters_refuse_what_is_no_topic(spark, four):
+    topics = spark.createDataFrame([(0, 2), (1, 2), (2, -1)], "record_no bigint, topic_id int")
+    assert selection.select(four, {"topic_id": "2"}, topics).count() == 2
+    assert selection.select(four, {"topic_id": -1}, topics).count() == 1
+    for wrong in (2.9, True, 77, "x"):
+        with pytest.raises(ValueError):
+            selection.select(four, {"topic_id": wrong}, topics)
+
+
+def test_a_missing_source_is_no_source(spark, four):
+    rows = four.withColumn("source", F.when(F.col("source") == "s1", F.col("source")))
+    assert stats.totals(rows).first()["sources"] == 1
+
+
+def test_all_asked_ids_are_returned(spark):
+    rows = spark.range(100).withColumnRenamed("id", "record_no")
+    assert browse.by_ids(rows, list(range(50))).count() == 50
