@@ -175,7 +175,9 @@ def index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             "place", pa.array(np.arange(len(order), dtype=np.int32)))
 
     kind = f"dimension int, shard int, node long, vec {nodes.schema['vec'].dataType.simpleString()}, neighbours array<int>, place int"
-    return dealt.select("dimension", "shard", "node", "vec").groupBy("dimension", "shard").applyInArrow(made, kind)
+    # A given number of partitions is not merged: building takes long for few bytes.
+    spread = dealt.select("dimension", "shard", "node", "vec").repartition(shards, "dimension", "shard")
+    return spread.groupBy("dimension", "shard").applyInArrow(made, kind)
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, block_queries: int = BLOCK_QUERIES) -> DataFrame:
