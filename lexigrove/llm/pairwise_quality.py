@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out=None, most: int = TRAIN_R
     if held_out is not None:
         marks = marks.filter(~held_out)
     chosen = marks.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
-    rows = with_features(docs.select("doc_id", "text").join(chosen, "doc_id")).select("label", "features").toArrow()
+    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("label", "features").toArrow()
     flat = rows.column("features").combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0)
     return fit(flat.reshape(-1, len(FEATURES)), rows.column("label").to_numpy())
 

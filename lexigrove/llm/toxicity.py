@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.shared import pieces
+from lexigrove.llm.shared import pieces, written
 
 # --- fixed values: look-alike characters ---
 MEANT = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
@@ -206,7 +206,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held_ou
     if held_out is not None:
         marks = marks.filter(~held_out)
     chosen = marks.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    # At most ``most`` rows of two numbers are broadcast, so no text is shuffled.
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def train(rows: DataFrame, characters: CharacterModel, most_features: int = MOST_FEATURES) -> Model:
@@ -287,5 +288,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, held_out=None) -> tuple[DataFrame, Model]:
     """Scores of all documents and the model behind them. ``held_out``: condition on doc_id of rows not to learn from."""
     characters = character_model(docs)
-    model = train(labelled(docs, labels, held_out=held_out), characters)
+    model = train(written(labelled(docs, labels, held_out=held_out), "labelled"), characters)
     return scored(docs, model), model
