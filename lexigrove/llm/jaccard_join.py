@@ -306,7 +306,8 @@ def cross_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The texts of the chosen nodes: (node, text). ``chosen``: node with the id and text hash of one of its documents."""
     known = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("version"), "text")
-    return known.join(chosen, ["id", "version"]).select("node", "text").dropDuplicates(["node"])
+    # A node is chosen with one id and version, so repeated rows go without another shuffle.
+    return known.join(chosen, ["id", "version"]).dropDuplicates(["id", "version"]).select("node", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
