@@ -310,6 +310,11 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return known.join(chosen, ["id", "version"]).dropDuplicates(["id", "version"]).select("node", "text")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs, written: few of them are broadcast by Spark's own threshold, so other nodes are not shuffled."""
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar enough, compared as a whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +329,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int =
                 keep.append(100 * both >= percent * (len(one) + len(other) - both))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    texts = texts.join(_ends(pairs), "node", "left_semi")
     one, other = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
     return pairs.join(one, "a").join(other, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
