@@ -264,10 +264,11 @@ def _prefixed(df: DataFrame, prefix: str, *names: str) -> list:
     return [F.col(c).alias(prefix + c) for c in (*names, "n", *BITMAP)]
 
 
-def hub_pairs(placed: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+def hub_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each node with the nearest of its groups' hubs that lie in other components, if they share an element under all orders.
 
-    ``placed``: order_no, token, node, n and component; ``nodes``: node, n and bitmaps.
+    ``placed``: order_no, token, node, n and component; ``nodes``: node, n and
+    bitmaps; ``sets``: node and its tokens by order.
     """
     # Another hub for each element, so that a node meets many.
     hub = F.min_by(F.struct("node", "component"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), "node")).alias("hub")
@@ -279,13 +280,19 @@ def hub_pairs(placed: DataFrame, nodes: DataFrame, turn: int, percent: int) -> D
             .filter(_lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
     differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
     best = W.partitionBy("a_node").orderBy(differing, "b_node")
-    chosen = (near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
-              .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
-    # The pairs must share an element under all orders.
-    elements = placed.select("order_no", "token", "node")
-    meeting = (chosen.join(elements.withColumnRenamed("node", "a"), "a")
-               .join(elements.withColumnRenamed("node", "b"), ["order_no", "token", "b"]))
-    return meeting.groupBy("a", "b").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b")
+    chosen = written(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
+                     .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "chosen")
+    sets = sets.join(_ends(chosen), "node", "left_semi")
+    meeting = chosen.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+    shared = [F.arrays_overlap(F.col("a_tokens")[i], F.col("b_tokens")[i]) for i in range(ORDERS)]
+    return meeting.filter(F.forall(F.array(*shared), lambda x: x)).select("a", "b")
+
+
+def tokens_of(shared: DataFrame, held: DataFrame) -> DataFrame:
+    """The shared prefix tokens of each node by order: (node, tokens), at most a prefix of its set under each order."""
+    by_order = [F.collect_list(F.when(F.col("order_no") == i, F.col("token"))) for i in range(ORDERS)]
+    return shared.join(held, "node", "left_semi").groupBy("node").agg(F.array(*by_order).alias("tokens"))
 
 
 def cross_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -346,12 +353,13 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
                     .join(held, "node", "left_semi").select("node", "n", *BITMAP, "first.id", "first.version"), "nodes")
     texts = written(texts_of(docs, nodes.select("node", "id", "version")), "texts")
     nodes = nodes.drop("id", "version")
+    sets = written(tokens_of(shared, nodes.select("node")), "tokens")
     member = nodes.select("node", F.col("node").alias("component"))
     links = tried = None
     for turn in range(TURNS + 1):
         # Members without a link are components of their own.
         at = shared.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = hub_pairs(at, nodes, turn, percent) if turn < TURNS else cross_pairs(at, nodes, percent)
+        pairs = hub_pairs(at, nodes, sets, turn, percent) if turn < TURNS else cross_pairs(at, nodes, percent)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = written(verified(pairs, texts, n, percent), "found")
