@@ -295,6 +295,12 @@ def tokens_of(shared: DataFrame, held: DataFrame) -> DataFrame:
     return shared.join(held, "node", "left_semi").groupBy("node").agg(F.array(*by_order).alias("tokens"))
 
 
+def across(placed: DataFrame) -> DataFrame:
+    """The rows of elements whose nodes lie in several components; the others can link nothing any more."""
+    several = placed.groupBy("order_no", "token").agg(F.min("component").alias("least"), F.max("component").alias("largest")).filter("least <> largest")
+    return placed.join(several.select("order_no", "token"), ["order_no", "token"], "left_semi")
+
+
 def cross_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components that share a prefix element under every order and may be similar enough."""
     per = placed.groupBy("order_no", "token", "component").agg(F.count("*").alias("n_nodes"))
@@ -359,6 +365,9 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     for turn in range(TURNS + 1):
         # Members without a link are components of their own.
         at = shared.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn:
+            at = written(across(at), "elements")
+            shared = at.drop("component")
         pairs = hub_pairs(at, nodes, sets, turn, percent) if turn < TURNS else cross_pairs(at, nodes, percent)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
