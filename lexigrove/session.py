@@ -37,11 +37,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's setting, else our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the cluster's setting, else a folder of this machine, which only a local session may use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="lexigrove-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
