@@ -42,8 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="lexigrove-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigrove-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 

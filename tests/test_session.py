@@ -5,14 +5,11 @@ import pytest
 from lexigrove.session import shared_folder
 
 
-class Settings(dict):
-    def set(self, key, value):
-        self[key] = value
-
-
 def bare(master, checkpoint=None, **conf):
-    context = SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint)
-    return SimpleNamespace(conf=Settings(conf), sparkContext=context)
+    """A session that knows only its settings and its checkpoint folder."""
+    folder = [checkpoint]
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder[0], setCheckpointDir=lambda path: folder.__setitem__(0, path))
+    return SimpleNamespace(conf=conf, sparkContext=context)
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -30,3 +27,9 @@ def test_given_folders_come_first():
 def test_a_local_session_keeps_one_folder():
     spark = bare("local[2]")
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_a_real_session_writes_there(spark):
+    folder = shared_folder(spark)
+    spark.range(3).write.parquet(f"{folder}/session-test")
+    assert spark.read.parquet(f"{shared_folder(spark)}/session-test").count() == 3
