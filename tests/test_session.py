@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from lexigrove.session import shared_folder
+from lexigrove.session import scratch, shared_folder
 
 
 def bare(master, checkpoint=None, **conf):
@@ -30,6 +30,6 @@ def test_a_local_session_keeps_one_folder():
 
 
 def test_a_real_session_writes_there(spark):
-    folder = shared_folder(spark)
-    spark.range(3).write.parquet(f"{folder}/session-test")
-    assert spark.read.parquet(f"{shared_folder(spark)}/session-test").count() == 3
+    path = scratch(spark, "session-test")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(shared_folder(spark)) and spark.read.parquet(path).count() == 3
