@@ -92,7 +92,8 @@ class Scanner:
             for number, offset in uses:
                 notice = self.wanted[number]
                 start = end + 1 - length - offset
-                a, b = max(0, start - notice.edits), start + len(notice.phrase) + notice.edits
+                # The word check on the right reads the next character, even without edits.
+                a, b = max(0, start - notice.edits), start + len(notice.phrase) + max(1, notice.edits)
                 own = found.setdefault(number, [])
                 own.append((a, b))
         merged = {}

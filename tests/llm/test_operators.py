@@ -205,6 +205,18 @@ def test_patterns_find_what_the_scanner_finds():
         assert regex.fullmatch(f"(?:{scanner.wanted[hit['notice']].phrase}){{e<=2}}", "released under the mitt license")
 
 
+def test_base_phrases_end_on_whole_words(spark):
+    texts = ["an mit licensed thing", "apache licenses", "general public licensee", "mit license", "mit licensed mit license", "mit license mit licenses"]
+    rows = list(enumerate(texts))
+    out = {r["doc_id"]: r for r in notices.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        words = text.split()
+        places = [n for p in notices.BASE for n in range(len(words)) if words[n:n + len(p.split())] == p.split()]
+        r = out[i]
+        assert (r["n_base"], r["first_word"], r["last_word"]) == (len(places), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == r["labels"] == ("mit" if places else "") and r["score"] == (1.0 if places else 0.0)
+
+
 # --- 7 ---
 def test_repeated_strings_against_brute_force(docs, none):
     length = 40
