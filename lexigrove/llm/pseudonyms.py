@@ -9,7 +9,8 @@ different ones.
 
 Formats: e-mail addresses (the local part), IPv4 addresses, IBANs (modulo 97),
 ISO and day-month-year dates (within their 400 years), social security numbers,
-phone numbers (after the country code), card numbers (Luhn). Values that fail
+phone numbers (after the country code; three, three and four digits after +1,
+elsewhere at most the digits of the country or 15 in all), card numbers (Luhn). Values that fail
 their check are left alone.
 
 Edge cases: null stays null; empty texts and texts without a value are
@@ -24,6 +25,9 @@ TURNS = 8
 KEY = "corpus"
 
 # --- fixed values: formats and their patterns, in order of precedence ---
+# National digits of some countries at most; elsewhere all digits are 15 at most.
+NATIONAL = {"7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "91": 10}
+LEAST_NATIONAL, ALL_DIGITS = 6, 15
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
@@ -31,7 +35,28 @@ PATTERNS = {
     "iso": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
     "dmy": r"(?<![\w./])\d{2}[./]\d{2}[./]\d{4}(?!\w|[./]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
+}
+
+
+def _phones() -> str:
+    """Phones after +1 have three, three and four digits, others as many as their country allows; no group begins another value."""
+    other = "|".join(PATTERNS[kind] for kind in ("ip", "iso", "dmy", "ssn")) + r"|(?:\d{4}[ -]){3}\d{4}(?!\w|[ -]\d)"
+    step = rf"(?:(?: (?!{other})|[.-])(?=\d\d))?\d"
+
+    def after(code: str, national: int) -> list[str]:
+        return [rf"{code}[ .-]?\(?\d{{{area}}}\)?(?:{step}){{{LEAST_NATIONAL - area},{national - area}}}" for area in (4, 3, 2)]
+
+    formats = [r"1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"]
+    for code, national in NATIONAL.items():
+        formats += after(code, national)
+    listed = "|".join(["1", *NATIONAL])
+    for size in (1, 2, 3):
+        formats += after(rf"(?!{listed})\d{{{size}}}", ALL_DIGITS - size)
+    return rf"(?<![\w+])\+(?:{'|'.join(formats)})(?!\w)" + r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+
+
+PATTERNS |= {
+    "phone": _phones(),
     "card": r"(?<![\w.-])(?:\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)",
 }
 # All but addresses begin with one of a few characters.

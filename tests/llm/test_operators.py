@@ -110,6 +110,17 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert out[3]["text"] is None and out[4]["text"] == "" and out[5]["text"] == rows[4][1] and out[5]["n_values"] == 0
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+1-826-555-4081", "+18265554081", "+45 12 34 56 78", "+49 (30) 1234 5678", "+354 123 4567"])
+def test_numbers_after_a_phone_are_values_of_their_own(spark, phone):
+    others = ["190.137.223.204", "4041894974608795", "4041 8949 7460 8795", "2024-05-17"]
+    followed = [f"{phone} {other}" for other in others] + ([f"{phone} 2024"] if not phone.startswith("+354") else [])
+    rows = list(enumerate([phone, *others, *followed]))
+    out = [r["text"] for r in sorted(pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"])]
+    new, alone, after = out[0], out[1:5], out[5:]
+    assert new != phone and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", phone) and all(a != b for a, b in zip(alone, others))
+    assert after == [f"{new} {other}" for other in alone] + [f"{new} 2024"] * (len(followed) - len(others))
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(189 * 7).select(F.array((F.col("id") / 7).cast("int"), (F.col("id") % 7).cast("int")).alias("s"))
     assert pairs.select(pseudonyms.feistel(F.col("s"), F.array(F.lit(189), F.lit(7)), "t")).distinct().count() == 189 * 7
