@@ -387,9 +387,9 @@ def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, and all documents without words."""
-    rows = placed(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version"), "n_shingles", "root")
+    rows = placed(docs, n, percent).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version"), "n_shingles", "root")
     first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_id", "_version")).alias("first")).select("first.*")
     kept = first.unionByName(rows.filter("n_shingles = 0").select("_id", "_version").distinct())
     keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_version": F.xxhash64("text")})

@@ -348,6 +348,17 @@ def test_one_document_of_each_component(docs):
     assert len(expected - set(ids)) <= 1
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    # One changed word of 50: 43 of 51 shingles of four words, 41 of 51 of five; of 40 words 31 of 41 of five.
+    long, short = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(40)]
+    texts = [long, [*long[:25], "x", *long[26:]], short, [*short[:20], "x", *short[21:]]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()) == [0, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_held_out_rows_follow_crc32(spark):
     from lexigrove.llm.shared import remainder
 
