@@ -113,7 +113,7 @@ class CharacterModel:
 def plain(word: str, model: CharacterModel) -> list[str]:
     """Plain forms of a lower-cased word: itself, and its decoding if it looks obfuscated."""
     bare = word.strip(_strip + "!")
-    if _odd.match(word) and len(word) <= KNOWN_WORDS:
+    if _odd.match(word):
         found = model.decode(word.strip(_strip))
         if found and found != bare:
             return [bare, found]

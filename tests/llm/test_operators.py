@@ -273,6 +273,14 @@ def test_deobfuscation_and_scores(spark, none):
     assert toxicity.toxicity(none, labels)[0].count() == 0
 
 
+def test_words_of_any_length_are_decoded():
+    model = toxicity.CharacterModel.of(np.ones(toxicity.SYMBOLS ** 3))
+    for n in (1_000, 400_000):
+        word = "h4te" + "xyz" * (n // 3)
+        bare, *found = toxicity.plain(word, model)
+        assert bare == word and found and found[0].startswith("h") and "4" not in found[0] and len(found[0]) == len(word)
+
+
 # --- 9 ---
 def test_contamination_against_brute_force(spark, docs, none):
     rng = random.Random(9)
