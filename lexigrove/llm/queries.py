@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, suffix_dedup, toxicity
+from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, ranked_search, suffix_dedup, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+# Maximal runs of ASCII letters, digits and characters beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def query(name: str, sql: str | None = None):
     def register(build):
@@ -117,3 +120,28 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.deduplicated(table(spark, folder, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
+
+
+@query("op13_ranked_search", f"""
+    WITH terms AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+        FROM documents),
+    postings AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+    lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY 1),
+    size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM postings, size GROUP BY term),
+    asked AS (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+        FROM benchmark),
+    scores AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))))::BIGINT AS score
+        FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), size GROUP BY 1, 2),
+    placed AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0)
+    SELECT * FROM placed WHERE rank <= {ranked_search.PLACES}
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
