@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, pseudonyms, ranked_search, suffix_dedup, toxicity
+from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, prefix_trie, pseudonyms, ranked_search, suffix_dedup, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
@@ -145,3 +145,41 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_prefix_trie", """
+    WITH turns AS (
+        SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS t,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 20 AS family,
+               xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                   lambda crc, byte: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(crc, byte)),
+                   4294967295::BIGINT), 4294967295) % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns)),
+    steps AS (
+        SELECT c.conv_id, 0 AS part, p, t, words FROM convs c JOIN turns f ON f.conv_id = c.family AND f.p <= c.h
+        UNION ALL SELECT c.conv_id, 1, p, t, words FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.p > c.h),
+    seqs AS (
+        SELECT c.conv_id, coalesce(list(t ORDER BY part, p) FILTER (t IS NOT NULL), []) AS s, list(words ORDER BY part, p) AS w
+        FROM convs c LEFT JOIN steps USING (conv_id) GROUP BY c.conv_id),
+    paths AS (
+        SELECT conv_id, d, array_to_string(s[1:d], '') AS k, CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], '') END AS parent, len(s) AS n,
+               CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words
+        FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+    nodes AS (
+        SELECT k, d, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends
+        FROM paths GROUP BY k, d),
+    kids AS (SELECT parent AS k, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+    valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (k)),
+    sums AS (
+        SELECT a.k, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+        FROM valued v JOIN paths a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY a.k)
+    SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+    FROM valued v JOIN sums USING (k) LEFT JOIN nodes p ON p.k = v.parent
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))
