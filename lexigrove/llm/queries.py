@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality, prefix_trie, pseudonyms, ranked_search, suffix_dedup, toxicity
+from lexigrove.llm import decontamination, graph_search, jaccard_join, line_spread, mixing, notices, page_text, pairwise_quality, prefix_trie, pseudonyms, ranked_search, suffix_dedup, toxicity
 from lexigrove.llm.shared import remainder, table
 
 QUERIES: dict = {}
@@ -183,3 +183,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))
+
+
+@query("op12_page_text")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_texts(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
