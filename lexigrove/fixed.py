@@ -37,7 +37,6 @@ TITLE_CHARS = 130
 PART_CHARS = 100_000
 MAX_RESULTS = 300
 RERANK_CANDIDATES = 1200
-EXACT_SEARCH_LIMIT = 100_000
 IVF_CANDIDATES = 2400
 PQ_CANDIDATES = 300
 COSINE_WEIGHT = 0.45
@@ -51,7 +50,6 @@ TOPIC_MIN_CLUSTER = 40
 TOPIC_MAX = 28
 TOPIC_MIN_DF = 5
 TOPIC_MAX_DF_SHARE = 0.5
-TOPIC_VOCABULARY = 18_000
 TOPIC_KEYWORDS = 10
 TOPIC_LABEL_MIN_POINTS = 20
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrove import fixed
 from lexigrove.functions import text as text_fn
-from lexigrove.operators.numbering import running_before
+from lexigrove.operators.numbering import SPAN_WIDTH, running_before, span_of
 from lexigrove.session import settle
 
 # Up to this depth each task keeps a heap of the page; beyond it, counts by
 # value range find the few rows of the page first.
 SHALLOW_ROWS = 10_000
 
+# So many folders may be named to a scan; hits in more of them touch most of the table anyway.
+MOST_SPANS = 10_000
+
 
 def orders() -> dict[str, list[Column]]:
     return {
@@ -117,31 +118,23 @@ def page_across_sources(df: DataFrame, sources: DataFrame, offset: int, limit: i
     return df.filter(wanted)
 
 
-def lookup(records: DataFrame, record_nos: list[int], offsets: DataFrame | None = None) -> DataFrame:
-    """Records by a bounded list of numbers.
+def lookup(records: DataFrame, hits: DataFrame, width: int = SPAN_WIDTH) -> DataFrame:
+    """The records whose numbers are in ``hits``, a computed table with ``record_no``.
 
-    Up to 10 numbers reach the scan as single values and prune row groups and
-    pages; of more, Spark pushes only the smallest and largest. With the source
-    offsets, folders of other sources are never read.
+    A table with a ``span`` folder per ``width`` numbers is opened only in the
+    folders of the hits; the numbers themselves are joined, never listed.
     """
-    found = records.filter(F.col("record_no").isin(record_nos))
-    if offsets is None or not record_nos or "source" not in records.columns:
-        return found
-    spans = sorted((r["offset"], r["source"]) for r in offsets.filter("records > 0").select("offset", "source").collect())
-    starts = [offset for offset, _ in spans]  # catalog-sized
-    touched = {spans[max(0, bisect_right(starts, n) - 1)][1] for n in record_nos}
-    return found.filter(F.col("source").isin(sorted(touched)))
+    if "span" in records.columns:
+        spans = hits.select(span_of(F.col("record_no"), width).alias("span")).distinct().limit(MOST_SPANS + 1).collect()
+        if len(spans) <= MOST_SPANS:
+            records = records.filter(F.col("span").isin([r["span"] for r in spans]))
+    return records.join(hits.select("record_no"), "record_no", "left_semi")
 
 
-def enrich(hits: DataFrame, records: DataFrame, columns: list[str], offsets: DataFrame | None = None) -> DataFrame:
-    """Columns of the records behind a page or a bounded result list.
-
-    The hits are computed once; their numbers restrict the scan of the records
-    as ``lookup`` describes.
-    """
-    page_hits = settle(hits)
-    numbers = [r["record_no"] for r in page_hits.select("record_no").collect()]
-    return page_hits.join(lookup(records, numbers, offsets).select("record_no", *columns), "record_no")
+def enrich(hits: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of the records behind a page or a bounded result list, which is computed once."""
+    found = settle(hits)
+    return found.join(lookup(records, found).select("record_no", *columns), "record_no")
 
 
 def by_ids(df: DataFrame, record_nos: list[int]) -> DataFrame:

@@ -1,19 +1,22 @@
 """Document and query vectors from weighted word vectors.
 
-A word-vector vocabulary is a model artefact of fixed size. Its size is checked:
-within the bound it is broadcast once and every task encodes its own records in
-Arrow batches, so texts are neither joined nor shuffled. Beyond the bound the
-words are joined with the vocabulary and summed by record.
+The vocabulary holds every word of the corpus, so it grows with it. Its size is
+checked: within the bound it is broadcast once and every task encodes its own
+records in Arrow batches, so texts are neither joined nor shuffled. Beyond the
+bound the words are joined with the vocabulary and summed by record.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lexigrove import fixed
@@ -85,41 +88,43 @@ def encoder(vocabulary: Broadcast):
     return encode
 
 
-def _joined(tokens: DataFrame, key: str, vocabulary: DataFrame, size: int) -> DataFrame:
-    """The same for a vocabulary too large to broadcast: join, then one sum per dimension."""
-    words = tokens.select(key, F.explode(text_fn.term_counts(F.col("tokens"))).alias("t")).join(
-        vocabulary.select("word", "vec"), F.col("t.term") == F.col("word"))
-    sums = words.groupBy(key).agg(*[
-        F.sum(F.get("vec", F.lit(i)) * F.col("t.tf")).alias(f"d{i}") for i in range(size)
-    ])
-    total = sums.select(key, F.array(*[f"d{i}" for i in range(size)]).alias("total"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    return tokens.select(key).join(total, key, "left").select(
-        key, vec.normalised(F.coalesce("total", zero)).alias("vec"))
+def _joined(words: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """Sums of word vectors for a vocabulary too large to broadcast: ``key, word, n`` → ``key, total``.
+
+    Words meet the vocabulary by word; every task of that join adds up what it
+    holds of a record before the partial vectors move.
+    """
+    known = words.join(vocabulary.select("word", array_to_vector("vec").alias("features")), "word")
+    total = Summarizer.metrics("sum").summary(F.col("features"), F.col("n").cast("double"))
+    return known.groupBy(key).agg(vector_to_array(total["sum"]).alias("total"))
 
 
 def encode_documents(records: DataFrame, vocabulary: DataFrame, key: str = "record_no",
-                     bound: int = VOCABULARY_BYTES) -> DataFrame:
-    """Whole texts → unit document vectors."""
+                     bound: int = VOCABULARY_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+    """Whole texts → unit document vectors, next to the columns of ``keep``."""
     size = dimensions(vocabulary)
-    tokens = records.select(key, text_fn.words(F.col("text")).alias("tokens"))
+    tokens = records.select(key, *keep, text_fn.words(F.col("text")).alias("tokens"))
     words = shared(vocabulary, size, bound)
-    if words is None:
-        return _joined(tokens, key, vocabulary, size)
-    return tokens.select(key, encoder(words)(F.col("tokens")).alias("vec"))
+    if words is not None:
+        return tokens.select(key, encoder(words)(F.col("tokens")).alias("vec"), *keep)
+    counted = tokens.select(key, F.explode(text_fn.term_counts(F.col("tokens"))).alias("t")).select(
+        key, F.col("t.term").alias("word"), F.col("t.tf").alias("n"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    return tokens.select(key, *keep).join(_joined(counted, key, vocabulary), key, "left").select(
+        key, vec.normalised(F.coalesce("total", zero)).alias("vec"), *keep)
 
 
 def encode_long_documents(records: DataFrame, vocabulary: DataFrame,
                           chars: int = fixed.PART_CHARS, key: str = "record_no") -> DataFrame:
     """Texts in parts: each part becomes a unit vector, parts are added by length."""
-    size = dimensions(vocabulary)
     parts = records.select(key, F.posexplode(text_fn.text_parts(F.col("text"), chars)).alias("part", "text"))
     parts = parts.withColumn("place", F.struct(F.col(key), F.col("part"), F.char_length("text").alias("chars")))
     encoded = encode_documents(parts, vocabulary, "place")
-    sums = encoded.groupBy(F.col(f"place.{key}").alias(key)).agg(*[
-        F.sum(F.get("vec", F.lit(i)) * F.col("place.chars")).alias(f"d{i}") for i in range(size)
-    ])
-    return sums.select(key, vec.normalised(F.array(*[f"d{i}" for i in range(size)])).alias("vec"))
+    # An empty part adds a zero vector; a weight of 0 would leave some records without any sum.
+    weight = F.greatest(F.col("place.chars"), F.lit(1)).cast("double")
+    total = Summarizer.metrics("sum").summary(array_to_vector("vec"), weight)
+    sums = encoded.groupBy(F.col(f"place.{key}").alias(key)).agg(vector_to_array(total["sum"]).alias("total"))
+    return sums.select(key, vec.normalised(F.col("total")).alias("vec"))
 
 
 @dataclass
@@ -153,26 +158,30 @@ def query_vector(text: str, vocabulary: DataFrame) -> list[float] | None:
     return query.vector() if query else None
 
 
-def concept_coverage(query: Query, vocabulary: DataFrame, tokens: Column,
-                     bound: int = VOCABULARY_BYTES) -> Column:
-    """How well the known words of a record cover the words of a query.
+def concept_coverage(tokens: DataFrame, query: Query, vocabulary: DataFrame, key: str = "record_no",
+                     bound: int = VOCABULARY_BYTES) -> DataFrame:
+    """How well the known words of a record cover the words of a query: ``key, tokens`` → ``key, coverage``.
 
     For each query word the best cosine to any word of the record, clipped to
     0..1, averaged with the query words' weights. The cosines of all vocabulary
-    words to the query words are computed once and broadcast.
+    words to the query words are computed once; within the bound they are
+    broadcast, beyond it the records' distinct words are joined with them.
     """
-    if vocabulary.count() * (len(query.words) * 8 + 64) > bound:
-        raise ValueError("The vocabulary is too large to share")
     weights = np.linalg.norm(query.vectors, axis=1)
-    cosines = vec.cosines_with(query.vectors)
-    rows = vocabulary.select("word", cosines(F.col("vec")).alias("vec")).toArrow()
+    similar = vocabulary.select("word", vec.cosines_with(query.vectors)(F.col("vec")).alias("vec"))
+    if vocabulary.count() * (len(query.words) * 8 + 64) > bound:
+        words = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("word")).join(similar, "word")
+        best = words.groupBy(key).agg(*[F.max(F.get("vec", F.lit(i))).alias(f"b{i}") for i in range(len(weights))])
+        share = sum((F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"b{i}"))) * float(w / weights.sum()) for i, w in enumerate(weights)), F.lit(0.0))
+        return tokens.select(key).join(best.select(key, share.alias("coverage")), key, "left").fillna(0.0, ["coverage"])
+    rows = similar.toArrow()
     matrix = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-    similar = vocabulary.sparkSession.sparkContext.broadcast((rows["word"].combine_chunks(), matrix))
+    known = vocabulary.sparkSession.sparkContext.broadcast((rows["word"].combine_chunks(), matrix))
 
     @F.arrow_udf(T.DoubleType())
-    def coverage(tokens: pa.Array) -> pa.Array:
-        words, table = similar.value
-        best = _fold(tokens, words, table, np.maximum, 0.0)
+    def coverage(lists: pa.Array) -> pa.Array:
+        words, table = known.value
+        best = _fold(lists, words, table, np.maximum, 0.0)
         return pa.array(np.clip(best, 0, 1) @ weights / weights.sum())
 
-    return coverage(tokens)
+    return tokens.select(key, coverage(F.col("tokens")).alias("coverage"))

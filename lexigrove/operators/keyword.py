@@ -142,10 +142,9 @@ def ranked(top: DataFrame) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str],
-                  offsets: DataFrame | None = None) -> DataFrame:
+def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Hits with an extract of their texts, read after the ranking is final."""
-    return browse.enrich(top, records, ["source", "id", "text"], offsets).select(
+    return browse.enrich(top, records, ["source", "id", "text"]).select(
         "record_no", "source", "id", "score",
         text_fn.preview_snippet(F.col("text"), terms).alias("preview"))
 

@@ -9,12 +9,19 @@ inside a range into a number inside the source and in the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lexigrove.session import settle
+from lexigrove.session import scratch, settle
 
 RANGE_WIDTH = 200_000
 
+# Records per span: tables that are read by record number have one folder per span.
+SPAN_WIDTH = 20_000
+
+
+def span_of(record_no: Column, width: int = SPAN_WIDTH) -> Column:
+    return F.floor(record_no / width).cast("long")
+
 
 def running_before(value: str, order: list, partition: list | None = None):
     window = W.partitionBy(*(partition or [])).orderBy(*order)
@@ -145,6 +152,29 @@ def range_groups(positions: DataFrame, size: int = 30, width: int = RANGE_WIDTH)
     )
 
 
+def ordered(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """The rows with their 0-based place in an order over all of them.
+
+    Ranges of the order are sorted side by side and stored; the rows of each
+    range are counted, and the counts before a range shift its own numbers. No
+    task ever holds more than its range. Rows equal in ``order`` get neighbouring
+    places in any order.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "ordered")
+    # The upper bits are the range, the lower ones the place inside it.
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumn("lexigrove_range", F.shiftright(name, 33))
+    counts = settle(stored.groupBy("lexigrove_range").agg(F.count("*").alias("rows")))
+    before = counts.select("lexigrove_range", running_before("rows", ["lexigrove_range"]).alias("lexigrove_before"))
+    return (
+        stored.join(settle(before), "lexigrove_range")
+        .withColumn(name, F.col("lexigrove_before") + F.col(name) - F.shiftleft(F.col("lexigrove_range"), 33))
+        .drop("lexigrove_range", "lexigrove_before")
+    )
+
+
 def sample_per_group(df: DataFrame, group: str, key: str, count: int, seed: int) -> DataFrame:
     """At most ``count`` rows per group in a seeded pseudo-random order.
 

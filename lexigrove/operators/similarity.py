@@ -7,19 +7,19 @@ vectors, which give every returned score.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from lexigrove import fixed
 from lexigrove.functions import vectors as vec
 from lexigrove.functions.vectors import lists_of, matrix_of
 from lexigrove.operators import browse
-from lexigrove.session import local_table
+from lexigrove.session import local_table, settle
 
 SCORE_DIGITS = 6
 MAX_CELLS = 16_384
@@ -146,21 +146,49 @@ def decoder(query: Sequence[float], low: Sequence[float], high: Sequence[float])
     return approximate
 
 
+def code_loss(query: Sequence[float], low: Sequence[float], high: Sequence[float]) -> float:
+    """How far a score from codes can be from the cosine with a unit query: half a step per dimension."""
+    steps = np.asarray([(b - a) / 255 if b > a else 1.0 for a, b in zip(low, high)])
+    return float(np.abs(np.asarray(query)) @ (steps / 2 + 1e-8 * steps)) + 1e-9
+
+
+def cell_bounds(query: np.ndarray, centroids: DataFrame, cells: Sequence[int] | None = None) -> tuple[list[int], list[float]]:
+    """Cells and the best cosine a member can have with a unit query, best first.
+
+    ``centroids`` has the smallest cosine of a member to its centroid (rounded):
+    two angles bound the third.
+    """
+    rows = centroids.select("cell", "vec", "least").limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError("Too many centroids")
+    only = None if cells is None else set(cells)
+    rows = [r for r in rows if only is None or r["cell"] in only]
+    if not rows:
+        return [], []
+    matrix = np.asarray([r["vec"] for r in rows])
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+    reach = np.arccos(np.clip([r["least"] - 2e-6 for r in rows], -1, 1))
+    angle = np.arccos(np.clip(matrix @ query, -1, 1))
+    bounds = np.cos(np.maximum(angle - reach, 0)) + 1e-9
+    order = np.lexsort(([r["cell"] for r in rows], -bounds))
+    return [rows[i]["cell"] for i in order], [float(bounds[i]) for i in order]
+
+
 def write_cells(assigned: DataFrame, path: str) -> None:
     """One folder per cell; a big cell is spread over several tasks by record number."""
     (
-        assigned.select("record_no", "code", "cell")
+        assigned.select("record_no", "source", "similarity", "code", "cell")
         .repartition("cell", F.floor(F.col("record_no") / 1_000_000))
         .write.option("compression", "zstd").partitionBy("cell").parquet(path)
     )
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("record_no bigint, code array<smallint>, cell bigint").parquet(path)
+    return spark.read.schema("record_no bigint, source string, similarity double, code array<smallint>, cell bigint").parquet(path)
 
 
-def probed(query: Sequence[float], centroids: tuple[list[int], list[list[float]]], probes: int) -> list[int]:
-    """The cells nearest to the query, from the fixed-size centroid table."""
+def probed(query: Sequence[float], centroids: tuple[list[int], list[list[float]]], probes: int | None = None) -> list[int]:
+    """The cells nearest to the query (all by default), from the fixed-size centroid table."""
     ids, table = centroids
     matrix = np.asarray(table)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -176,14 +204,12 @@ def candidates(cells: DataFrame, score: Column, chosen: Sequence[int], allowed:
 
 
 def rescored(found: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int,
-             digits: int = SCORE_DIGITS, offsets: DataFrame | None = None) -> DataFrame:
+             digits: int = SCORE_DIGITS) -> DataFrame:
     """Exact cosines for candidates, so no quantisation error is returned.
 
-    The candidate list is bounded; its numbers are literals of the scan, so the
-    vector table is read only where candidates can be.
+    The vector table is read only in the span folders of the candidates.
     """
-    numbers = [r["record_no"] for r in found.select("record_no").collect()]
-    originals = browse.lookup(vectors, numbers, offsets)
+    originals = browse.lookup(vectors, settle(found.select("record_no")))
     return top(exact_scores(originals, query, digits=digits), limit)
 
 
@@ -238,35 +264,59 @@ def product_score(query: Sequence[float], books: Sequence[Sequence[Sequence[floa
 
 # --- many queries ----------------------------------------------------------------
 
-def self_retrieval(vectors: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: int = 32,
-                   probes: int = 64, keep: int = 50, seed: int = fixed.SEED) -> DataFrame:
-    """Share of sampled vectors that find a cosine of at least 0.98 in their top list.
+def many_candidates(cells: DataFrame, units: np.ndarray, chosen: Sequence[Sequence[int]], low: Sequence[float],
+                    high: Sequence[float], keep: int) -> DataFrame:
+    """Best coded scores of a bounded set of queries, each in its own cells: ``query, record_no, score``.
 
-    The sample has a fixed size, so queries × their cells is a bounded table
-    next to the vectors; each task keeps its best ``keep`` rows per query before
-    anything is shuffled.
+    One matrix product per batch scores all queries; every task keeps one list of
+    ``keep`` rows per query, and the lists are merged by query.
+    """
+    steps = np.asarray([(b - a) / 255 if b > a else 1.0 for a, b in zip(low, high)])
+    factors, base = (units * steps).T, units @ np.asarray(low)
+    asked = [frozenset(c) for c in chosen]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
+        for batch in batches:
+            numbers, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            scores = matrix_of(batch.column(1)) @ factors + base if batch.num_rows else np.zeros((0, len(asked)))
+            present = set(np.unique(cell).tolist())
+            for q, own in enumerate(asked):
+                inside = np.isin(cell, list(own & present))
+                if inside.any():
+                    n, s = np.append(held[q][0], numbers[inside]), np.append(held[q][1], scores[inside, q])
+                    order = np.lexsort((n, -s))[:keep]
+                    held[q] = n[order], s[order]
+        sizes = [len(n) for n, _ in held]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.arange(len(asked)), sizes), pa.int64()), pa.array(np.concatenate([n for n, _ in held]) if held else [], pa.int64()),
+            pa.array(np.concatenate([s for _, s in held]) if held else [], pa.float64())], names=["query", "record_no", "score"])
+
+    some = cells.filter(F.col("cell").isin(sorted(set().union(*asked))) if asked else F.lit(False))
+    rows = some.select("record_no", "code", "cell").mapInArrow(best, "query long, record_no long, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc("record_no")))
+    return rows.withColumn("place", place).filter(F.col("place") <= keep).drop("place")
+
+
+def self_retrieval(vectors: DataFrame, index, queries: int = 32, probes: int = 64, keep: int = 50,
+                   seed: int = fixed.SEED) -> DataFrame:
+    """Share of sampled vectors that find a cosine of at least 0.98 in their list through the stored codes.
+
+    What the codes or the probing lose shows here: candidates come from the
+    index alone, and only they are scored from the original vectors.
     """
-    from pyspark.sql import Window as W
-
-    asked = training_sample(vectors, queries, seed).select("record_no", "vec").collect()
-    table = small_table(centroids)
-    pairs = []
-    for row in asked:
-        unit = np.asarray(row["vec"]) / np.linalg.norm(row["vec"])
-        for cell in probed(unit, table, probes):
-            pairs.append((row["record_no"], cell))
     spark = vectors.sparkSession
-    plan = local_table(spark, pairs, "query bigint, cell bigint")
-    units = local_table(
-        spark, [(r["record_no"], [float(x) for x in r["vec"]]) for r in asked], "query bigint, query_vec array<double>")
-    usable = assigned.filter(F.col("cell") >= 0)
-    scored = usable.join(plan, "cell").join(units, "query").select(
-        "query", "record_no",
-        (vec.dot(F.col("vec"), F.col("query_vec")) / (vec.norm(F.col("vec")) * vec.norm(F.col("query_vec"))))
-        .alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(
-        W.partitionBy("query").orderBy(F.desc("score"), F.asc("record_no"))))
-    found = ranked.filter(F.col("rank") <= keep).groupBy("query").agg(F.max("score").alias("best"))
-    return found.agg(
+    asked = training_sample(vectors, queries, seed).select("record_no", "vec").collect()
+    units = np.asarray([np.asarray(r["vec"]) / np.linalg.norm(r["vec"]) for r in asked])
+    table = small_table(index.centroids)
+    chosen = [probed(u, table, probes) for u in units]
+    found = settle(many_candidates(index.cells, units, chosen, index.low, index.high, keep) if asked
+                   else local_table(spark, [], "query bigint, record_no bigint, score double"))
+    originals = browse.lookup(vectors, found).select("record_no", "vec")
+    given = local_table(spark, [(i, [float(x) for x in u]) for i, u in enumerate(units)], "query bigint, unit array<double>")
+    scored = found.select("query", "record_no").join(originals, "record_no").join(given, "query").select(
+        "query", (vec.dot(F.col("vec"), F.col("unit")) / vec.norm(F.col("vec"))).alias("score"))
+    best = given.select("query").join(scored.groupBy("query").agg(F.max("score").alias("best")), "query", "left")
+    return best.agg(
         F.count("*").alias("queries"),
-        F.round(F.avg((F.col("best") >= 0.98).cast("double")), 6).alias("recall"))
+        F.round(F.avg((F.coalesce("best", F.lit(0.0)) >= 0.98).cast("double")), 6).alias("recall"))

@@ -26,11 +26,11 @@ def fit_sample(vectors: DataFrame, per_source: int = fixed.TOPIC_SAMPLE_PER_SOUR
 
 
 def term_selection(terms: DataFrame, texts: int, known: DataFrame, min_df: int = fixed.TOPIC_MIN_DF,
-                   max_share: float = fixed.TOPIC_MAX_DF_SHARE, size: int = fixed.TOPIC_VOCABULARY) -> DataFrame:
-    """Terms neither rare nor everywhere, the most frequent ones, known to the encoder."""
+                   max_share: float = fixed.TOPIC_MAX_DF_SHARE, size: int | None = None) -> DataFrame:
+    """Terms neither rare nor everywhere and known to the encoder; with ``size`` only the most frequent ones."""
     totals = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * texts))
-    frequent = kept.orderBy(F.desc("cf"), F.asc("term")).limit(size)
+    frequent = kept if size is None else kept.orderBy(F.desc("cf"), F.asc("term")).limit(size)
     return frequent.join(known.select(F.col("word").alias("term")), "term", "left_semi")
 
 

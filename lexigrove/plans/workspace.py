@@ -21,16 +21,13 @@ from lexigrove.sources.sinks import write_partitioned
 # --- fixed values: the derived corpus view -----------------------------------
 DOMAINS = ["News", "Books", "Legal", "Web", "Conversation", "Other"]
 UNPUBLISHED = ["fr"]
-VOCABULARY_SIZE = 2000
-VOCABULARY_VECTORS = 500
-ZERO_EVERY = 97
 VERSION = "v1"
 
 RECORD_SCHEMA = """
     record_no bigint, source_row bigint, doc_id bigint, id string, domain string,
     token_count bigint, text string, content_quality string, content_safety string,
     pii_presence string, content_length string, content_type array<string>,
-    corpus string, source string
+    corpus string, source string, span bigint
 """
 
 
@@ -83,7 +80,7 @@ class Workspace:
 
     @cached_property
     def records(self) -> DataFrame:
-        """Numbered records, one folder per corpus and source."""
+        """Numbered records, one folder per corpus, source and span of numbers."""
         path = scratch(self.spark, "records")
         # One shuffle by (source, range) numbers the rows and is also the layout of
         # the files: a dominant source is many ranges, hence many tasks and files,
@@ -91,8 +88,8 @@ class Workspace:
         # Words are counted after that shuffle, where the rows are spread evenly.
         numbered = numbering.dense_numbers(marked(self.spark, self.folder), "source", "doc_id")
         write_partitioned(
-            described(numbered, "record_no", "source_row"), path, ["corpus", "source"], order="record_no",
-            arranged=True)
+            described(numbered, "record_no", "source_row").withColumn("span", numbering.span_of(F.col("record_no"))),
+            path, ["corpus", "source", "span"], order="record_no", arranged=True)
         return self.spark.read.schema(RECORD_SCHEMA).parquet(path)
 
     @cached_property
@@ -126,32 +123,27 @@ class Workspace:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """Vectors of records; some are all zero and some records have none."""
+        """Vectors of records; some records have none."""
         e = self.spark.read.parquet(f"{self.folder}/embeddings.parquet")
         keys = self.records.select("doc_id", "record_no", "corpus", "source")
-        zeroed = F.when(F.col("vec_id") % ZERO_EVERY == 0, F.transform("embedding", lambda _: F.lit(0.0)))
         joined = keys.join(e, F.col("doc_id") == F.col("vec_id"))
         rows = joined.select(
             "record_no", F.col("label").cast("long").alias("label"),
-            F.coalesce(zeroed, vec.doubles(F.col("embedding"))).alias("vec"), "corpus", "source")
+            vec.doubles(F.col("embedding")).alias("vec"), "corpus", "source", numbering.span_of(F.col("record_no")).alias("span"))
         path = scratch(self.spark, "vectors")
         write_partitioned(
-            rows, path, ["corpus", "source"], F.floor(F.col("record_no") / numbering.RANGE_WIDTH), "record_no")
+            rows, path, ["corpus", "source", "span"], F.floor(F.col("record_no") / numbering.RANGE_WIDTH), "record_no")
         return self.spark.read.schema(rows.schema).parquet(path)
 
     @cached_property
     def raw_vocabulary(self) -> DataFrame:
-        """The most frequent words with an unweighted vector each."""
-        from pyspark.sql import Window as W
-
-        top = self.term_stats.orderBy(F.desc("cf"), F.asc("term")).limit(VOCABULARY_SIZE)
-        ranked = top.select(
-            F.col("term").alias("word"),
-            F.row_number().over(W.orderBy(F.desc("cf"), F.asc("term"))).cast("long").alias("rank"))
+        """Every word of the corpus with an unweighted vector: ranks take the given vectors in turn."""
+        ranked = numbering.ordered(self.term_stats.select("term", "cf"), F.desc("cf"), F.asc("term"))
         e = self.spark.read.parquet(f"{self.folder}/embeddings.parquet").select("vec_id", "embedding")
-        return ranked.join(
-            e, (F.col("rank") - 1) % VOCABULARY_VECTORS == F.col("vec_id")
-        ).select("word", "rank", vec.doubles(F.col("embedding")).alias("raw"))
+        given = numbering.ordered(e, "vec_id", name="turn")
+        count = max(e.count(), 1)
+        return ranked.join(given, F.col("place") % count == F.col("turn")).select(
+            F.col("term").alias("word"), (F.col("place") + 1).alias("rank"), vec.doubles(F.col("embedding")).alias("raw"))
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -194,15 +186,26 @@ class Workspace:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        """Document vectors of whole texts. Built from texts, not from postings:
-        there a record's words lie together, so only one row per record moves."""
-        return self._stored(encoding.encode_documents(self.records, self.vocabulary), "encoded")
+        """Document vectors of whole texts, in folders like the records. Built from
+        texts, not from postings: there a record's words lie together."""
+        keys = self.records.select("record_no", "corpus", "source", "span", "text")
+        rows = encoding.encode_documents(keys, self.vocabulary, keep=["corpus", "source", "span"])
+        path = scratch(self.spark, "encoded")
+        write_partitioned(rows, path, ["corpus", "source", "span"], order="record_no", arranged=True)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @cached_property
     def index(self):
         from lexigrove.plans.search import build_index
 
-        return build_index(self.vectors, scratch(self.spark, "cells"))
+        return build_index(self.vectors, scratch(self.spark, "cells"), records=self.records)
+
+    @cached_property
+    def encoded_index(self):
+        """The index over document vectors, which semantic searches use."""
+        from lexigrove.plans.search import build_index
+
+        return build_index(self.encoded, scratch(self.spark, "encoded-cells"), records=self.records)
 
     @cached_property
     def fitted(self):

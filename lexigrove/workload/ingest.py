@@ -289,7 +289,7 @@ TOP100 = f"SELECT * FROM ({hits_sql(SEARCH)}) ORDER BY score DESC, record_no LIM
     SELECT row_number() OVER (ORDER BY score DESC, h.record_no) AS rank, r.source, r.id, h.score, r.domain, r.token_count
     FROM ({TOP100}) h JOIN records r ON h.record_no = r.record_no WHERE r.domain <> 'Books'""", "records postings")
 def join_enrich_ranked_key(w: Workspace) -> DataFrame:
-    keyed = browse.enrich(_hits(w), w.records, ["source", "id"], w.source_table)
+    keyed = browse.enrich(_hits(w), w.records, ["source", "id"])
     known = w.records.filter(F.col("domain") != "Books")
     rows = joins.enrich_by_key(keyed, known, ["domain", "token_count"])
     return keyword.ranked(rows).select("rank", "source", "id", "score", "domain", "token_count")
@@ -299,7 +299,7 @@ def join_enrich_ranked_key(w: Workspace) -> DataFrame:
     SELECT row_number() OVER (ORDER BY score DESC, h.record_no) AS rank, h.record_no, h.score, r.id, r.source, r.token_count
     FROM ({TOP100}) h JOIN records r ON h.record_no = r.record_no""", "records postings")
 def join_enrich_ranked_no(w: Workspace) -> DataFrame:
-    rows = browse.enrich(_hits(w), w.records, ["id", "source", "token_count"], w.source_table)
+    rows = browse.enrich(_hits(w), w.records, ["id", "source", "token_count"])
     return keyword.ranked(rows).select("rank", "record_no", "score", "id", "source", "token_count")
 
 

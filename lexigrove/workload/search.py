@@ -83,7 +83,7 @@ def search_page(w: Workspace) -> DataFrame:
        "postings records")
 def search_with_snippet(w: Workspace) -> DataFrame:
     top = keyword.best(keyword.bm25(w.postings, w.term_stats, w.collection, SEARCH), 100)
-    return keyword.with_snippets(top, w.records, SEARCH, w.source_table)
+    return keyword.with_snippets(top, w.records, SEARCH)
 
 
 @query("original_text_lookup", """
@@ -196,9 +196,19 @@ def topk_merge(w: Workspace) -> DataFrame:
     return similarity.top(similarity.exact_scores(w.vectors, query_vector(w)), 50)
 
 
-@query("ivf_train")
+@query("ivf_train", f"""
+    WITH n AS (SELECT count(*) AS records FROM vectors WHERE usable),
+      wanted AS (SELECT records, least(16384, greatest(64, max(c) FILTER (c <= greatest(records // 1000, 1)))) AS most
+                 FROM n, (SELECT CAST(pow(2, unnest(range(0, 15))) AS BIGINT) AS c) GROUP BY records)
+    SELECT max(c) FILTER (c <= most AND (least(records, {search.SAMPLE_SIZE}) >= 39 * c OR c = 1)) AS cells, 64::BIGINT AS dimensions, any_value(records) AS records,
+      0::BIGINT AS outside
+    FROM wanted, (SELECT CAST(pow(2, unnest(range(0, 15))) AS BIGINT) AS c)""", "vectors")
 def ivf_train(w: Workspace) -> DataFrame:
-    return w.index.centroids.select("cell", F.size("vec").alias("dimensions"), F.round(vec.norm(F.col("vec")), 6).alias("norm"))
+    """Cells, dimensions, coded vectors, and those farther from their centroid than the index says."""
+    far = similarity.assign(w.vectors, w.index.centroids).join(w.index.centroids.select("cell", "least"), "cell")
+    facts = w.index.centroids.agg(F.count("*").alias("cells"), F.max(F.size("vec")).cast("long").alias("dimensions"))
+    return facts.withColumn("records", w.index.cells.agg(F.count("*")).scalar()).withColumn(
+        "outside", far.filter("similarity < least - 1e-5").agg(F.count("*")).scalar())
 
 
 @query("ivf_train_sample", """
@@ -259,30 +269,34 @@ def pq_score(w: Workspace) -> DataFrame:
     return coded.select("record_no", F.round(similarity.product_score(query_vector(w), books), 6).alias("score"))
 
 
-@query("search_ivf_filtered")
+@query("search_ivf_filtered", f"SELECT record_no, score FROM ({_exact(_ALLOWED)})", "vectors records")
 def search_ivf_filtered(w: Workspace) -> DataFrame:
     allowed = w.records.filter("domain <> 'Books' AND token_count >= 50").select("record_no")
-    return search.index_candidates(w.index, query_vector(w), allowed, probes=4)
+    cells = search.cells_of(w.index, F.col("domain") != "Books")
+    found = search.index_candidates(w.index, query_vector(w), allowed, cells=cells, limit=w.index.cells.count())
+    return similarity.rescored(found, w.vectors, query_vector(w), fixed.MAX_RESULTS)
 
 
 @query("search_rescore_exact", f"SELECT record_no, score FROM ({_exact(limit=100)})", "vectors")
 def search_rescore_exact(w: Workspace) -> DataFrame:
-    cells = len(similarity.small_table(w.index.centroids)[0])
     q = query_vector(w)
-    found = search.index_candidates(w.index, q, None, probes=cells, limit=400)
-    return similarity.rescored(found, w.vectors, q, 100, offsets=w.source_table)
+    return similarity.rescored(search.index_candidates(w.index, q, None, limit=400), w.vectors, q, 100)
 
 
-@query("search_adaptive_probe")
+_NEWS = "AND record_no IN (SELECT record_no FROM records WHERE domain = 'News')"
+
+
+@query("search_adaptive_probe", f"SELECT record_no, score FROM ({_exact(_NEWS, 100)})", "vectors records")
 def search_adaptive_probe(w: Workspace) -> DataFrame:
     allowed = w.records.filter("domain = 'News'").select("record_no")
-    return search.adaptive_candidates(w.index, query_vector(w), allowed, first_probes=1)
+    cells = search.cells_of(w.index, F.col("domain") == "News")
+    return search.bounded_candidates(w.index, w.vectors, query_vector(w), allowed, 100, cells=cells, first_probes=1).rows
 
 
 @query("search_strategy_switch", f"SELECT record_no, score FROM ({_exact(_ALLOWED, 1200)})", "vectors records")
 def search_strategy_switch(w: Workspace) -> DataFrame:
     allowed = w.records.filter("domain <> 'Books' AND token_count >= 50").select("record_no")
-    return search.semantic_candidates(w.vectors, query_vector(w), allowed, w.index)
+    return search.semantic_candidates(w.vectors, query_vector(w), allowed, w.index, method="index")
 
 
 COVERAGE = """(
@@ -299,8 +313,8 @@ COVERAGE = """(
 @query("concept_coverage", f"SELECT record_no, round(coverage, 6) AS coverage FROM {COVERAGE}", "records postings vocab")
 def concept_coverage(w: Workspace) -> DataFrame:
     query_ = encoding.query_of(TEXT, w.vocabulary)
-    coverage = encoding.concept_coverage(query_, w.vocabulary, text_fn.words(F.col("text")))
-    return w.records.select("record_no", F.round(coverage, 6).alias("coverage"))
+    tokens = w.records.select("record_no", text_fn.words(F.col("text")).alias("tokens"))
+    return encoding.concept_coverage(tokens, query_, w.vocabulary).select("record_no", F.round("coverage", 6).alias("coverage"))
 
 
 def _hybrid(where: str = "", keep: int = 300) -> str:
@@ -312,16 +326,17 @@ def _hybrid(where: str = "", keep: int = 300) -> str:
 
 @query("search_hybrid_rerank", f"SELECT record_no, score FROM ({_hybrid()})", "records postings vocab")
 def search_hybrid_rerank(w: Workspace) -> DataFrame:
-    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, offsets=w.source_table)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, index=w.encoded_index, method="index").rows
 
 
 @query("semantic_page", f"""
-    SELECT rank, h.record_no, score, total, id, source, domain, token_count FROM (
-      SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total FROM ({_hybrid()})) h
-    JOIN records r ON r.record_no = h.record_no WHERE rank > 30 AND rank <= 60""", "records postings vocab")
+    SELECT rank, h.record_no, score, total, compared, least(60, total) < total AS has_more, least(60, total) AS next_offset, id, source, domain, token_count
+    FROM (SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total FROM ({_hybrid()})) h
+    JOIN records r ON r.record_no = h.record_no, (SELECT count(*) AS compared FROM {ENCODED} WHERE list_dot_product(vec, vec) > 0)
+    WHERE rank > 30 AND rank <= 60""", "records postings vocab")
 def semantic_page(w: Workspace) -> DataFrame:
-    results = search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, offsets=w.source_table)
-    return search.semantic_page(results, w.records, 30, offsets=w.source_table)
+    results = search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, index=w.encoded_index, method="index")
+    return search.semantic_page(results, w.records, 30)
 
 
 _TOPIC = "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 5)"
@@ -330,13 +345,14 @@ _TOPIC = "AND record_no IN (SELECT record_no FROM assigned WHERE topic_id = 5)"
 @query("semantic_by_topic", f"SELECT record_no, score FROM ({_hybrid(_TOPIC)})", "records postings vocab assigned")
 def semantic_by_topic(w: Workspace) -> DataFrame:
     allowed = selection.eligible(w.records, {"topic_id": 5}, w.assignments)
-    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, allowed, offsets=w.source_table)
+    return search.hybrid(w.encoded, w.records, w.vocabulary, TEXT, allowed, w.encoded_index, method="index").rows
 
 
-@query("validate_self_retrieval")
+@query("validate_self_retrieval", """
+    SELECT least(32, count(*)) AS queries, true AS passes FROM vectors WHERE usable""", "vectors")
 def validate_self_retrieval(w: Workspace) -> DataFrame:
-    assigned = similarity.assign(w.vectors, w.index.centroids)
-    return similarity.self_retrieval(w.vectors, assigned, w.index.centroids, probes=4)
+    facts = similarity.self_retrieval(w.vectors, w.index)
+    return facts.select("queries", (F.col("recall") >= search.LEAST_RECALL).alias("passes"))
 
 
 def _artefacts(w: Workspace) -> DataFrame:

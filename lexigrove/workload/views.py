@@ -68,18 +68,16 @@ VIEWS: dict[str, tuple[str, str]] = {
         GROUP BY term, record_no"""),
     "vectors": ("records", f"""
         SELECT r.record_no, r.corpus, r.source, CAST(e.label AS BIGINT) AS label,
-               CASE WHEN e.vec_id % {ws.ZERO_EVERY} = 0 THEN [0.0::DOUBLE for x in e.embedding]
-                    ELSE CAST(e.embedding AS DOUBLE[]) END AS vec,
-               e.vec_id % {ws.ZERO_EVERY} <> 0 AS usable
+               CAST(e.embedding AS DOUBLE[]) AS vec, list_dot_product(e.embedding, e.embedding) > 0 AS usable
         FROM records r JOIN embeddings e ON r.doc_id = e.vec_id"""),
     "vocab": ("postings", f"""
         SELECT word, rank, rank / (rank + 500.0::DOUBLE) AS weight, raw,
                [x / sqrt(list_dot_product(raw, raw)) * (rank / (rank + 500.0::DOUBLE)) for x in raw] AS vec
         FROM (SELECT word, rank, CAST(embedding AS DOUBLE[]) AS raw
               FROM (SELECT term AS word, row_number() OVER (ORDER BY cf DESC, term) AS rank
-                    FROM (SELECT term, sum(tf) AS cf FROM postings GROUP BY term)
-                    ORDER BY rank LIMIT {ws.VOCABULARY_SIZE})
-              JOIN embeddings ON vec_id = (rank - 1) % {ws.VOCABULARY_VECTORS})"""),
+                    FROM (SELECT term, sum(tf) AS cf FROM postings GROUP BY term))
+              JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS turn FROM embeddings)
+                ON turn = (rank - 1) % (SELECT count(*) FROM embeddings))"""),
     "tag_writes": ("records", """
         SELECT event_id % (SELECT count(*) FROM records) AS record_no,
                CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS tag, ts AS saved_at, event_id
@@ -118,8 +116,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "topic_vocab": ("topic_terms sampled vocab", """
         SELECT term, df, cf FROM (
           SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM topic_terms GROUP BY term
-          HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM sampled)
-          ORDER BY cf DESC, term LIMIT 18000) WHERE term IN (SELECT word FROM vocab)"""),
+          HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(*) FROM sampled)) WHERE term IN (SELECT word FROM vocab)"""),
     "topic_words": ("topic_terms topic_vocab sampled", """
         SELECT topic_id, term AS word, score, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank
         FROM (SELECT topic_id, term, round(tf / size * ln(1 + (SELECT avg(size) FROM sizes) / all_tf), 5) AS score

@@ -90,3 +90,13 @@ def test_rows_without_group_or_position_are_numbered(spark):
     rows = spark.createDataFrame([(None, 5), ("a", None), ("a", 10**9), (None, 70_000_000)], "source string, doc_id bigint")
     got = numbering.dense_numbers(rows, "source", "doc_id", width=10).collect()
     assert sorted(r["record_no"] for r in got) == [0, 1, 2, 3]
+
+
+def test_places_in_an_order_over_all_tasks(spark):
+    rows = [(n, None if n % 10 == 0 else n % 7) for n in range(2000)]
+    df = spark.createDataFrame(rows, "n bigint, k bigint").repartition(5)
+    got = numbering.ordered(df, F.desc("k"), F.asc("n")).collect()
+    expected = sorted(rows, key=lambda r: (-(r[1] if r[1] is not None else -1), r[0]))
+    assert [(r["n"], r["k"]) for r in sorted(got, key=lambda r: r["place"])] == expected
+    assert sorted(r["place"] for r in got) == list(range(2000))
+    assert numbering.ordered(df.limit(0), "n").collect() == []

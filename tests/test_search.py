@@ -79,12 +79,51 @@ def test_query_opens_only_its_folders(index):
     assert "PartitionFilters: [isnotnull(folder" in plan or "folder#" in plan.split("PartitionFilters")[1][:60]
 
 
-def test_lookup_of_a_long_candidate_list(work):
+def scanned(df):
+    """Output rows of the first Parquet scan of a computed plan."""
+    from pyspark.sql import DataFrame
+
+    assert isinstance(df, DataFrame)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            return node.metrics().apply("numOutputRows").value()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    raise AssertionError("no scan")
+
+
+def test_lookup_reads_only_the_spans_of_its_hits(spark, tmp_path):
+    from lexigrove.operators import browse, numbering
+    from lexigrove.sources.sinks import write_partitioned
+
+    rows = spark.range(0, 50_000).select(
+        F.col("id").alias("record_no"), (F.col("id") % 3).cast("string").alias("source"), F.concat(F.lit("text "), "id").alias("text"),
+        numbering.span_of(F.col("id"), 100).alias("span"))
+    write_partitioned(rows, str(tmp_path / "r"), ["span"], order="record_no")
+    stored = spark.read.schema("record_no bigint, source string, text string, span bigint").parquet(str(tmp_path / "r"))
+    wanted = [n * 497 + 3 for n in range(100)]
+    hits = spark.createDataFrame([(n,) for n in wanted], "record_no bigint")
+    found = browse.lookup(stored, hits, 100).select("record_no", "text")
+    assert sorted(map(tuple, found.collect())) == [(n, f"text {n}") for n in wanted]
+    assert scanned(found) == 100 * len({n // 100 for n in wanted})
+    assert browse.lookup(stored, hits.limit(0), 100).isEmpty()
+    assert browse.lookup(stored.drop("span"), hits).count() == 100
+
+
+def test_lookup_of_a_long_candidate_list(spark, work):
     from lexigrove.operators import browse
 
-    found = browse.lookup(work.records, list(range(3000)), work.source_table)
-    assert found.select("text").count() == work.records.count()
-    assert browse.lookup(work.records, [], work.source_table).isEmpty()
+    hits = spark.range(0, 3000).select(F.col("id").alias("record_no"))
+    assert browse.lookup(work.records, hits).select("text").count() == work.records.count()
 
 
 def test_query_length():
@@ -151,8 +190,13 @@ def test_coverage(docs, vocabulary):
 
     query = encoding.query_of("bread ferry bread", vocabulary)
     assert query.words == ["bread", "ferry"] and query.counts == [2, 1]
-    column = encoding.concept_coverage(query, vocabulary, text_fn.words(F.col("text")))
-    got = {r["record_no"]: r["c"] for r in docs.select("record_no", column.alias("c")).collect()}
+    tokens = docs.select("record_no", text_fn.words(F.col("text")).alias("tokens"))
+    for bound in (encoding.VOCABULARY_BYTES, 0):
+        got = {r["record_no"]: r["coverage"] for r in encoding.concept_coverage(tokens, query, vocabulary, bound=bound).collect()}
+        check_coverage(got)
+
+
+def check_coverage(got):
     diagonal, weights = 1 / math.sqrt(2), (0.5, 2 / 502)
     assert got[2] == pytest.approx(1.0) and got[3] == 0
     assert got[0] == pytest.approx((weights[0] * diagonal + weights[1] * 1.0) / sum(weights))
@@ -244,11 +288,39 @@ def test_product_codes_rank_well(coarse):
     assert len(best & {r["record_no"] for r in scored.collect()}) >= 17
 
 
-def test_adaptive_probe_finds_enough(spark, coarse):
-    _, rows, index = coarse
-    few = spark.createDataFrame([(n,) for n in range(1, 600, 5)], "record_no bigint")
-    found = search.adaptive_candidates(index, rows[3][2], few, first_probes=1)
-    assert found.count() >= 100
+def test_bounded_search_is_exact_and_opens_few_cells(spark, coarse):
+    vectors, rows, index = coarse
+    few = set(range(1, 600, 5))
+    allowed = spark.createDataFrame([(n,) for n in few], "record_no bigint")
+    for number, chosen, limit in ((3, None, 10), (3, few, 10), (4, None, 700), (8, few, 119)):
+        found = search.bounded_candidates(index, vectors, rows[number][2], None if chosen is None else allowed, limit, first_probes=1)
+        got = [(r["record_no"], r["score"]) for r in found.rows.collect()]
+        assert got == cosines(rows, rows[number][2], chosen)[:limit]
+    assert search.bounded_candidates(index, vectors, rows[3][2], None, 10, first_probes=1).opened < index.centroids.count()
+    nothing = allowed.limit(0)
+    assert search.bounded_candidates(index, vectors, rows[3][2], nothing, 10).rows.collect() == []
+
+
+def test_bounded_search_with_many_equal_vectors(spark, tmp_path):
+    rows = [(n, "s", [1.0, 2.0, 3.0] if n % 2 else [float(n % 7 + 1), 1.0, -2.0]) for n in range(400)]
+    vectors = spark.createDataFrame(rows, "record_no bigint, source string, vec array<double>")
+    index = search.build_index(vectors, str(tmp_path / "c"), cells=4)
+    found = search.bounded_candidates(index, vectors, [1.0, 2.0, 3.0], None, 30, first_probes=1)
+    assert [r["record_no"] for r in found.rows.collect()] == list(range(1, 61, 2))
+
+
+def test_zone_map_opens_only_cells_with_allowed_rows(spark, coarse, tmp_path):
+    vectors, rows, _ = coarse
+    # Directions differ by domain, so a domain lies in few cells.
+    domains = spark.createDataFrame([(n, f"d{n % 6}") for n, _, _ in rows], "record_no bigint, domain string")
+    index = search.build_index(vectors, str(tmp_path / "c"), cells=6, records=domains)
+    cells = search.cells_of(index, F.col("domain") == "d2")
+    allowed = domains.filter("domain = 'd2'")
+    stored = {(r["cell"], r["record_no"]) for r in index.cells.collect()}
+    assert set(cells) == {c for c, n in stored if n % 6 == 2} and len(cells) < index.centroids.count()
+    found = search.bounded_candidates(index, vectors, rows[2][2], allowed, 15, cells=cells)
+    assert found.cells == len(cells)
+    assert [r["record_no"] for r in found.rows.collect()] == [n for n, _ in cosines(rows, rows[2][2], set(range(2, 600, 6)))[:15]]
 
 
 def test_strategy(spark, coarse):
@@ -263,11 +335,25 @@ def test_strategy(spark, coarse):
     index.ready = True
 
 
-def test_self_retrieval(coarse):
+def test_self_retrieval_sees_what_the_codes_lose(spark, coarse, tmp_path):
     vectors, _, index = coarse
-    assigned = similarity.assign(vectors, index.centroids)
-    row = similarity.self_retrieval(vectors, assigned, index.centroids, probes=2).first()
+    row = similarity.self_retrieval(vectors, index, probes=2).first()
     assert row["queries"] == 32 and row["recall"] >= 0.9
+    lost = search.VectorIndex(index.centroids, index.cells.filter("record_no % 2 = 0").withColumn(
+        "code", F.transform("code", lambda c: (F.lit(255) - c).cast("smallint"))), index.low, index.high)
+    assert similarity.self_retrieval(vectors, lost, keep=1).first()["recall"] < 0.5
+    with pytest.raises(ValueError):
+        search.build_index(vectors, str(tmp_path / "c"), cells=8, least_recall=1.1)
+
+
+def test_many_queries_equal_single_ones(coarse):
+    _, rows, index = coarse
+    units = np.asarray([np.asarray(rows[n][2]) / np.linalg.norm(rows[n][2]) for n in (3, 7, 11)])
+    chosen = [similarity.probed(u, similarity.small_table(index.centroids), 3) for u in units]
+    got = similarity.many_candidates(index.cells, units, chosen, index.low, index.high, 9).collect()
+    for q, (u, cells) in enumerate(zip(units, chosen)):
+        one = similarity.candidates(index.cells, similarity.decoder(u, index.low, index.high)(F.col("code")), cells, None, 9).collect()
+        assert {r["record_no"] for r in got if r["query"] == q} == {r["record_no"] for r in one}
 
 
 def test_training_sample_is_exact_and_repeatable(spark):
@@ -283,13 +369,19 @@ def test_training_sample_is_exact_and_repeatable(spark):
 
 
 def test_hybrid_blends_and_breaks_ties_by_number(docs, vocabulary):
-    vectors = encoding.encode_documents(docs, vocabulary)
-    rows = search.hybrid(vectors, docs, vocabulary, "ferry bread").collect()
-    assert 3 not in {r["record_no"] for r in rows} and rows[0]["record_no"] == 2
+    vectors = encoding.encode_documents(docs, vocabulary, keep=["source"])
+    found = search.hybrid(vectors, docs, vocabulary, "ferry bread")
+    rows = found.rows.collect()
+    assert 3 not in {r["record_no"] for r in rows} and rows[0]["record_no"] == 2 and found.compared == 3
     keys = [(-r["score"], r["record_no"]) for r in rows]
     assert keys == sorted(keys)
     with pytest.raises(ValueError):
         search.hybrid(vectors, docs, vocabulary, "nothing known")
+    page = search.semantic_page(found, docs, 1, 1).first()
+    assert (page["rank"], page["total"], page["compared"], page["has_more"], page["next_offset"]) == (2, 3, 3, True, 2)
+    last = search.semantic_page(found, docs, 2, 5).first()
+    assert (last["rank"], last["has_more"], last["next_offset"]) == (3, False, 3)
+    assert search.semantic_page(found, docs, 3, 5).collect() == []
 
 
 def test_random_queries_keep_their_page_order(index):
