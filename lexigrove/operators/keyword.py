@@ -8,7 +8,9 @@ Scores follow BM25 (Robertson and Zaragoza 2009) with exact lengths.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -61,13 +63,6 @@ def for_terms(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     return wanted.filter(F.col("folder").isin(sorted({r["f"] for r in folders.collect()})))
 
 
-def query_terms(text: str) -> list[str]:
-    """Distinct words of a query in the order given."""
-    spark = SparkSession.active()
-    row = local_table(spark, [(text,)], "q string").select(text_fn.words(F.col("q")).alias("w")).first()
-    return list(dict.fromkeys(row["w"]))
-
-
 def term_totals(index: DataFrame) -> DataFrame:
     """Document and collection frequency per term; partial sums before the shuffle."""
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -149,26 +144,89 @@ def with_snippets(top: DataFrame, records: DataFrame, terms: Sequence[str]) -> D
         text_fn.preview_snippet(F.col("text"), terms).alias("preview"))
 
 
-def phrase(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Records that contain the words next to each other, with the number of places.
+@dataclass
+class Asked:
+    """A query's single words and its quoted phrases."""
+
+    words: list[str]
+    phrases: list[list[str]]
+
+    @property
+    def terms(self) -> list[str]:
+        return list(dict.fromkeys([*self.words, *(t for p in self.phrases for t in p)]))
+
+
+def parse(text: str) -> Asked:
+    """Words and phrases in double quotes; a phrase of one word is a word."""
+    parts = text.split('"')
+    if len(parts) % 2 == 0:
+        raise ValueError("a quoted phrase has no end")
+    rows = local_table(SparkSession.active(), [(i, p) for i, p in enumerate(parts)], "i int, q string").select(
+        "i", text_fn.words(F.col("q")).alias("w")).collect()
+    found = [list(r["w"]) for r in sorted(rows, key=lambda r: r["i"])]
+    words = [w for i, part in enumerate(found) for w in part if i % 2 == 0 or len(part) == 1]
+    return Asked(list(dict.fromkeys(words)), [p for i, p in enumerate(found) if i % 2 and len(p) > 1])
+
+
+def _shifted(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda p: (p - by).cast("int"))
+
+
+def _places(asked: Asked, phrase: Sequence[str]) -> Column:
+    """Starts of a phrase in one record from its words' position columns: shifted lists, intersected."""
+    at = [F.col(f"at{asked.terms.index(t)}") for t in phrase]
+    starts = at[0]
+    for k, positions in enumerate(at[1:], 1):
+        starts = F.array_intersect(starts, _shifted(positions, k))
+    return F.coalesce(F.size(starts), F.lit(0))
+
+
+def _gathered(index: DataFrame, asked: Asked, allowed: DataFrame | None) -> DataFrame:
+    """One row per record with any asked word: its length, frequencies and the positions of words in phrases.
 
-    Answered from the index alone. Records lacking a word are dropped first.
-    Then a word that should be the k-th of the phrase and stands at ``p`` votes
-    for a start at ``p - k``; starts with one vote per word are occurrences.
-    Voting groups hold at most ``len(terms)`` rows, so no group becomes hot.
+    The row is as wide as the query; nothing is exploded and only one group by record is needed.
     """
-    distinct = list(dict.fromkeys(terms))
-    hits = for_terms(index, distinct)
-    whole = hits.groupBy("record_no").agg(F.count("*").alias("n")).filter(F.col("n") == len(distinct))
-    offsets = F.array(*[
-        F.struct(F.lit(t).alias("term"), F.lit(k).alias("k")) for k, t in enumerate(terms)
-    ])
-    places = hits.join(whole.select("record_no"), "record_no", "left_semi").select(
-        "record_no", F.filter(offsets, lambda o: o["term"] == F.col("term")).alias("o"), "positions")
-    starts = F.flatten(F.transform("o", lambda o: F.transform("positions", lambda p: p - o["k"])))
-    votes = places.select("record_no", F.explode(starts).alias("start"))
-    counted = votes.groupBy("record_no", "start").agg(F.count("*").alias("votes"))
-    return counted.filter(F.col("votes") == len(terms)).groupBy("record_no").agg(F.count("*").alias("places"))
+    hits = for_terms(index, asked.terms)
+    if allowed is not None:
+        hits = hits.join(allowed.select("record_no"), "record_no", "left_semi")
+    inside = {t for p in asked.phrases for t in p}
+    return hits.groupBy("record_no").agg(
+        F.max("dl").alias("dl"),
+        *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(asked.terms)],
+        *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at{i}") for i, t in enumerate(asked.terms) if t in inside])
+
+
+def phrase(index: DataFrame, terms: Sequence[str], allowed: DataFrame | None = None) -> DataFrame:
+    """Records that contain the words next to each other, with the number of places, from the index alone."""
+    asked = Asked([], [list(terms)])
+    return _gathered(index, asked, allowed).select("record_no", _places(asked, terms).cast("long").alias("places")).filter("places > 0")
+
+
+def scores(index: DataFrame, term_stats: DataFrame, size: dict, asked: Asked,
+           allowed: DataFrame | None = None, require_all: bool = False) -> DataFrame:
+    """BM25 over words and phrases.
+
+    A phrase counts as one word that occurs at its places and weighs what its
+    words weigh together. A filter decides which records may match and changes
+    no score. With ``require_all`` every word and phrase must occur.
+    """
+    if not asked.phrases:
+        return bm25(index, term_stats, size, asked.words, allowed, require_all)
+    frequencies = {r["term"]: r["df"] for r in for_terms(term_stats, asked.terms).select("term", "df").collect()}
+
+    def idf(term: str) -> float:
+        df = frequencies.get(term, 0)
+        return math.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
+
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    rows = _gathered(index, asked, allowed).select("record_no", "dl", F.array(
+        *[F.struct(F.coalesce(f"tf{i}", F.lit(0)).cast("double").alias("tf"), F.lit(idf(t)).alias("w"))
+          for i, t in enumerate(asked.terms) if t in asked.words],
+        *[F.struct(_places(asked, p).cast("double").alias("tf"), F.lit(sum(map(idf, p))).alias("w")) for p in asked.phrases]).alias("parts"))
+    length = k1 * (1 - b + b * F.col("dl") / F.lit(size["avg_dl"]))
+    score = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["w"] * p["tf"] * (k1 + 1) / (p["tf"] + length))
+    met = F.forall if require_all else F.exists
+    return rows.filter(met("parts", lambda p: p["tf"] > 0)).select("record_no", F.round(score, SCORE_DIGITS).alias("score"))
 
 
 def document_stats(index: DataFrame, size: dict) -> DataFrame:

@@ -186,6 +186,6 @@ def semantic_page(results: Results, records: DataFrame, offset: int, limit: int
 
 def keyword_search(postings: DataFrame, term_stats: DataFrame, size: dict, records: DataFrame, text: str,
                    filters: dict[str, Any], topics: DataFrame | None = None, require_all: bool = False) -> DataFrame:
-    """Scores of all matching records under metadata filters."""
+    """Scores of all records that match words or "quoted phrases" under metadata filters."""
     allowed = selection.eligible(records, filters, topics)
-    return keyword.bm25(postings, term_stats, size, keyword.query_terms(check_query(text)), allowed, require_all)
+    return keyword.scores(postings, term_stats, size, keyword.parse(check_query(text)), allowed, require_all)

@@ -12,6 +12,7 @@ from lexigrove.plans.workspace import UNPUBLISHED, Workspace
 from lexigrove.workload.ingest import QUERY_VECTOR, SEARCH, TOP100, hits_sql, query_vector
 from lexigrove.workload.registry import query
 from lexigrove.workload.statistics import SNIPPET, snippet_start
+from lexigrove.workload.views import WORD
 
 TEXT = "the market of"
 TERMS = ["the", "market", "of"]
@@ -46,14 +47,52 @@ def search_bm25_filtered(w: Workspace) -> DataFrame:
     return search.keyword_search(w.postings, w.term_stats, w.collection, w.records, " ".join(SEARCH), _FILTER)
 
 
-@query("search_phrase", """
+_PHRASE_FILTER = "AND record_no IN (SELECT record_no FROM records WHERE token_count >= 50)"
+
+
+def _phrase_sql(where: str = "") -> str:
+    """Records with the phrase "of the" or the word dans; the phrase weighs as much as its words together."""
+    return f"""SELECT record_no, round(sum(w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM (
+        SELECT record_no, tf, dl, sum(w) AS w FROM (
+          SELECT record_no, any_value(token_count) AS dl, count(*)::DOUBLE AS tf FROM (
+            SELECT record_no, token_count, list_slice(t, i, i + 1) AS pair FROM (
+              SELECT record_no, token_count, t, unnest(range(1, len(t))) AS i FROM (
+                SELECT record_no, token_count, regexp_extract_all(lower(text), {WORD}) AS t FROM records)))
+          WHERE pair = ['of', 'the'] GROUP BY record_no), idf WHERE term IN ('of', 'the') GROUP BY record_no, tf, dl
+        UNION ALL SELECT record_no, tf, dl, w FROM postings JOIN idf USING (term) WHERE term = 'dans'),
+      (SELECT avg(token_count) AS avg_dl FROM records)
+      WHERE true {where} GROUP BY record_no"""
+
+
+_PHRASE_WITH = """WITH idf AS (
+      SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM postings, (SELECT count(*)::DOUBLE AS n FROM records)
+      WHERE term IN ('of', 'the', 'dans') GROUP BY term, n)"""
+
+
+def _phrase_hits(w: Workspace) -> DataFrame:
+    return search.keyword_search(w.postings, w.term_stats, w.collection, w.records, '"of the" dans', {"min_tokens": 50})
+
+
+@query("search_phrase", f"{_PHRASE_WITH} {_phrase_sql(_PHRASE_FILTER)}", "postings records")
+def search_phrase(w: Workspace) -> DataFrame:
+    return _phrase_hits(w)
+
+
+@query("search_phrase_page", f"""{_PHRASE_WITH}
+    SELECT rank, record_no, score, total, least(60, total) < total AS has_more, least(60, total) AS next_offset FROM (
+      SELECT *, row_number() OVER (ORDER BY score DESC, record_no) AS rank, count(*) OVER () AS total
+      FROM ({_phrase_sql(_PHRASE_FILTER)})) WHERE rank > 30 AND rank <= 60""", "postings records")
+def search_phrase_page(w: Workspace) -> DataFrame:
+    return keyword.search_page(_phrase_hits(w), 30)
+
+
+@query("phrase_places", f"""
     SELECT record_no, count(*) AS places FROM (
       SELECT record_no, list_slice(t, i, i + 1) AS pair FROM (
         SELECT record_no, t, unnest(range(1, len(t))) AS i FROM (
-          SELECT record_no, regexp_extract_all(lower(text), $WORD) AS t FROM records)))
-    WHERE pair = ['of', 'the'] GROUP BY record_no""".replace("$WORD", "'[\\p{L}\\p{Nl}\\p{No}]+(?:[''’][\\p{L}\\p{Nl}\\p{No}]+)?'"),
-       "records")
-def search_phrase(w: Workspace) -> DataFrame:
+          SELECT record_no, regexp_extract_all(lower(text), {WORD}) AS t FROM records)))
+    WHERE pair = ['of', 'the'] GROUP BY record_no""", "records")
+def phrase_places(w: Workspace) -> DataFrame:
     return keyword.phrase(w.postings, ["of", "the"])
 
 

@@ -66,6 +66,39 @@ def test_every_word_and_phrase(index, docs):
     assert {r["record_no"] for r in keyword.phrase(index[0], ["island", "bread", "island"]).collect()} == {1}
 
 
+def test_quoted_phrases_score_filter_and_page(index, docs):
+    texts = {n: [w.strip(",") for w in t.split()] for n, _, _, _, t, _ in DOCS}
+    mean = sum(map(len, texts.values())) / len(texts)
+
+    def expected(words, phrases, every=False, allowed=None):
+        found = {}
+        for number, said in texts.items():
+            parts = [[w] for w in words] + phrases
+            counts = [sum(said[i:i + len(p)] == p for i in range(len(said))) for p in parts]
+            if (all if every else any)(counts) and (allowed is None or number in allowed):
+                total = 0
+                for p, tf in zip(parts, counts):
+                    weight = sum(math.log(1 + (4 - df + 0.5) / (df + 0.5)) for df in (sum(t in x for x in texts.values()) for t in p))
+                    total += weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(said) / mean))
+                found[number] = pytest.approx(total, abs=2e-6)
+        return found
+
+    def got(text, filters=None, every=False):
+        return as_dict(search.keyword_search(*index, docs, text, filters or {}, require_all=every))
+
+    assert got('"the island"') == expected([], [["the", "island"]])
+    assert got('bread "of the" "THE Island"') == expected(["bread"], [["of", "the"], ["the", "island"]])
+    assert got('ferry "the island"', every=True) == expected(["ferry"], [["the", "island"]], True)
+    assert got('"of the" bread', {"domain": "News"}) == expected(["bread"], [["of", "the"]], allowed={2})
+    assert got('"the ferry of the island"') == expected([], [["the", "ferry", "of", "the", "island"]]) != {}
+    assert got('"island island"') == {} and got('"ferry"') == expected(["ferry"], [])
+    with pytest.raises(ValueError):
+        got('bread "the island')
+    hits = search.keyword_search(*index, docs, '"the island" bread', {})
+    page = keyword.search_page(hits, 1, 1).first()
+    assert (page["rank"], page["total"], page["has_more"], page["next_offset"]) == (2, 3, True, 2)
+
+
 def test_page_state(index):
     scored = keyword.bm25(*index, ["island"])
     first = keyword.search_page(scored, 0, 2).collect()
