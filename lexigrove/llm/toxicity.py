@@ -270,8 +270,11 @@ def _fit(rows: pd.DataFrame, width: int, ridge: float = 0.1, steps: int = 600) -
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a ``score`` from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents with a ``score`` from 0 to 1.
+
+    The model travels with the function, which Spark sends once per executor: a
+    broadcast would need this package on the workers.
+    """
     columns = [c for c in docs.columns if c != "score"]
     place = columns.index("text")
     schema = docs.select(*columns).schema.add("score", "double")
@@ -279,7 +282,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for part, texts in pieces(batches, columns[place]):
-            scores = pa.array([shared.value.score(t, known) for t in texts], pa.float64())
+            scores = pa.array([model.score(t, known) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, "score"])
 
     return docs.select(*columns).mapInArrow(run, schema)
