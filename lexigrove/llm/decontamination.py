@@ -26,9 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrove.llm.shared import pieces, raw, word_bytes, written
+from lexigrove.llm.shared import pieces, raw, unused, word_bytes, written
 
 # --- fixed values: the contamination rule ---
 WINDOW = 13
@@ -219,6 +219,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: in
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated."""
-    bad = matches(docs, benchmark).filter("contaminated").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version")).distinct()
-    same = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_version"))
-    return docs.join(bad, same, "left_anti")
+    key = unused(docs.columns, "_id", "_version")
+
+    def keys(version: Column) -> list[Column]:
+        return [F.coalesce("doc_id", F.lit(-1)).alias(key[0]), version.alias(key[1])]
+
+    bad = matches(docs, benchmark).filter("contaminated").select(*keys(F.col("version"))).distinct()
+    return docs.select("*", *keys(F.xxhash64("text"))).join(bad, key, "left_anti").select(*docs.columns)

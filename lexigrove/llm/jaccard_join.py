@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexigrove.llm.graph import components
-from lexigrove.llm.shared import mixed, pieces, raw, spaced_bytes, written
+from lexigrove.llm.shared import mixed, pieces, raw, spaced_bytes, unused, written
 
 WORDS = 4
 PERCENT = 85
@@ -389,11 +389,12 @@ def joined(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document with the smallest id of each component, and all documents without words."""
-    rows = placed(docs, n, percent).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("version").alias("_version"), "n_shingles", "root")
-    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("_id", "_version")).alias("first")).select("first.*")
-    kept = first.unionByName(rows.filter("n_shingles = 0").select("_id", "_version").distinct())
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_version": F.xxhash64("text")})
-    return keyed.join(kept, ["_id", "_version"], "left_semi").dropDuplicates(["_id", "_version"]).select(*docs.columns)
+    key = unused([*docs.columns, "n_shingles", "root", "first"], "_id", "_version")
+    rows = placed(docs, n, percent).select(F.coalesce("doc_id", F.lit(-1)).alias(key[0]), F.col("version").alias(key[1]), "n_shingles", "root")
+    first = rows.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    kept = first.unionByName(rows.filter("n_shingles = 0").select(*key).distinct())
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(-1)).alias(key[0]), F.xxhash64("text").alias(key[1]))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def _numbered(docs: DataFrame, counts: np.ndarray, n: int, percent: int, heavy: int) -> DataFrame:

@@ -10,14 +10,17 @@ lines are never boilerplate. Line hashes have 128 bits.
 
 Edge cases: a null source is no site; a null text stays null with no lines, an
 empty text has one blank line; repeated rows give the same result for each; a
-document of boilerplate only keeps its row with the lines that are left; an
-empty table gives an empty result.
+document of boilerplate only keeps its row with the lines that are left; a very long text
+is split inside its row; an empty table gives an empty result. Columns of the
+documents stay, save those named like the results (n_lines, n_removed, kept).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexigrove.llm.shared import unused
+
 MIN_SITES = 10
 SKETCH_LOG_SIZE = 12
 # Relative width of the zone around the threshold that is counted exactly; the
@@ -54,11 +57,11 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     """The documents with ``n_lines``, ``n_removed`` and the text that is left as ``kept``."""
     keys = _line_keys(docs)
     found = keys.drop("source").join(boilerplate(keys, min_sites), ["h1", "h2"])
-    places = found.groupBy("id", "version").agg(F.collect_set("place").alias("_places"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
-    return (docs.select(*own, *[c.alias(f"_{n}") for c, n in zip(_document_key(), ("id", "version"))])
-            .join(places.withColumnsRenamed({"id": "_id", "version": "_version"}), ["_id", "_version"], "left")
-            .select(*own, *_counted(F.col("text"), F.col("_places"))))
+    *key, gone = unused(docs.columns, "_id", "_version", "_places")
+    places = found.groupBy("id", "version").agg(F.collect_set("place").alias(gone)).withColumnsRenamed(dict(zip(("id", "version"), key)))
+    return (docs.select(*own, *[c.alias(n) for c, n in zip(_document_key(), key)])
+            .join(places, key, "left").select(*own, *_counted(F.col("text"), F.col(gone))))
 
 
 def _counted(text: Column, places: Column) -> list[Column]:

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -148,11 +149,12 @@ def _summary(text: str, scanner: Scanner) -> dict:
     if not hits:
         return {"n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": []}
     spans, base, score = [], [], 0.0
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
     for hit in hits:
         notice = scanner.wanted[hit["notice"]]
         # A match may begin or end with the space beside a word.
         start = hit["start"] + (text[hit["start"]] == " ")
-        first = text.count(" ", 0, start)
+        first = int(np.searchsorted(spaces, start))
         last = first + text[start:hit["end"]].rstrip().count(" ")
         spans.append({"label": notice.label, "first_word": first, "last_word": last, "edits": hit["edits"]})
         score = max(score, 1 - hit["edits"] / len(notice.phrase))

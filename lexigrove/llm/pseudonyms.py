@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lexigrove.llm.shared import unused
+
 TURNS = 8
 KEY = "corpus"
 
@@ -233,11 +235,12 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with their values replaced, and ``n_values``, the number of values replaced."""
-    own = [c for c in docs.columns if c not in ("text", "n_values", "_found", "_new")]
+    own = [c for c in docs.columns if c not in ("text", "n_values")]
+    found, new = unused(docs.columns, "_found", "_new")
     # Pieces between the values and the values themselves alternate.
-    found = docs.select(*own, "text", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("_found"))
-    new = found.select("*", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))).alias("_new"))
-    filled = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), F.col("_new"), lambda piece, value: F.array(piece, F.coalesce(value, F.lit(""))))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    return new.select(*own, F.when(F.col("_new").isNotNull(), filled).otherwise(F.col("text")).alias("text"),
-                      F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long").alias("n_values"))
+    rows = docs.select(*own, "text", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias(found))
+    rows = rows.select("*", F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))).alias(new))
+    filled = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), F.col(new), lambda piece, value: F.array(piece, F.coalesce(value, F.lit(""))))), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    return rows.select(*own, F.when(F.col(new).isNotNull(), filled).otherwise(F.col("text")).alias("text"),
+                       F.when(F.col(new).isNotNull(), changed).otherwise(0).cast("long").alias("n_values"))

@@ -84,6 +84,17 @@ def mixed(values: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo a divisor."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

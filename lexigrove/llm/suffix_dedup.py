@@ -244,13 +244,18 @@ def _sorted_runs(contexts: DataFrame, length: int) -> DataFrame:
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, singly: bool) -> DataFrame:
     """Bytes of the wanted runs; ``singly``: instead, a digest of each start's string."""
-    grouped = wanted.groupBy("id", "version").agg(F.collect_list(F.struct("bucket", "place")).alias("wanted"))
+    grouped = wanted.groupBy("id", "version").agg(F.collect_set(F.struct("bucket", "place")).alias("wanted"))
     joined = docs.select("id", "version", "text").join(grouped, ["id", "version"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal rows have the same runs, which are known to repeat: one of them is enough.
+        seen = set()
         for part, texts in pieces(batches, "text"):
             out: list[list] = [[] for _ in range(5)]
             for doc, version, text, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, part.column(3).to_pylist()):
+                if (doc, version) in seen:
+                    continue
+                seen.add((doc, version))
                 for row in rows:
                     start, number = row["place"] >> 16, row["place"] & 0xFFFF
                     for a, n in ((start + i, 1) for i in range(number)) if singly else ((start, number),):
@@ -300,7 +305,7 @@ def _removed(stretches: list, size: int, length: int) -> list[tuple[int, int]]:
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """Per document: sizes, removed bytes and runs, digest and bytes of what is left."""
     keyed = _keyed(docs)
-    starts = repeated_starts(keyed, length, gram, large).groupBy("id", "version").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    starts = repeated_starts(keyed, length, gram, large).groupBy("id", "version").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
     joined = keyed.join(starts, ["id", "version"], "left").select("doc_id", "text", "starts")
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                       ("kept_sha256", pa.string()), ("kept", pa.binary())])
