@@ -3,7 +3,8 @@
 A HyperLogLog sketch of sites per line hash, merged by aggregation, estimates
 the spread. Lines whose estimate lies near the threshold get exact distinct
 counts. Lines on ``min_sites`` sites or more are boilerplate and are removed
-from every document.
+from every document; without a given number it is half of the corpus's sites,
+``LEAST_SITES`` at least.
 
 A line is a part between newlines, compared without spaces at its ends; blank
 lines are never boilerplate. Line hashes have 128 bits.
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrove.llm.shared import unused
 
-MIN_SITES = 10
+SITE_SHARE = 2
+LEAST_SITES = 3
 SKETCH_LOG_SIZE = 12
 # Relative width of the zone around the threshold that is counted exactly; the
 # sketches' standard error is 1.6 %, so this is far outside their noise.
@@ -43,7 +45,13 @@ def _document_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("version")]
 
 
-def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def threshold(docs: DataFrame) -> int:
+    """Half of the named sites of all documents, but not fewer than ``LEAST_SITES``."""
+    sites = docs.agg(F.countDistinct("source").alias("n")).first()["n"]
+    return max(LEAST_SITES, -(-sites // SITE_SHARE))
+
+
+def boilerplate(keys: DataFrame, min_sites: int) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites."""
     spread = keys.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", SKETCH_LOG_SIZE)).alias("about"))
     clear = spread.filter(F.col("about") > min_sites * (1 + NEAR)).select("h1", "h2")
@@ -53,8 +61,9 @@ def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(exact)
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int | None = None) -> DataFrame:
     """The documents with ``n_lines``, ``n_removed`` and the text that is left as ``kept``."""
+    min_sites = threshold(docs) if min_sites is None else min_sites
     keys = _line_keys(docs)
     found = keys.drop("source").join(boilerplate(keys, min_sites), ["h1", "h2"])
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]

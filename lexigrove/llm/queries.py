@@ -41,7 +41,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         FROM documents),
     common AS (
         SELECT trim(line, ' ') AS line FROM parts WHERE trim(line, ' ') <> ''
-        GROUP BY 1 HAVING count(DISTINCT source) >= {line_spread.MIN_SITES}),
+        GROUP BY 1 
+        HAVING count(DISTINCT source) >= (SELECT greatest({line_spread.LEAST_SITES}, ceil(count(DISTINCT source) / {line_spread.SITE_SHARE})) FROM documents)),
     marked AS (
         SELECT p.doc_id, p.line, p.place, c.line IS NOT NULL AS gone
         FROM parts p LEFT JOIN common c ON trim(p.line, ' ') = c.line)

@@ -50,3 +50,33 @@ def test_a_long_text_of_notices_takes_linear_time(spark):
     row = notices.scan(spark.createDataFrame([(1, "MIT License " * n)], "doc_id long, text string")).drop("spans").first()
     assert time.time() - started < 30
     assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (2 * n, n, 0, 2 * n - 2)
+
+
+def test_threshold_grows_with_the_sites(spark):
+    def docs(sites):
+        return spark.createDataFrame([(i, f"menu\nown {i}", f"s{i}") for i in range(sites)] + [(99, "menu", None)], "doc_id long, text string, source string")
+
+    assert [line_spread.threshold(docs(n)) for n in (0, 4, 7, 20)] == [3, 3, 4, 10]
+    few = line_spread.without_boilerplate(docs(2)).agg({"n_removed": "sum"}).first()[0]
+    some = line_spread.without_boilerplate(docs(4)).agg({"n_removed": "sum"}).first()[0]
+    assert (few, some) == (0, 5)
+
+
+def test_stages_on_odd_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    long = "a plain word " * 30_000
+    odd = docs.withColumnsRenamed({"_id": "score", "_version": "kept", "_places": "Score_"}).unionByName(
+        docs.filter("doc_id in (3, 6)").withColumnsRenamed({"_id": "score", "_version": "kept", "_places": "Score_"}))
+    odd = odd.unionByName(spark.createDataFrame([(50, long, "en", "s1", 1, *["x"] * 10), (None, "own words", "en", None, 1, *["x"] * 10)], odd.schema))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (0, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(10, 30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (odd, odd.limit(0)):
+        kept = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == rows.columns, name
+            found = out.collect()
+            assert (len(found) > 0) == (rows is odd)
+            assert all(r["score"] in (f"_id{r['doc_id']}", "x") and r["kept"] in (f"_version{r['doc_id']}", "x") for r in found), name
+        assert len(corpus_pipeline.mixed(spark, kept, str(tmp_path)).collect()) >= 0
