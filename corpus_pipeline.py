@@ -2,6 +2,12 @@
 
 Every stage takes the documents its predecessor kept; all but the last return
 the columns of ``documents``.
+
+Edge cases, for every stage: null and empty texts are kept as they are (they
+have no words, lines or toxic parts); repeated rows are judged alike, and the
+near-duplicate stage leaves one of them; a null doc_id counts as an id of its
+own; a very long text is one row like others; an empty table stays empty;
+further columns come through unchanged, also if they are named like a helper.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lexigrove.llm import decontamination, jaccard_join, line_spread, mixing, toxicity  # noqa: E402
-from lexigrove.llm.shared import remainder, table, written  # noqa: E402
+from lexigrove.llm.shared import remainder, table, unused, written  # noqa: E402
 
 # Scores come from a trained model, so SQL cannot state the rows.
 ORACLE_SQL = None
@@ -24,15 +30,31 @@ NEAR_WORDS = 5
 NEAR_PERCENT = 80
 
 
+def beside(docs: DataFrame, stage, *taken: str) -> DataFrame:
+    """Runs a stage that adds columns named ``taken``; columns of the user with such names are set aside meanwhile."""
+    clashing = [c for c in docs.columns if c.lower() in taken]
+    aside = dict(zip(clashing, unused([*docs.columns, *taken], *clashing)))
+    back = {v: k for k, v in aside.items()}
+    done = stage(docs.withColumnsRenamed(aside))
+    return done.select(*[F.col(aside.get(c, c)).alias(back.get(aside.get(c, c), c)) for c in docs.columns])
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
-    scores, _ = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), held_out)
-    return scores.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        scores, _ = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), held_out)
+        return scores.filter(F.col("score") < toxicity.THRESHOLD)
+
+    return beside(docs, stage, "score")
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_spread.without_boilerplate(docs).withColumn("text", F.col("kept"))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    def stage(rows: DataFrame) -> DataFrame:
+        kept = line_spread.without_boilerplate(rows).withColumn("text", F.col("kept"))
+        return kept.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType))
+
+    return beside(docs, stage, "n_lines", "n_removed", "kept")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
