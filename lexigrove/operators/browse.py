@@ -143,7 +143,10 @@ def by_ids(df: DataFrame, record_nos: list[int]) -> DataFrame:
 
 
 def full_record(df: DataFrame, record_no: int) -> DataFrame:
+    """All columns of one record, read from its span folder."""
     found = df.filter(F.col("record_no") == record_no)
+    if "span" in df.columns:
+        found = found.filter(F.col("span") == record_no // SPAN_WIDTH).drop("span")
     if found.isEmpty():
         raise LookupError(f"no record has the number {record_no}")
     return found

@@ -1,8 +1,7 @@
 """Dense numbers, offsets, pages and runs without any group-wide sort.
 
 A source may hold a third of all rows, so nothing here sorts or counts a whole
-source in one task. Rows are grouped by ``(group, position range)``; a range
-holds at most ``width`` rows because positions are distinct integers. The
+source in one task. Rows are dealt out by ranges of their order or position; the
 per-range counts are a small summary, and their running sums turn a number
 inside a range into a number inside the source and in the corpus.
 """
@@ -35,33 +34,19 @@ def source_offsets(sources: DataFrame) -> DataFrame:
     return sources.withColumn("offset", running_before("records", ["source"]))
 
 
-def range_counts(df: DataFrame, group: str, position: str, width: int) -> DataFrame:
-    """Per ``(group, range)``: rows, offset in the group, offset in the corpus."""
-    counts = (
-        df.groupBy(group, F.floor(F.col(position) / width).cast("long").alias("span"))
-        .agg(F.count("*").alias("rows"))
-    )
-    counts = settle(counts)
-    totals = counts.groupBy(group).agg(F.sum("rows").alias("rows"))
-    totals = totals.select(group, running_before("rows", [group]).alias("group_offset"))
-    inside = counts.select(
-        group, "span", "rows", running_before("rows", ["span"], [group]).alias("span_offset")
-    )
-    return settle(inside.join(totals.withColumnRenamed(group, "of"), F.col(group).eqNullSafe(F.col("of"))).drop("of"))
+def dense_numbers(df: DataFrame, group: str, position: str) -> DataFrame:
+    """Adds ``record_no`` (0-based overall, by group and position) and ``source_row`` (0-based in the group).
 
-
-def dense_numbers(df: DataFrame, group: str, position: str, width: int = RANGE_WIDTH) -> DataFrame:
-    """Adds ``source_row`` (0-based in the group) and ``record_no`` (0-based overall)."""
-    offsets = range_counts(df, group, position, width)
-    keyed = df.withColumn("span", F.floor(F.col(position) / width).cast("long"))
-    local = F.row_number().over(W.partitionBy(group, "span").orderBy(position)) - 1
+    Positions may be sparse, negative or texts; repeated rows and null groups are
+    numbered like others. Ranges come from a sample of the order itself, so their
+    size depends neither on the gaps between positions nor on a dominant group.
+    """
+    placed = ordered(df, F.col(group).asc_nulls_first(), F.col(position).asc_nulls_first(), name="record_no")
+    firsts = settle(placed.groupBy(F.col(group).alias("lexigrove_group")).agg(F.min("record_no").alias("lexigrove_first")))
     return (
-        keyed.withColumn("local", local)
-        .join(offsets.drop("rows").withColumnsRenamed({group: "of", "span": "of_span"}),
-              F.col(group).eqNullSafe(F.col("of")) & F.col("span").eqNullSafe(F.col("of_span")))
-        .withColumn("source_row", (F.col("span_offset") + F.col("local")).cast("long"))
-        .withColumn("record_no", (F.col("group_offset") + F.col("source_row")).cast("long"))
-        .drop("local", "span", "of", "of_span", "span_offset", "group_offset")
+        placed.join(firsts, F.col(group).eqNullSafe(F.col("lexigrove_group")))
+        .withColumn("source_row", F.col("record_no") - F.col("lexigrove_first"))
+        .drop("lexigrove_group", "lexigrove_first")
     )
 
 

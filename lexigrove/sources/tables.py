@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexigrove.session import local_table
 
@@ -37,29 +37,32 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return result
 
 
-def per_source_files(spark: SparkSession, globs: dict[str, list[str]], expected: DataFrame,
+def per_source_files(spark: SparkSession, folders: dict[str, list[str]], expected: DataFrame,
                      schema: T.StructType) -> DataFrame:
-    """One scan over the file lists of all sources.
+    """One scan over the folders of all sources.
 
-    The declared sources must equal the catalog's, otherwise nothing is read.
-    Globs are resolved by listing only; a small file → source table then names
-    the rows of the single scan.
+    The declared sources must equal the catalog's, otherwise nothing is read. A
+    row's source is the one whose folder holds its file: the small table of
+    folders is joined, no file is listed by the driver. A file of no declared
+    folder is an error, never dropped.
     """
-    declared = local_table(spark, [(s,) for s in sorted(globs)], "source string")
+    declared = local_table(spark, [(s,) for s in sorted(folders)], "source string")
     wanted = expected.select("source").distinct()
     if not declared.exceptAll(wanted).isEmpty() or not wanted.exceptAll(declared).isEmpty():
         raise ValueError("Input sources differ from the catalog")
-    files = [
-        (path, source) for source, paths in sorted(globs.items())
-        for path in spark.read.schema(schema).parquet(*paths).inputFiles()
-    ]
-    plain = F.regexp_replace("file_path", "^file:/+", "/")  # both spellings of a local path
-    names = local_table(spark, files, "file_path string, source string").withColumn("file_path", plain)
-    rows = spark.read.schema(schema).parquet(*[path for path, _ in files])
-    return rows.select(
+
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/+$", "")  # both spellings of a local path
+
+    roots = local_table(spark, [(f, s) for s, fs in sorted(folders.items()) for f in fs], "root string, source string")
+    rows = spark.read.schema(schema).parquet(*[f for fs in folders.values() for f in fs])
+    placed = rows.select(
         *[f for f in schema.names if f != "source"],
         F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("row_index"),
-    ).withColumn("file_path", plain).join(names, "file_path")
+    ).withColumn("root", plain(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)))
+    named = placed.join(roots.withColumn("root", plain(F.col("root"))), "root", "left")
+    return named.withColumn("source", F.when(F.col("source").isNotNull(), F.col("source")).otherwise(
+        F.raise_error(F.concat(F.lit("no source has the folder "), F.col("root"))))).drop("root")
 
 
 def optional_annotations(spark: SparkSession, path: str | None) -> DataFrame:

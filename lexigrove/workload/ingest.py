@@ -50,7 +50,7 @@ def scan_multi_file_source(w: Workspace) -> DataFrame:
     path = _source_files(w)
     names = [r["source"] for r in w.source_table.select("source").collect()]
     rows = tables.per_source_files(
-        w.spark, {s: [f"{path}/source={s}/*.parquet"] for s in names}, w.source_table,
+        w.spark, {s: [f"{path}/source={s}"] for s in names}, w.source_table,
         documents(w.spark, w.folder).schema)
     return rows.select("source", "doc_id", F.char_length("text").cast("long").alias("chars"))
 
@@ -471,15 +471,16 @@ def set_vocab_intersection(w: Workspace) -> DataFrame:
 
 # --- streams -------------------------------------------------------------------------
 
-@query("stream_ingest_sources", "SELECT source, doc_id, 'doc-' || doc_id AS id, length(text) AS chars FROM documents")
+@query("stream_ingest_sources", """
+    SELECT corpus, source, id, length(text) AS chars, content_quality, content_safety FROM records""", "records")
 def stream_ingest_sources(w: Workspace) -> DataFrame:
     inbox, target, log = (scratch(w.spark, n) for n in ("inbox", "streamed", "log"))
-    docs = documents(w.spark, w.folder)
-    for part in (docs.filter("lang = 'en'"), docs.filter("lang <> 'en'")):  # the second half arrives later
+    texts = w.records.select("corpus", "source", "id", "text")
+    for part in (texts.filter("corpus = 'en'"), texts.filter("corpus <> 'en'")):  # the second half arrives later
         part.write.mode("append").parquet(inbox)
-        stream_ingest.ingest(w.spark, inbox, docs.schema, target, log)
+        stream_ingest.ingest(w.spark, inbox, texts.schema, _annotation_table(w), target, log)
     return stream_ingest.read(w.spark, target).select(
-        "source", "doc_id", "id", F.char_length("text").cast("long").alias("chars"))
+        "corpus", "source", "id", F.char_length("text").cast("long").alias("chars"), "content_quality", "content_safety")
 
 
 @query("stream_latest_tags", """

@@ -9,6 +9,7 @@ from lexigrove.functions import text as text_fn, vectors as vec
 from lexigrove.operators import audits, browse, catalog, encoding, joins, keyword, selection, similarity, topics
 from lexigrove.plans import build, search
 from lexigrove.plans.workspace import UNPUBLISHED, Workspace
+from lexigrove.session import scratch
 from lexigrove.workload.ingest import QUERY_VECTOR, SEARCH, TOP100, hits_sql, query_vector
 from lexigrove.workload.registry import query
 from lexigrove.workload.statistics import SNIPPET, snippet_start
@@ -394,23 +395,33 @@ def validate_self_retrieval(w: Workspace) -> DataFrame:
     return facts.select("queries", (F.col("recall") >= search.LEAST_RECALL).alias("passes"))
 
 
-def _artefacts(w: Workspace) -> DataFrame:
-    ready = build.describe(w.records, "records", "ready")
-    return (
-        ready.unionByName(ready.withColumn("artefact", F.lit("text_index")))
-        .unionByName(ready.withColumn("artefact", F.lit("vectors")).withColumn("records", F.col("records") - 1))
-        .unionByName(ready.withColumn("artefact", F.lit("topics")).withColumn("status", F.lit("building")))
-    )
+ARTEFACTS = ("records", "text_index", "vectors", "topics", "map")
+
+
+def _manifest(w: Workspace) -> DataFrame:
+    """A manifest written for the session's tables: which records each of them covers. There is none of a map."""
+    path = scratch(w.spark, "artefacts")
+    built = {"records": w.records, "text_index": w.postings, "vectors": w.vectors, "topics": w.assignments}
+    rows = None
+    for name, df in built.items():
+        row = build.covered(df, name)
+        rows = row if rows is None else rows.unionByName(row)
+    build.publish_manifest(w.spark, path, rows)
+    return build.manifest(w.spark, path)
+
+
+_COVERS = """SELECT unnest(['records', 'text_index', 'vectors', 'topics']) AS artefact,
+      unnest([(SELECT count(*) FROM records), (SELECT count(DISTINCT record_no) FROM postings),
+              (SELECT count(*) FROM vectors), (SELECT count(*) FROM assigned)]) AS n"""
 
 
-@query("index_staleness", """
-    SELECT unnest(['records', 'text_index', 'vectors', 'topics', 'map']) AS artefact,
-      unnest(['ready', 'ready', 'stale', 'stale', 'unavailable']) AS state""")
+@query("index_staleness", f"""
+    SELECT artefact, CASE WHEN n = (SELECT count(*) FROM records) THEN 'ready' ELSE 'stale' END AS state FROM ({_COVERS})
+    UNION ALL SELECT 'map', 'unavailable'""", "records postings vectors assigned")
 def index_staleness(w: Workspace) -> DataFrame:
-    expected = build.describe(w.records, "x", "ready").select(
-        F.explode(F.array(*[F.lit(a) for a in ("records", "text_index", "vectors", "topics", "map")])).alias("artefact"),
-        "revision", "records", "fingerprint")
-    return audits.staleness(_artefacts(w), expected)
+    expected = build.covered(w.records, "x").select(
+        F.explode(F.array(*[F.lit(a) for a in ARTEFACTS])).alias("artefact"), "revision", "records", "fingerprint")
+    return audits.staleness(_manifest(w), expected)
 
 
 # --- topics --------------------------------------------------------------------------------
@@ -644,10 +655,11 @@ def audit_boundary_numbers(w: Workspace) -> DataFrame:
     return audits.boundary_numbers(shifted, w.source_table)
 
 
-@query("audit_snapshot_consistency", """
-    SELECT true AS same_revision, false AS same_count, true AS same_content, false AS all_ready""")
+@query("audit_snapshot_consistency", f"""
+    SELECT true AS same_revision, count(DISTINCT n) = 1 AS same_count, count(DISTINCT n) = 1 AS same_content, true AS all_ready
+    FROM ({_COVERS})""", "records postings vectors assigned")
 def audit_snapshot_consistency(w: Workspace) -> DataFrame:
-    return audits.snapshot_differences(_artefacts(w))
+    return audits.snapshot_differences(_manifest(w))
 
 
 @query("audit_publication_gate", """

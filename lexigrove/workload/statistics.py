@@ -96,9 +96,11 @@ def project_row_columns(w: Workspace) -> DataFrame:
 
 @query("project_full_record", """
     SELECT record_no, source_row, doc_id, id, domain, token_count, content_quality, content_safety, pii_presence,
-      content_length, corpus, source FROM records WHERE record_no = 42""", "records")
+      content_length, array_to_string(content_type, ',') AS content_type, corpus, source
+    FROM records WHERE record_no = (SELECT min(record_no) FROM records WHERE content_type IS NOT NULL)""", "records")
 def project_full_record(w: Workspace) -> DataFrame:
-    return browse.full_record(w.records, 42).drop("text", "content_type")
+    number = w.records.filter("content_type IS NOT NULL").agg(F.min("record_no").alias("n")).first()["n"]
+    return browse.full_record(w.records, number).drop("text").withColumn("content_type", F.array_join("content_type", ","))
 
 
 @query("find_source", "SELECT source, domain FROM source_table WHERE contains(lower(source), 'src1')", "source_table")

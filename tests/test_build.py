@@ -86,7 +86,7 @@ def test_ingest_resumes_and_refuses_duplicates(spark, tmp_path):
 def test_assembly_unites_and_numbers(spark):
     texts = texts_of(spark)
     parts = [texts.filter("source = 'b'"), texts.filter("source <> 'b'").withColumn("label", F.lit("x"))]
-    got = build.assemble(parts, width=2).orderBy("record_no").collect()
+    got = build.assemble(parts).orderBy("record_no").collect()
     assert [(r["record_no"], r["source"], r["source_row"]) for r in got] == [
         (i, "abc"[i // 3], i % 3) for i in range(9)]
     assert {r["label"] for r in got if r["source"] == "b"} == {None}
@@ -126,7 +126,7 @@ def test_source_sets_must_agree(spark, tmp_path):
     texts = texts_of(spark)
     for s in "abc":
         texts.filter(F.col("source") == s).repartition(2).write.parquet(str(tmp_path / s))
-    globs = {s: [str(tmp_path / s / "*.parquet")] for s in "abc"}
+    globs = {s: [str(tmp_path / s)] for s in "abc"}
     rows = tables.per_source_files(spark, globs, texts, texts.schema)
     assert {(r["source"], r["id"]) for r in rows.collect()} == {(r["source"], r["id"]) for r in texts.collect()}
     with pytest.raises(ValueError):
@@ -148,18 +148,71 @@ def test_tag_stream_equals_batch(spark, tmp_path):
     expected = {tuple(r) for r in tags.live(first.unionByName(late)).collect()}
     assert {tuple(r) for r in stream_tags.current(spark, store).collect()} == expected
     assert {r[0]: r[1] for r in expected} == {1: "ocr", 3: "ocr"}
-    stream_tags.compact(spark, store, str(tmp_path / "folded"))
-    assert {tuple(r) for r in stream_tags.current(spark, str(tmp_path / "folded")).collect()} == expected
+    stream_tags.fold(spark, store)
+    assert {tuple(r) for r in stream_tags.current(spark, store).collect()} == expected
+    # A batch folder that a folding covers is not read any more; later batches are.
+    first.limit(1).withColumn("tag", F.lit("wrong")).withColumn("event_id", F.lit(99).cast("bigint")).write.parquet(f"{store}/new/batch=0", mode="overwrite")
+    assert {tuple(r) for r in stream_tags.current(spark, store).collect()} == expected
+    late.withColumn("tag", F.lit("")).withColumn("saved_at", F.lit(at(30)).cast("timestamp_ntz")).write.mode("append").parquet(inbox)
+    stream_tags.upsert(spark, inbox, store, log, fold_after=0)
+    assert stream_tags.current(spark, store).collect() == []
 
 
-def test_ingest_stream_reads_each_file_once(spark, tmp_path):
-    texts = texts_of(spark).drop("id")
+def test_ingest_stream_survives_a_crash_before_its_commit(spark, tmp_path, monkeypatch):
+    texts = texts_of(spark)
+    notes = notes_of(spark, [("a", "a0"), ("b", "b1"), ("c", "c2")])
     inbox, target, log = (str(tmp_path / n) for n in ("inbox", "target", "log"))
-    for s in "abc":
+
+    def run(given=notes):
+        ingest.ingest(spark, inbox, texts.schema, given, target, log)
+
+    def add(s):
         texts.filter(F.col("source") == s).coalesce(1).write.mode("append").parquet(inbox)
-        ingest.ingest(spark, inbox, texts.schema, target, log)
-        ingest.ingest(spark, inbox, texts.schema, target, log)
-    assert ingest.read(spark, target).count() == texts.count()
+
+    add("a")
+    run()
+    run()
+    add("b")
+    with pytest.raises(Exception, match="Duplicate annotation ids"):
+        run(notes.unionByName(notes))
+    assert ingest.read(spark, target).count() == 3
+    # The batch is written, but the job dies before the log says so.
+    real = ingest.joins.attach_annotations
+
+    def dies(rows, given):
+        real(rows, given).write.mode("overwrite").partitionBy("source").parquet(f"{target}/batch=1")
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(ingest.joins, "attach_annotations", dies)
+    with pytest.raises(Exception, match="executor lost"):
+        run()
+    monkeypatch.setattr(ingest.joins, "attach_annotations", real)
+    run()
+    add("c")
+    run()
+    rows = ingest.read(spark, target)
+    assert rows.count() == 9 and rows.select("source", "id").distinct().count() == 9
+    assert {r["id"] for r in rows.filter("content_quality = 'good'").collect()} == {"a0", "b1", "c2"}
+    assert {(r["batch"], r["source"], r["records"]) for r in ingest.committed(spark, target).collect()} == {(0, "a", 3), (1, "b", 3), (2, "c", 3)}
+
+
+def test_manifests_are_never_changed(spark, tmp_path):
+    texts = texts_of(spark)
+    path = str(tmp_path / "m")
+    write = lambda df, folder: sinks.write_partitioned(df, folder, ["corpus", "source"])
+    good = {"keys": audits.repeated(texts, ["source", "id"])}
+    build.publish(spark, path, texts, good, write, "r1")
+    build.publish(spark, path, texts.filter("source <> 'a'"), good, write, "r2")
+    assert build.versions(spark, path) == [1, 2]
+    assert (build.published(spark, path).count(), build.published(spark, path, "r1").count()) == (6, 9)
+    with pytest.raises(LookupError):
+        build.published(spark, path, "r3")
+    # A changed text is another content, though ids and counts agree.
+    changed = texts.withColumn("text", F.when(F.col("id") == "a1", "other").otherwise(F.col("text")))
+    assert build.describe(texts, "x", "ready").first()["fingerprint"] != build.describe(changed, "x", "ready").first()["fingerprint"]
+    with pytest.raises(ValueError, match="differ"):
+        build.publish(spark, path, texts, good, lambda df, folder: write(changed, folder))
+    assert build.versions(spark, path) == [1, 2]
 
 
 def test_label_position_is_the_upper_median(spark):

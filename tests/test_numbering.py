@@ -15,7 +15,7 @@ def skewed(spark, rows=3000):
 def test_dense_numbers_equal_a_global_window(spark):
     df = skewed(spark)
     found = {(r["source"], r["doc_id"]): (r["source_row"], r["record_no"])
-             for r in numbering.dense_numbers(df, "source", "doc_id", width=500).collect()}
+             for r in numbering.dense_numbers(df, "source", "doc_id").collect()}
     expected = df.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).withColumn(
         "n", F.row_number().over(W.orderBy("source", "doc_id")) - 1)
     assert found == {(r["source"], r["doc_id"]): (r["r"], r["n"]) for r in expected.collect()}
@@ -88,7 +88,7 @@ def test_sample_is_balanced_and_prefiltered(spark):
 
 def test_rows_without_group_or_position_are_numbered(spark):
     rows = spark.createDataFrame([(None, 5), ("a", None), ("a", 10**9), (None, 70_000_000)], "source string, doc_id bigint")
-    got = numbering.dense_numbers(rows, "source", "doc_id", width=10).collect()
+    got = numbering.dense_numbers(rows, "source", "doc_id").collect()
     assert sorted(r["record_no"] for r in got) == [0, 1, 2, 3]
 
 
@@ -100,3 +100,28 @@ def test_places_in_an_order_over_all_tasks(spark):
     assert [(r["n"], r["k"]) for r in sorted(got, key=lambda r: r["place"])] == expected
     assert sorted(r["place"] for r in got) == list(range(2000))
     assert numbering.ordered(df.limit(0), "n").collect() == []
+
+
+def test_numbers_of_sparse_negative_and_text_positions(spark):
+    rows = [("hot" if n % 3 else f"s{n % 5}", (n - 900) * 10 ** 12, f"id-{n * 7919 % 3001:05d}") for n in range(2000)]
+    df = spark.createDataFrame(rows, "source string, far bigint, name string").repartition(6)
+    for position in ("far", "name"):
+        got = {(r["source"], r[position]): (r["record_no"], r["source_row"]) for r in numbering.dense_numbers(df, "source", position).collect()}
+        place = 1 if position == "far" else 2
+        expected, seen = {}, {}
+        for number, row in enumerate(sorted(rows, key=lambda r: (r[0], r[place]))):
+            expected[(row[0], row[place])] = (number, seen.setdefault(row[0], 0))
+            seen[row[0]] += 1
+        assert got == expected
+
+
+def test_no_range_of_an_order_is_large(spark):
+    df = spark.range(40_000).select((F.col("id") * F.col("id")).alias("far"), F.lit("one").alias("source")).repartition(4)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = numbering.dense_numbers(df, "source", "far")
+        largest = found.groupBy(F.input_file_name()).count().agg({"count": "max"}).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert largest < 2 * 40_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
