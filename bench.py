@@ -27,7 +27,7 @@ HEADLINE = [
     "search_hybrid_rerank", "semantic_page", "topic_assign_all", "topic_distribution", "topic_view", "topic_keywords",
     "audit_duplicate_record_keys", "audit_vector_coverage", "snapshot_fingerprint", "latest_review_tag",
 ]
-PREPARED = ["records", "postings", "term_stats", "sources", "source_table", "vectors", "vocabulary", "encoded", "index",
+PREPARED = ["records", "postings", "term_stats", "sources", "source_table", "vectors", "vocabulary", "encoded", "index", "encoded_index",
             "labelled", "assignments", "topic_terms", "topic_keywords", "tag_writes"]
 
 
