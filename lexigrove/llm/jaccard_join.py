@@ -36,13 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lexigrove.llm.graph import components
-from lexigrove.llm.shared import mixed, pieces, raw, spaced_bytes, unused, written
+from lexigrove.llm.shared import SPACED_BYTES, discarded, mixed, pieces, raw, unused, written
 
 WORDS = 4
 PERCENT = 85
@@ -55,47 +54,77 @@ ENTRIES_PER_BUCKET = 1_000_000
 ENTRIES_PER_ROW = 500_000
 HEAVY = 1_000_000
 HUBS = 2
+LANES = 4
 TURNS = 3
 BITS = 256
 BITMAP = [f"bits{i}" for i in range(BITS // 64)]
+SPACES = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD,
         0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F]
+PLACES = 64
+HASHED_BYTES = 1 << 20
 
 
 class Shingler:
-    """Sets of n-word shingles as sorted 64-bit hashes; remembers the words of a task."""
+    """Sets of n-word shingles as sorted 64-bit hashes, for many texts at once.
+
+    A word's hash is the sum of a random number for each letter and place in
+    the word (tabulation); places repeat after 64 letters, mixed with the lap.
+    """
 
     def __init__(self, n: int):
         self.n = n
-        self.memo: dict[bytes, int] = {}
         self.weights = [np.uint64(w) for w in _ODD]
+        self.letters = mixed(np.arange(256 * PLACES, dtype=np.uint64), 40)
 
     def sets(self, texts: list) -> list[np.ndarray]:
-        if len(self.memo) > 1_000_000:
-            self.memo.clear()
-        memo, out = self.memo, []
-        for text in texts:
-            words = spaced_bytes(text)
-            if not words:
-                out.append(np.zeros(0, np.uint64))
-                continue
-            codes = []
-            for w in words:
-                c = memo.get(w)
-                if c is None:
-                    c = memo[w] = xxhash.xxh3_64_intdigest(w)
-                codes.append(c)
-            out.append(self._set(np.array(codes, dtype=np.uint64)))
+        line = np.frombuffer(b" ".join(t or b"" for t in texts).translate(SPACED_BYTES), dtype=np.uint8)
+        word = np.concatenate([[False], ~np.isin(line, SPACES), [False]])
+        starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        codes = self._words(line, starts, ends)
+        offsets = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+        bounds = np.searchsorted(starts, offsets)
+        shingles = self._joined(codes, self.n)
+        out = []
+        for first, last in zip(bounds[:-1], bounds[1:]):
+            if last - first >= self.n:
+                own = np.sort(shingles[first:last - self.n + 1])
+                out.append(own[np.append(True, own[1:] != own[:-1])])
+            else:
+                out.append(self._joined(codes[first:last], last - first) if last > first else np.zeros(0, np.uint64))
         return out
 
-    def _set(self, codes: np.ndarray) -> np.ndarray:
-        n = min(self.n, len(codes))
+    def _words(self, line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words, worked out for about a megabyte of letters at a time."""
+        lengths = ends - starts
+        upto = np.cumsum(lengths)
+        out = np.zeros(len(starts), dtype=np.uint64)
+        first = 0
+        while first < len(starts):
+            done = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, done + HASHED_BYTES, side="right")))
+            own = lengths[first:last]
+            at = upto[first:last] - own - done
+            place = np.arange(upto[last - 1] - done) - np.repeat(at, own)
+            letter = line[np.repeat(starts[first:last], own) + place].astype(np.int64)
+            value = self.letters[letter * PLACES + place % PLACES]
+            far = np.flatnonzero(place >= PLACES)
+            if len(far):
+                with np.errstate(over="ignore"):
+                    value[far] = mixed(value[far] + (place[far] // PLACES).astype(np.uint64) * self.weights[0], 41)
+            out[first:last] = mixed(np.add.reduceat(value, at), 42)
+            first = last
+        return out
+
+    def _joined(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        count = max(0, len(codes) - n + 1)
         with np.errstate(over="ignore"):
-            total = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+            total = np.full(count, n, dtype=np.uint64)
             for i in range(n):
-                total = (total ^ (total >> np.uint64(29))) * self.weights[i % 8] + codes[i:len(codes) - n + 1 + i]
-        return np.unique(mixed(total))
+                total = (total ^ (total >> np.uint64(29))) * self.weights[i % 8] + codes[i:count + i]
+        return mixed(total)
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -260,26 +289,26 @@ def _may_link(a: str, b: str, percent: int):
     return differing * (100 + percent) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def _prefixed(df: DataFrame, prefix: str, *names: str) -> list:
+def _prefixed(prefix: str, *names: str) -> list:
     return [F.col(c).alias(prefix + c) for c in (*names, "n", *BITMAP)]
 
 
-def hub_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+def hub_pairs(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each node with the nearest of its groups' hubs that lie in other components, if they share an element under all orders.
 
-    ``placed``: order_no, token, node, n and component; ``nodes``: node, n and
-    bitmaps; ``sets``: node and its tokens by order.
+    ``placed``: order_no, token, node, n, bitmaps and component; ``sets``: node
+    and its tokens by order. Sizes and bitmaps are tested while rows meet their
+    group's hub. The hub is the first by a hash of node, turn and one of a few
+    lanes of tokens, so that the groups of one cluster agree on few hubs.
     """
-    # Another hub for each element, so that a node meets many.
-    hub = F.min_by(F.struct("node", "component"), F.struct(F.xxhash64(F.lit(turn), "token", "node"), "node")).alias("hub")
-    hubs = placed.groupBy("order_no", "token").agg(hub)
-    both = (placed.join(hubs, ["order_no", "token"]).filter("component <> hub.component")
-            .select("node", F.col("hub.node").alias("hub")).distinct())
-    one, other = nodes.select(*_prefixed(nodes, "a_", "node")), nodes.select(*_prefixed(nodes, "b_", "node"))
-    near = (both.withColumnsRenamed({"node": "a_node", "hub": "b_node"}).join(one, "a_node").join(other, "b_node")
-            .filter(_lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
+    order = F.struct(F.xxhash64(F.lit(turn), F.pmod("token", F.lit(ORDERS * LANES)), "node"), "node")
+    hubs = (placed.groupBy("order_no", "token").agg(F.min_by(F.struct(*_prefixed("b_", "node", "component")), order).alias("hub"))
+            .select("order_no", "token", "hub.*"))
     differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
-    best = W.partitionBy("a_node").orderBy(differing, "b_node")
+    near = (placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
+            .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent))
+            .groupBy("a_node", "b_node").agg(F.min(differing).alias("differing")))
+    best = W.partitionBy("a_node").orderBy("differing", "b_node")
     chosen = written(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
                      .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "chosen")
     sets = sets.join(_ends(chosen), "node", "left_semi")
@@ -289,10 +318,10 @@ def hub_pairs(placed: DataFrame, nodes: DataFrame, sets: DataFrame, turn: int, p
     return meeting.filter(F.forall(F.array(*shared), lambda x: x)).select("a", "b")
 
 
-def tokens_of(shared: DataFrame, held: DataFrame) -> DataFrame:
+def tokens_of(shared: DataFrame) -> DataFrame:
     """The shared prefix tokens of each node by order: (node, tokens), at most a prefix of its set under each order."""
     by_order = [F.collect_list(F.when(F.col("order_no") == i, F.col("token"))) for i in range(ORDERS)]
-    return shared.join(held, "node", "left_semi").groupBy("node").agg(F.array(*by_order).alias("tokens"))
+    return shared.groupBy("node").agg(F.array(*by_order).alias("tokens"))
 
 
 def across(placed: DataFrame) -> DataFrame:
@@ -301,14 +330,14 @@ def across(placed: DataFrame) -> DataFrame:
     return placed.join(several.select("order_no", "token"), ["order_no", "token"], "left_semi")
 
 
-def cross_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components that share a prefix element under every order and may be similar enough."""
     per = placed.groupBy("order_no", "token", "component").agg(F.count("*").alias("n_nodes"))
     main = (per.groupBy("order_no", "token").agg(F.max_by("component", F.struct("n_nodes", "component")).alias("main"), F.count("*").alias("kinds"))
             .filter("kinds > 1").select("order_no", "token", "main"))
-    inside = written(placed.join(main, ["order_no", "token"]).join(nodes.drop("n"), "node"), "groups")
-    left = inside.filter("component <> main").select("order_no", "token", *_prefixed(inside, "a_", "node", "component"))
-    right = inside.select("order_no", "token", "main", *_prefixed(inside, "b_", "node", "component"))
+    inside = written(placed.join(main, ["order_no", "token"]), "groups")
+    left = inside.filter("component <> main").select("order_no", "token", *_prefixed("a_", "node", "component"))
+    right = inside.select("order_no", "token", "main", *_prefixed("b_", "node", "component"))
     pairs = (left.join(right, ["order_no", "token"])
              .filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
                      & _lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
@@ -331,13 +360,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar enough, compared as a whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last = Shingler(n), (None, None)
+        shingler = Shingler(n)
         for part, rights in pieces(batches, "b_text"):
+            firsts, seconds = part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts = dict(zip(seconds, rights)) | dict(zip(firsts, raw(part.column(2)).to_pylist()))
+            own = dict(zip(texts, shingler.sets(list(texts.values()))))
             keep = []
-            for b, left, right in zip(part.column(1).to_pylist(), raw(part.column(2)).to_pylist(), rights):
-                if b != last[0]:
-                    last = (b, shingler.sets([right])[0])
-                one, other = shingler.sets([left])[0], last[1]
+            for a, b in zip(firsts, seconds):
+                one, other = own[a], own[b]
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(one) + len(other) - both))
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -352,29 +382,32 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     stats = written(described(docs, n), "shingles")
     rows = stats.filter("part is null").select("doc_id", "version", "n_shingles", "node", *BITMAP)
     counts = rarity(stats.filter("part is not null").select("part", "task", "counts"))
-    shared = written(_numbered(docs, counts, n, percent, heavy), "prefixes")
-    held = shared.groupBy("node").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("node")
+    every = written(_numbered(docs, counts, n, percent, heavy), "prefixes")
+    held = every.groupBy("node").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("node")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "version")).alias("first")
-    nodes = written(rows.filter("n_shingles > 0").groupBy("node").agg(first, F.min("n_shingles").alias("n"), *(F.min(b).alias(b) for b in BITMAP))
-                    .join(held, "node", "left_semi").select("node", "n", *BITMAP, "first.id", "first.version"), "nodes")
+    nodes = written(rows.filter("n_shingles > 0").groupBy("node").agg(first, *(F.min(b).alias(b) for b in BITMAP))
+                    .join(held, "node", "left_semi").select("node", *BITMAP, "first.id", "first.version"), "nodes")
     texts = written(texts_of(docs, nodes.select("node", "id", "version")), "texts")
-    nodes = nodes.drop("id", "version")
-    sets = written(tokens_of(shared, nodes.select("node")), "tokens")
+    shared = written(every.withColumn("n", F.col("n").cast("long")).join(nodes.select("node", *BITMAP), "node"), "elements")
+    sets = written(tokens_of(shared), "tokens")
     member = nodes.select("node", F.col("node").alias("component"))
+    discarded(every)
     links = tried = None
     for turn in range(TURNS + 1):
         # Members without a link are components of their own.
-        at = shared.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = shared.drop("component").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn:
             at = written(across(at), "elements")
-            shared = at.drop("component")
-        pairs = hub_pairs(at, nodes, sets, turn, percent) if turn < TURNS else cross_pairs(at, nodes, percent)
+            discarded(shared)
+            shared = at
+        pairs = hub_pairs(at, sets, turn, percent) if turn < TURNS else cross_pairs(at, percent)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = written(verified(pairs, texts, n, percent), "found")
         links = found if links is None else links.unionByName(found)
         if turn == 0 or not found.isEmpty():
             member = components(links)
+    discarded(shared, sets, texts)
     return (rows.join(member.withColumnRenamed("component", "root"), "node", "left")
             .select("doc_id", "version", "n_shingles", F.coalesce("root", "node").alias("root")))
 

@@ -23,7 +23,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done.scratch_path = path
+    return done
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _kept(keep) -> bytes:
@@ -42,11 +52,6 @@ def word_bytes(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def spaced_bytes(text: bytes | None) -> list[bytes]:
-    """Words between white space (space, 0x09 to 0x0D), lower-cased in A-Z."""
-    return text.translate(SPACED_BYTES).split() if text else []
-
-
 def raw(column: pa.Array) -> pa.Array:
     """A text column as bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):
