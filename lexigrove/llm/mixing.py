@@ -34,7 +34,7 @@ MOST_EPOCHS = 3
 
 BLOCK_WORDS = 64
 SHARD_BLOCKS = 4096
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 5_000
 SHARDS_PER_RANGE = 10_000
 
 
@@ -160,22 +160,28 @@ def slots(spark: SparkSession, made: Plan, shard_blocks: int = SHARD_BLOCKS, see
     return table.mapInPandas(placed, "shard long, slot long, source_no int, block long")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """Id, hash of the text, source and size of every document, written: texts are counted once and stay where they are."""
+    return written(docs.select("doc_id", F.xxhash64("text").alias("version"), "source", word_count(F.col("text")).alias("size")), "sizes")
+
+
 def streams(sized: DataFrame, sources: DataFrame, rows: int, seed: int = 17) -> DataFrame:
-    """Adds the source's number and the document's first word in the source's stream.
+    """The source's number and the document's first word in the source's stream, for documents with words.
 
     No source is sorted as a whole: hash ranges are, and sums over ranges place them.
     """
     ranges = max(1, -(-rows // ROWS_PER_RANGE))
     numbered = (sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"]))
                 .drop(sources["source"]).filter("size > 0")
-                .withColumn("spread", F.xxhash64(F.lit(seed), "doc_id"))
+                .withColumn("spread", F.xxhash64(F.lit(seed), "doc_id", "version"))
                 .withColumn("range", F.pmod(F.col("spread"), F.lit(ranges))))
     sums = numbered.groupBy("source_no", "range").agg(F.sum("size").alias("n"))
     ahead = W.partitionBy("source_no").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source_no", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = W.partitionBy("source_no", "range").orderBy("spread", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_no", "range").orderBy("spread", "doc_id", "version", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = numbered.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(sums, ["source_no", "range"]).withColumn("first", F.col("before") + F.col("inside")).drop("before", "inside", "spread", "range")
+    placed = placed.join(sums, ["source_no", "range"]).withColumn("first", F.col("before") + F.col("inside"))
+    return written(placed.select("doc_id", "version", "source_no", "size", "first"), "streams")
 
 
 def cut(streamed: DataFrame, block_words: int = BLOCK_WORDS, words: Column | None = None) -> DataFrame:
@@ -190,19 +196,37 @@ def cut(streamed: DataFrame, block_words: int = BLOCK_WORDS, words: Column | Non
     return blocks.select(*kept)
 
 
+def with_words(streamed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Joins each placed document with the words of its text; the texts are shuffled once, equal rows meet one copy."""
+    id_, version = F.coalesce("doc_id", F.lit(-1)), F.xxhash64("text")
+    texts = docs.select(id_.alias("id"), version.alias("version"), "text").dropDuplicates(["id", "version"])
+    return (streamed.withColumn("id", id_).join(texts.hint("merge"), ["id", "version"])
+            .withColumn("all", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("id", "text"))
+
+
+def filled(spark: SparkSession, pieces: DataFrame, made: Plan, shard_blocks: int) -> DataFrame:
+    """The slots of the mix with the pieces of the block that each takes, joined by source and index of the block."""
+    columns = [c for c in ("start", "doc_id", "first", "words", "piece") if c in pieces.columns]
+    # A block has at most as many pieces as words.
+    blocks = pieces.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("pieces"))
+    return slots(spark, made, shard_blocks).join(blocks.hint("merge"), ["source_no", "block"])
+
+
 def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """What the mix takes of every document: doc_id, size, source_size, target and taken."""
+    """What the mix takes of every document: doc_id, size, source_size, target and taken.
+
+    The same slots and blocks as those of ``mix``, joined without the words.
+    """
     spark = docs.sparkSession
-    # Written once, so that the texts are counted once.
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = counted(docs)
     made = plan(sized, block_words=block_words)
     sources = source_table(spark, made)
-    pieces = cut(streams(sized, sources, sized.count()), block_words)
-    uses = slots(spark, made, shard_blocks).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    used = (pieces.join(uses, ["source_no", "block"], "left")
-            .groupBy("doc_id", "source_no", "first")
-            .agg(F.sum("words").alias("size"), F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken")))
-    used = used.join(F.broadcast(sources), "source_no").select("doc_id", "size", "source_size", "target", "taken")
+    streamed = streams(sized, sources, sized.count())
+    used = (filled(spark, cut(streamed, block_words), made, shard_blocks).select("source_no", F.explode("pieces").alias("p"))
+            .groupBy("source_no", F.col("p.first").alias("first")).agg(F.sum("p.words").alias("taken")))
+    # A document's source and first word name its place in the streams.
+    used = (streamed.join(used, ["source_no", "first"], "left").join(F.broadcast(sources), "source_no")
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
     empty = (sized.filter("size = 0").join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"]))
              .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     return used.unionByName(empty)
@@ -211,13 +235,12 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = S
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mixed corpus: one row per slot with its text and the documents it comes from."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("size"))
-    made = plan(sized.drop("text"), block_words=block_words)
+    sized = counted(docs)
+    made = plan(sized, block_words=block_words)
     sources = source_table(spark, made)
-    streamed = streams(sized, sources, sized.count()).withColumn("all", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("text")
-    order = F.array_sort(F.collect_list(F.struct("start", "doc_id", "words", "piece")))
-    blocks = cut(streamed, block_words, F.col("all")).groupBy("source_no", "block").agg(order.alias("pieces"))
-    joined = slots(spark, made, shard_blocks).join(blocks, ["source_no", "block"]).join(F.broadcast(sources), "source_no")
+    streamed = streams(sized, sources, sized.count())
+    pieces = cut(with_words(streamed, docs), block_words, F.col("all"))
+    joined = filled(spark, pieces, made, shard_blocks).join(F.broadcast(sources), "source_no")
     return joined.select(
         "shard", "slot", "source", "block", F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.words").alias("piece_words"),
         F.array_join("pieces.piece", " ").alias("text"))

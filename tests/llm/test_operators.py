@@ -166,6 +166,25 @@ def test_mixed_blocks_hold_the_words_taken(docs):
     assert +taken == +expected
 
 
+def test_mix_against_streams_cut_in_plain_python(spark, docs):
+    """Each slot's text is its source's stream, words 4 at a time, at the block that the slot took; with repeated rows and null ids."""
+    sized = mixing.counted(docs)
+    made = mixing.plan(sized, block_words=4)
+    texts = {(r["doc_id"], r["version"]): re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+             for r in docs.select("doc_id", F.xxhash64("text").alias("version"), "text").collect()}
+    stream = {}
+    for r in sorted(mixing.streams(sized, mixing.source_table(spark, made), docs.count()).collect(), key=lambda r: r["first"]):
+        own = stream.setdefault(made.names[r["source_no"]], [])
+        assert len(own) == r["first"]
+        own.extend(texts[r["doc_id"], r["version"]])
+    rows = mixing.mix(docs, block_words=4, shard_blocks=64).collect()
+    assert {name: len(own) for name, own in stream.items()} == {n: s for n, s in zip(made.names, made.sizes) if s}
+    assert all(r["text"] == " ".join(stream[r["source"]][4 * r["block"]:4 * r["block"] + 4]) for r in rows)
+    # Every slot of every shard is filled once, and no block is taken more often than the rounds allow.
+    assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows) == made.quotas.sum()
+    assert max(Counter((r["source"], r["block"]) for r in rows).values()) <= mixing.MOST_EPOCHS
+
+
 def test_shares_stop_at_three_times_the_size():
     target = mixing.shares(np.array([10, 1000, 0, 500]), np.array([5.0, 2.0, 1.0, 5.0]))
     assert target[0] == 30 and target[2] == 0 and abs(target.sum() - 1510) < 1e-9 and (target <= 3 * np.array([10, 1000, 0, 500]) + 1e-9).all()
