@@ -10,8 +10,9 @@ Work is by class: documents with equal sets are one node. Steps:
 
 1. one pass counts shingles into the sketch and describes each document's set;
 2. a second pass sends prefix elements, packed by ranges of their hash, to
-   tasks that keep elements of two or more nodes. Elements so frequent that one
-   task could not hold them take an unpacked way of their own;
+   tasks that keep, of each element, the nodes with another one of fitting
+   length. Elements so frequent that one task could not hold them take an
+   unpacked way of their own;
 3. in each element's group, nodes are first paired with one hub; verified links
    give components. A few turns with other hubs join most of what belongs
    together;
@@ -190,7 +191,7 @@ def rarity(sketch: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
-    """Prefix elements that two or more nodes share: (order_no, token, node, n)."""
+    """Prefix elements that two or more nodes of fitting lengths share: (order_no, token, node, n)."""
     mean = max(float(counts.sum()) / CELLS, 1e-9)
     level = np.clip(np.floor(np.log2(np.maximum(counts / mean, 1e-9) * 4 / 3)), 0, 63).astype(np.uint8)
     many = counts >= heavy
@@ -260,13 +261,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int =
             return
         token, node, length = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(lengths)
         del tokens, nodes, lengths
-        order = np.lexsort((node, token))
+        order = np.lexsort((node, length, token))
         token, node, length = token[order], node[order], length[order]
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         token, node, length = token[fresh], node[fresh], length[fresh]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(first, len(token)))
-        keep = np.repeat(size > 1, size)
+        # By length, a node of a group is next to one of fitting length if the group holds any.
+        wide = length.astype(np.int64)
+        near = (token[1:] == token[:-1]) & (100 * wide[:-1] >= percent * wide[1:])
+        keep = np.append(False, near) | np.append(near, False)
         for i in range(0, int(keep.sum()), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[keep][i:i + 200_000]) for x in (token, node, length)], schema=kind)
 
@@ -390,13 +392,14 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     texts = written(texts_of(docs, nodes.select("node", "id", "version")), "texts")
     shared = written(every.withColumn("n", F.col("n").cast("long")).join(nodes.select("node", *BITMAP), "node"), "elements")
     sets = written(tokens_of(shared), "tokens")
-    member = nodes.select("node", F.col("node").alias("component"))
     discarded(every)
-    links = tried = None
+    member = links = tried = None
     for turn in range(TURNS + 1):
-        # Members without a link are components of their own.
-        at = shared.drop("component").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if turn:
+        if not turn:
+            at = shared.withColumn("component", F.col("node"))
+        else:
+            # Members without a link are components of their own.
+            at = shared.drop("component").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
             at = written(across(at), "elements")
             discarded(shared)
             shared = at
