@@ -4,19 +4,23 @@ Two sets of sizes a <= b with Jaccard similarity of at least t share an element
 in the first ``n - ceil(t n) + 1`` of each, under any one order of all
 elements. Candidates must share such a prefix element under every one of
 several orders. All orders put rare elements first, by a corpus-wide count
-sketch of fixed size, and differ in how they order equally rare ones.
+sketch of fixed size, and differ in how they order equally rare ones. The first
+common element also bounds the overlap by its places: a set with u elements from
+there on can only reach t with sets of at most ``u (1 + t) / t - n`` elements.
 
 Work is by class: documents with equal sets are one node. Steps:
 
 1. one pass counts shingles into the sketch and describes each document's set;
 2. a second pass sends prefix elements, packed by ranges of their hash, to
    tasks that keep, of each element, the nodes with another one of fitting
-   length. Elements so frequent that one task could not hold them take an
-   unpacked way of their own;
-3. in each element's group, nodes are first paired with one hub; verified links
+   length and place. Elements so frequent that one task could not hold them take
+   an unpacked way of their own;
+3. what is left meets the bitmaps of its nodes, and elements without a partner
+   that passes the bound below are left out;
+4. in each element's group, nodes are first paired with one hub; verified links
    give components. A few turns with other hubs join most of what belongs
    together;
-4. then all nodes of a group that still lie in different components are paired,
+5. then all nodes of a group that still lie in different components are paired,
    so that no link between components is missed, and verified. Pairs inside a
    component need no check: they cannot change the result.
 
@@ -54,6 +58,7 @@ MERGED_TASKS = 64
 ENTRIES_PER_BUCKET = 1_000_000
 ENTRIES_PER_ROW = 500_000
 HEAVY = 1_000_000
+NEIGHBOURS = 32
 HUBS = 2
 LANES = 4
 TURNS = 3
@@ -190,16 +195,52 @@ def rarity(sketch: DataFrame) -> np.ndarray:
     return np.concatenate([parts.get(i, np.zeros(CELLS // PARTS, np.uint64)) for i in range(PARTS)])
 
 
+def buckets_for(counts: np.ndarray, percent: int) -> int:
+    """Number of ranges in which the prefix elements of the corpus are held one at a time."""
+    entries = float(counts.sum()) * ORDERS * (100 - percent) / 100
+    return int(max(1, -(-entries // ENTRIES_PER_BUCKET)))
+
+
+def partnered(token: np.ndarray, n: np.ndarray, most: np.ndarray, percent: int, bits: np.ndarray | None = None) -> np.ndarray:
+    """Marks rows with a possible partner; rows come sorted by token and n.
+
+    Two rows of a token are possible partners if each set is at most as large
+    as the other one's ``most`` allows and the bitmaps, if given, do not prove
+    that they differ too much. Each row is compared with NEIGHBOURS rows on
+    either side; rows of larger groups stay if a neighbour's length fits.
+    """
+    keep = np.zeros(len(token), dtype=bool)
+    at = np.arange(max(0, len(token) - 1))
+    for d in range(1, NEIGHBOURS + 1):
+        at = at[at + d < len(token)]
+        at = at[token[at] == token[at + d]]
+        if not len(at):
+            return keep
+        fits = at[(n[at + d] <= most[at]) & (n[at] <= most[at + d])]
+        if bits is not None and len(fits):
+            differing = np.bitwise_count(bits[fits] ^ bits[fits + d]).sum(axis=1, dtype=np.int64)
+            fits = fits[differing * (100 + percent) <= (100 - percent) * (n[fits] + n[fits + d])]
+        keep[fits] = keep[fits + d] = True
+    far = at[at + NEIGHBOURS + 1 < len(token)]
+    large = np.isin(token, np.unique(token[far[token[far] == token[far + NEIGHBOURS + 1]]]))
+    near = np.flatnonzero(large[1:] & (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+    keep[near] = keep[near + 1] = True
+    return keep
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
-    """Prefix elements that two or more nodes of fitting lengths share: (order_no, token, node, n)."""
+    """Prefix elements that two or more nodes of fitting lengths and places share: (token, node, n, most, heavy).
+
+    ``most`` is the largest size of a set that can be similar enough if the
+    element is the first common one.
+    """
     mean = max(float(counts.sum()) / CELLS, 1e-9)
     level = np.clip(np.floor(np.log2(np.maximum(counts / mean, 1e-9) * 4 / 3)), 0, 63).astype(np.uint8)
     many = counts >= heavy
-    entries = counts.sum() * ORDERS * (100 - percent) / 100
-    buckets = int(max(1, -(-entries // ENTRIES_PER_BUCKET)))
+    buckets = buckets_for(counts, percent)
     shared = docs.sparkSession.sparkContext.broadcast((level, many))
     packed_kind = pa.schema([("bucket", pa.int32()), ("node", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())),
-                             ("own", pa.list_(pa.int32())), ("token", pa.list_(pa.int64()))])
+                             ("own", pa.list_(pa.int32())), ("token", pa.list_(pa.int64())), ("most", pa.list_(pa.int32()))])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, many = shared.value
@@ -209,17 +250,17 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int =
         def flush():
             if not held:
                 return
-            node = np.concatenate([np.full(len(t), i, np.int64) for i, _, t, _ in held])
-            length = np.concatenate([np.full(len(t), k, np.int32) for _, k, t, _ in held])
-            token = np.concatenate([t for _, _, t, _ in held])
-            bucket = np.concatenate([b for _, _, _, b in held])
+            node = np.concatenate([np.full(len(h[2]), h[0], np.int64) for h in held])
+            length = np.concatenate([np.full(len(h[2]), h[1], np.int32) for h in held])
+            token, most, bucket = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4))
             for b in np.unique(bucket):
                 at = np.flatnonzero(bucket == b)
                 first = np.flatnonzero(np.concatenate([[True], node[at][1:] != node[at][:-1]]))
                 own = np.diff(np.append(first, len(at)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b], pa.int32()), pa.array([node[at][first]], packed_kind.field(1).type), pa.array([length[at][first]], packed_kind.field(2).type),
-                    pa.array([own], packed_kind.field(3).type), pa.array([token[at]], packed_kind.field(4).type)], schema=packed_kind)
+                    pa.array([own], packed_kind.field(3).type), pa.array([token[at]], packed_kind.field(4).type),
+                    pa.array([most[at]], packed_kind.field(5).type)], schema=packed_kind)
             held.clear()
 
         for _, texts in pieces(batches, "text"):
@@ -231,15 +272,16 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int =
                     continue
                 seen.add(node)
                 keep = len(own) - -(-percent * len(own) // 100) + 1
+                most = ((len(own) - np.arange(keep)) * (100 + percent) // percent - len(own)).astype(np.int32)
                 cell = (own % np.uint64(CELLS)).astype(np.int64)
                 for order in range(ORDERS):
                     rank = (mixed(own, 10 + order) >> np.uint64(6)) | (level[cell].astype(np.uint64) << np.uint64(58))
-                    chosen = np.argpartition(rank, keep - 1)[:keep] if keep < len(own) else np.arange(len(own))
+                    chosen = np.argsort(rank, kind="stable")[:keep]
                     # The remainder of a token by the number of orders tells its order.
                     token = mixed(own[chosen], 20) // np.uint64(2 * ORDERS) * np.uint64(ORDERS) + np.uint64(order)
                     bucket = (token % np.uint64(buckets)).astype(np.int32)
                     bucket[many[cell[chosen]]] = -1
-                    held.append((node, len(own), token.view(np.int64), bucket))
+                    held.append((node, len(own), token.view(np.int64), most, bucket))
                     size += len(chosen)
             if size >= ENTRIES_PER_ROW:
                 yield from flush()
@@ -248,41 +290,66 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int =
                     seen.clear()
         yield from flush()
 
-    kind = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+    kind = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("most", pa.int32())])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, lengths = [], [], []
+        parts = []
         for batch in batches:
-            node, length, own, token = (batch.column(n).flatten().to_numpy() for n in ("node", "n", "own", "token"))
-            tokens.append(token)
-            nodes.append(np.repeat(node, own))
-            lengths.append(np.repeat(length, own))
-        if not tokens:
+            node, length, own, token, most = (batch.column(n).flatten().to_numpy() for n in ("node", "n", "own", "token", "most"))
+            parts.append((token, np.repeat(node, own), np.repeat(length, own), most))
+        if not parts:
             return
-        token, node, length = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(lengths)
-        del tokens, nodes, lengths
-        order = np.lexsort((node, length, token))
-        token, node, length = token[order], node[order], length[order]
+        rows = [np.concatenate(column) for column in zip(*parts)]
+        del parts
+        order = np.lexsort((rows[1], rows[2], rows[0]))
+        token, node, length, most = (x[order] for x in rows)
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        token, node, length = token[fresh], node[fresh], length[fresh]
-        # By length, a node of a group is next to one of fitting length if the group holds any.
-        wide = length.astype(np.int64)
-        near = (token[1:] == token[:-1]) & (100 * wide[:-1] >= percent * wide[1:])
-        keep = np.append(False, near) | np.append(near, False)
-        for i in range(0, int(keep.sum()), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep][i:i + 200_000]) for x in (token, node, length)], schema=kind)
-
-    rows = docs.select("text").mapInArrow(packed, "bucket int, node array<long>, n array<int>, own array<int>, token array<long>")
-    light = rows.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(repeated, "token long, node long, n int")
+        token, node, length, most = (x[fresh] for x in (token, node, length, most))
+        keep = np.flatnonzero(partnered(token, length.astype(np.int64), most, percent))
+        for i in range(0, len(keep), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep[i:i + 200_000]]) for x in (token, node, length, most)], schema=kind)
+
+    rows = docs.select("text").mapInArrow(packed, "bucket int, node array<long>, n array<int>, own array<int>, token array<long>, most array<int>")
+    light = (rows.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(repeated, "token long, node long, n int, most int")
+             .withColumn("heavy", F.lit(False)))
     if not many.any():
         return light
-    spread = F.explode(F.arrays_zip("token", F.flatten(F.transform(F.arrays_zip("node", "own"), lambda x: F.array_repeat(x["node"], x["own"]))).alias("node"),
-                                    F.flatten(F.transform(F.arrays_zip("n", "own"), lambda x: F.array_repeat(x["n"], x["own"]))).alias("n")))
-    return light.unionByName(rows.filter("bucket < 0").select(spread.alias("x")).select("x.token", "x.node", "x.n").distinct())
 
+    def each(name: str):
+        repeats = F.transform(F.arrays_zip(name, "own"), lambda x: F.array_repeat(x[name], x["own"]))
+        return F.flatten(repeats).alias(name)
+
+    spread = F.explode(F.arrays_zip("token", each("node"), each("n"), "most"))
+    return light.unionByName(rows.filter("bucket < 0").select(spread.alias("x")).select("x.token", "x.node", "x.n", "x.most").distinct()
+                             .withColumn("heavy", F.lit(True)))
 
-def _lengths_fit(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+def likely(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """The rows (token, node, n, most, heavy, bitmaps) with a possible partner by length, place and bitmap; heavy tokens stay whole."""
+    names = [c for c in rows.columns if c != "heavy"]
+    kind = ", ".join(f"{c} long" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        columns = {c: table.column(c).to_numpy() for c in names}
+        order = np.lexsort((columns["n"], columns["token"]))
+        columns = {c: x[order] for c, x in columns.items()}
+        bits = np.stack([columns[b] for b in BITMAP], axis=1).view(np.uint64)
+        keep = np.flatnonzero(partnered(columns["token"], columns["n"], columns["most"], percent, bits))
+        for i in range(0, len(keep), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c][keep[i:i + 200_000]]) for c in names], names=names)
+
+    wide = [F.col(c).cast("long") for c in names]
+    light = rows.filter("not heavy").select(wide).repartition(buckets, "token").mapInArrow(run, kind)
+    return light.unionByName(rows.filter("heavy").select(wide))
+
+
+def _lengths_fit():
+    """Whether each of the rows a and b allows for the other's length."""
+    return (F.col("a_n") <= F.col("b_most")) & (F.col("b_n") <= F.col("a_most"))
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -292,13 +359,13 @@ def _may_link(a: str, b: str, percent: int):
 
 
 def _prefixed(prefix: str, *names: str) -> list:
-    return [F.col(c).alias(prefix + c) for c in (*names, "n", *BITMAP)]
+    return [F.col(c).alias(prefix + c) for c in (*names, "n", "most", *BITMAP)]
 
 
 def hub_pairs(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each node with the nearest of its groups' hubs that lie in other components, if they share an element under all orders.
 
-    ``placed``: order_no, token, node, n, bitmaps and component; ``sets``: node
+    ``placed``: order_no, token, node, n, most, bitmaps and component; ``sets``: node
     and its tokens by order. Sizes and bitmaps are tested while rows meet their
     group's hub. The hub is the first by a hash of node, turn and one of a few
     lanes of tokens, so that the groups of one cluster agree on few hubs.
@@ -308,7 +375,7 @@ def hub_pairs(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> Da
             .select("order_no", "token", "hub.*"))
     differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
     near = (placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
-            .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent))
+            .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit() & _may_link("a_", "b_", percent))
             .groupBy("a_node", "b_node").agg(F.min(differing).alias("differing")))
     best = W.partitionBy("a_node").orderBy("differing", "b_node")
     chosen = written(near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= HUBS)
@@ -342,7 +409,7 @@ def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
     right = inside.select("order_no", "token", "main", *_prefixed("b_", "node", "component"))
     pairs = (left.join(right, ["order_no", "token"])
              .filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-                     & _lengths_fit("a_n", "b_n", percent) & _may_link("a_", "b_", percent)))
+                     & _lengths_fit() & _may_link("a_", "b_", percent)))
     return (pairs.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
             .agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b"))
 
@@ -384,14 +451,14 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     stats = written(described(docs, n), "shingles")
     rows = stats.filter("part is null").select("doc_id", "version", "n_shingles", "node", *BITMAP)
     counts = rarity(stats.filter("part is not null").select("part", "task", "counts"))
-    every = written(_numbered(docs, counts, n, percent, heavy), "prefixes")
-    held = every.groupBy("node").agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("node")
+    every = written(prefixes(docs, counts, n, percent, heavy), "prefixes")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "version")).alias("first")
     nodes = written(rows.filter("n_shingles > 0").groupBy("node").agg(first, *(F.min(b).alias(b) for b in BITMAP))
-                    .join(held, "node", "left_semi").select("node", *BITMAP, "first.id", "first.version"), "nodes")
-    texts = written(texts_of(docs, nodes.select("node", "id", "version")), "texts")
-    shared = written(every.withColumn("n", F.col("n").cast("long")).join(nodes.select("node", *BITMAP), "node"), "elements")
-    sets = written(tokens_of(shared), "tokens")
+                    .join(_under_all_orders(every), "node", "left_semi").select("node", *BITMAP, "first.id", "first.version"), "nodes")
+    shared = written(likely(every.join(nodes.select("node", *BITMAP), "node"), buckets_for(counts, percent), percent)
+                     .withColumn("order_no", _order_no()), "elements")
+    sets = written(tokens_of(shared.join(_under_all_orders(shared), "node", "left_semi")), "tokens")
+    texts = written(texts_of(docs, nodes.select("node", "id", "version").join(sets, "node", "left_semi")), "texts")
     discarded(every)
     member = links = tried = None
     for turn in range(TURNS + 1):
@@ -433,6 +500,11 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
     return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
-def _numbered(docs: DataFrame, counts: np.ndarray, n: int, percent: int, heavy: int) -> DataFrame:
-    """Prefix rows with the number of their order, which the last bits of a token tell."""
-    return prefixes(docs, counts, n, percent, heavy).withColumn("order_no", F.pmod("token", F.lit(ORDERS)).cast("int"))
+def _order_no():
+    """The number of a token's order, which its remainder tells."""
+    return F.pmod("token", F.lit(ORDERS)).cast("int")
+
+
+def _under_all_orders(rows: DataFrame) -> DataFrame:
+    """The nodes with elements under every order."""
+    return rows.groupBy("node").agg(F.count_distinct(_order_no()).alias("orders")).filter(F.col("orders") == ORDERS).select("node")
