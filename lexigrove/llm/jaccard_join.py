@@ -458,7 +458,9 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     shared = written(likely(every.join(nodes.select("node", *BITMAP), "node"), buckets_for(counts, percent), percent)
                      .withColumn("order_no", _order_no()), "elements")
     sets = written(tokens_of(shared.join(_under_all_orders(shared), "node", "left_semi")), "tokens")
-    texts = written(texts_of(docs, nodes.select("node", "id", "version").join(sets, "node", "left_semi")), "texts")
+    # Written, so that Spark knows its size: a small choice is broadcast by Spark's own threshold, a large one shuffles the texts once.
+    chosen = written(nodes.select("node", "id", "version").join(sets, "node", "left_semi"), "named")
+    texts = written(texts_of(docs, chosen), "texts")
     discarded(every)
     member = links = tried = None
     for turn in range(TURNS + 1):
