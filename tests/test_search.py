@@ -54,6 +54,31 @@ def test_scores_equal_the_formula(index):
     assert as_dict(keyword.bm25(*index, ["absent"])) == {}
 
 
+def test_postings_rows_do_not_carry_the_word_list(docs):
+    """Each exploded row would otherwise copy all words of its record: quadratic in a long text."""
+    plan = keyword.postings(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "size(tokens" not in above and "size(tokens" in below
+    counted = {(r["term"], r["record_no"]): r["tf"] for r in keyword.term_counts(docs).collect()}
+    assert counted == {(r["term"], r["record_no"]): r["tf"] for r in keyword.postings(docs).collect()}
+
+
+def test_texts_are_dealt_out_before_they_are_indexed(spark, tmp_path):
+    """One file holds all records here; tasks must not take texts file by file."""
+    rows = spark.range(400, numPartitions=1).select(F.col("id").alias("record_no"), F.lit("of the ferry of").alias("text"))
+    rows.write.parquet(f"{tmp_path}/r")
+    seen = []
+    one = keyword.postings
+    keyword.postings = lambda texts: seen.append(texts) or one(texts)
+    try:
+        keyword.write_postings(spark.read.parquet(f"{tmp_path}/r"), f"{tmp_path}/p")
+    finally:
+        keyword.postings = one
+    assert "hashpartitioning(record_no" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    stored = keyword.read_postings(spark, f"{tmp_path}/p")
+    assert stored.count() == 1200 and stored.filter("term = 'of'").select("tf", "dl", "positions").distinct().collect() == [(2, 4, [0, 3])]
+
+
 def test_filter_changes_membership_but_no_score(index, docs):
     found = as_dict(search.keyword_search(*index, docs, "Island ferry", {"domain": "News"}))
     assert found == {2: pytest.approx(bm25(["island", "ferry"])[2], abs=2e-6)}
