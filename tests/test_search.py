@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrove.functions import text as text_fn
 from lexigrove.operators import encoding, keyword, similarity
 from lexigrove.plans import search
 
@@ -225,6 +226,26 @@ def test_encoding_with_and_without_broadcast(docs, vocabulary):
     assert encoding.query_vector("Bread", vocabulary) == pytest.approx([0.0, 1.0])
 
 
+@pytest.mark.parametrize("bound", [0, 80, 160])
+def test_only_rare_words_are_joined(spark, docs, vocabulary, bound, monkeypatch):
+    """Beyond the bound the most frequent words are broadcast; only the others move, whatever the keys are."""
+    ranked = vocabulary.withColumn("rank", F.expr("CASE word WHEN 'ferry' THEN 1 WHEN 'bread' THEN 2 ELSE 3 END"))
+    near, far = encoding.split(ranked, 80, bound)
+    assert {r["word"] for r in near.collect()} == {"ferry", "bread"} - ({"bread", "ferry"} if bound == 0 else {"bread"} if bound == 80 else set())
+    assert near.count() + far.count() == 3
+    texts = docs.unionByName(docs).select(F.lit(None).cast("long").alias("record_no"), "text")
+    moved = []
+    split = text_fn.term_counts
+    monkeypatch.setattr(encoding.text_fn, "term_counts", lambda c: moved.append(c) or split(c))
+    want, got = (sorted([round(x, 9) for x in r["vec"]] for r in encoding.encode_documents(texts, ranked, bound=b).collect())
+                 for b in (encoding.VOCABULARY_BYTES, bound))
+    assert got == want and len(got) == 8
+    assert [str(c) for c in moved] == ["Column<'rest'>"]
+    query = encoding.query_of("bread ferry bread", vocabulary)
+    tokens = docs.select("record_no", text_fn.words(F.col("text")).alias("tokens"))
+    check_coverage({r["record_no"]: r["coverage"] for r in encoding.concept_coverage(tokens, query, ranked, bound=bound).collect()})
+
+
 def test_long_documents_add_parts_by_length(docs, vocabulary):
     whole = encoded(encoding.encode_long_documents(docs, vocabulary, 10_000))
     assert whole[1] == pytest.approx(encoded(encoding.encode_documents(docs, vocabulary))[1])
