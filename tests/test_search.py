@@ -207,6 +207,17 @@ def test_vocabulary_first_usable_word_wins(vocabulary):
     assert found["bread"][1] == pytest.approx([0.0, 0.5])
 
 
+def test_vectors_of_single_words_are_not_shuffled(spark):
+    import re
+
+    raw = spark.createDataFrame([
+        (None, 7, [1.0]), (None, 6, [3.0]), ("a", 2, [5.0]), ("A", 2, [4.0]), ("b", 1, [2.0])], "word string, rank bigint, raw array<double>")
+    assert {r["word"]: r["rank"] for r in encoding.weighted_vocabulary(raw).collect()} == {None: 6, "a": 2, "b": 1}
+    single = encoding.weighted_vocabulary(raw.filter("word = 'b'"))
+    assert single.count() == 1
+    assert not re.search("Aggregate", single._jdf.queryExecution().optimizedPlan().toString())
+
+
 def encoded(df):
     return {r["record_no"]: r["vec"] for r in df.collect()}
 
