@@ -257,6 +257,25 @@ def test_only_rare_words_are_joined(spark, docs, vocabulary, bound, monkeypatch)
     check_coverage({r["record_no"]: r["coverage"] for r in encoding.concept_coverage(tokens, query, ranked, bound=bound).collect()})
 
 
+def test_a_large_vocabulary_scatters_no_files(spark, work, monkeypatch):
+    import functools
+    from lexigrove.plans.workspace import Workspace
+
+    monkeypatch.setattr(encoding, "encode_documents", functools.partial(encoding.encode_documents, bound=0))
+    fresh = Workspace(spark, work.folder)
+    fresh.__dict__ |= {"records": work.records, "vocabulary": work.vocabulary}
+    # On this small table the join has several tasks only without coalescing and broadcasts.
+    usual = {"spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "10485760"}
+    try:
+        for name, value in zip(usual, ("false", "-1")):
+            spark.conf.set(name, value)
+        files = fresh.encoded.inputFiles()
+    finally:
+        for name, value in usual.items():
+            spark.conf.set(name, value)
+    assert len({f.rsplit("/", 1)[0] for f in files}) == len(files)
+
+
 def test_long_documents_add_parts_by_length(docs, vocabulary):
     whole = encoded(encoding.encode_long_documents(docs, vocabulary, 10_000))
     assert whole[1] == pytest.approx(encoded(encoding.encode_documents(docs, vocabulary))[1])
