@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from lexigrove.llm.graph import components
 from lexigrove.llm.shared import SPACED_BYTES, discarded, mixed, pieces, raw, unused, written
@@ -62,6 +62,8 @@ NEIGHBOURS = 32
 HUBS = 2
 LANES = 4
 TURNS = 3
+EARLIER = 3
+MARKS = 1 << 24
 BITS = 256
 BITMAP = [f"bits{i}" for i in range(BITS // 64)]
 SPACES = np.frombuffer(b" \t\n\v\f\r", dtype=np.uint8)
@@ -399,26 +401,59 @@ def across(placed: DataFrame) -> DataFrame:
     return placed.join(several.select("order_no", "token"), ["order_no", "token"], "left_semi")
 
 
-def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components that share a prefix element under every order and may be similar enough."""
+def meetings(placed: DataFrame, percent: int) -> DataFrame:
+    """Nodes of different components that share an element and may be similar enough: (order_no, a_node, b_node).
+
+    Near copies share many elements, and all but their first common one tell
+    nothing new. Each row knows the few elements of its node before its own: two
+    rows with one of them in common are left out, as their nodes meet there too,
+    with earlier places and so with looser bounds. The first meeting always stays.
+    """
     per = placed.groupBy("order_no", "token", "component").agg(F.count("*").alias("n_nodes"))
     main = (per.groupBy("order_no", "token").agg(F.max_by("component", F.struct("n_nodes", "component")).alias("main"), F.count("*").alias("kinds"))
             .filter("kinds > 1").select("order_no", "token", "main"))
-    inside = written(placed.join(main, ["order_no", "token"]), "groups")
-    left = inside.filter("component <> main").select("order_no", "token", *_prefixed("a_", "node", "component"))
-    right = inside.select("order_no", "token", "main", *_prefixed("b_", "node", "component"))
-    pairs = (left.join(right, ["order_no", "token"])
-             .filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
-                     & _lengths_fit() & _may_link("a_", "b_", percent)))
-    return (pairs.groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    # A later place has a smaller ``most``.
+    earlier = W.partitionBy("order_no", "node").orderBy(F.desc("most")).rowsBetween(-EARLIER, -1)
+    inside = written(placed.join(main, ["order_no", "token"]).withColumn("before", F.collect_list("token").over(earlier)), "groups")
+    left = inside.filter("component <> main").select("order_no", "token", *_prefixed("a_", "node", "component", "before"))
+    right = inside.select("order_no", "token", "main", *_prefixed("b_", "node", "component", "before"))
+    return (left.join(right, ["order_no", "token"])
+            .filter((F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node")))
+                    & _lengths_fit() & _may_link("a_", "b_", percent) & ~F.arrays_overlap("a_before", "b_before"))
+            .select("order_no", "a_node", "b_node"))
+
+
+def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different components that share a prefix element under every order and may be similar enough."""
+    return (meetings(placed, percent).groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
             .agg(F.count_distinct("order_no").alias("orders")).filter(F.col("orders") == ORDERS).select("a", "b"))
 
 
+def likely_chosen(known: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose id and version are among the chosen ones, and few others: a bitmap of fixed size tells most of the rest."""
+    cells = [F.pmod(F.xxhash64(F.lit(i), "id", "version"), F.lit(MARKS)).cast("long") for i in range(2)]
+    words = (chosen.select(F.explode(F.array(*cells)).alias("cell")).groupBy(F.shiftright("cell", 6).alias("word"))
+             .agg(F.expr("bit_or(shiftleft(1L, CAST(cell % 64 AS INT)))").alias("bits")).toArrow())
+    bitmap = np.zeros(MARKS // 64, dtype=np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = known.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.arrow_udf(T.BooleanType())
+    def marked(first: pa.Array, second: pa.Array) -> pa.Array:
+        found = np.ones(len(first), dtype=bool)
+        for column in (first, second):
+            cell = column.to_numpy(zero_copy_only=False)
+            found &= (shared.value[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(found)
+
+    return known.filter(marked(*cells))
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The texts of the chosen nodes: (node, text). ``chosen``: node with the id and text hash of one of its documents."""
     known = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("version"), "text")
     # A node is chosen with one id and version, so repeated rows go without another shuffle.
-    return known.join(chosen, ["id", "version"]).dropDuplicates(["id", "version"]).select("node", "text")
+    return likely_chosen(known, chosen).join(chosen, ["id", "version"]).dropDuplicates(["id", "version"]).select("node", "text")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -458,7 +493,7 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     shared = written(likely(every.join(nodes.select("node", *BITMAP), "node"), buckets_for(counts, percent), percent)
                      .withColumn("order_no", _order_no()), "elements")
     sets = written(tokens_of(shared.join(_under_all_orders(shared), "node", "left_semi")), "tokens")
-    # Written, so that Spark knows its size: a small choice is broadcast by Spark's own threshold, a large one shuffles the texts once.
+    # Written, so that Spark knows its size: a small choice is broadcast by Spark's own threshold, a large one shuffles the texts it may need.
     chosen = written(nodes.select("node", "id", "version").join(sets, "node", "left_semi"), "named")
     texts = written(texts_of(docs, chosen), "texts")
     discarded(every)

@@ -367,6 +367,28 @@ def test_components_against_brute_force(docs, none, heavy):
     assert jaccard_join.joined(none).count() == 0
 
 
+def test_near_copies_meet_once_in_each_order(spark):
+    # Eight nodes share 20 elements; node 7 lacks every fifth of them, node 6 shares only the last one.
+    places = {n: [t for t in range(20) if not (n == 7 and t % 5 == 0 or n == 6 and t < 19)] for n in range(8)}
+    rows = [(o, 2 * t + o, n, 100, 118 - 2 * i, n, *[0] * 4) for n, own in places.items() for o in range(2) for i, t in enumerate(own)]
+    placed = spark.createDataFrame(
+        rows, "order_no int, token long, node long, n long, most long, component long, " + ", ".join(f"{b} long" for b in jaccard_join.BITMAP))
+    # By their places, nodes 0 to 5 and 7 fit at the first ten elements only; node 6 meets no one there.
+    pairs = {(r["a"], r["b"]) for r in jaccard_join.cross_pairs(placed, 85).collect()}
+    assert pairs == set(combinations([0, 1, 2, 3, 4, 5, 7], 2))
+    # 2 * 15 meetings at the first element and 2 * 6 of node 7 at the second: 10 and 8 times as many without looking back.
+    assert jaccard_join.meetings(placed, 85).count() == 42
+
+
+def test_few_texts_besides_the_chosen_ones_are_moved(spark):
+    known = spark.range(20_000).select("id", F.xxhash64("id").alias("version"), F.lit("x").alias("text"))
+    known = known.unionByName(spark.createDataFrame([(-1, 5, None), (7, None, "y")], "id long, version long, text string"))
+    chosen = known.filter("id % 500 = 7 or id = -1").filter("version is not null").select("id", "version", F.col("id").alias("node"))
+    left = jaccard_join.likely_chosen(known, chosen)
+    assert left.join(chosen, ["id", "version"]).count() == chosen.count() == 41 and left.count() < 100
+    assert jaccard_join.likely_chosen(known, chosen.limit(0)).count() == 0
+
+
 def test_one_document_of_each_component(docs):
     kept = jaccard_join.one_of_each(docs)
     ids = [r["doc_id"] for r in kept.collect()]
