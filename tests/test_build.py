@@ -246,3 +246,14 @@ def test_zero_vectors_have_no_topic(work):
     assert found.count() == work.records.count()
     zero = found.join(zeroed.select("record_no"), "record_no", "left_semi")
     assert zero.count() > 0 and zero.filter("topic_id <> -1").isEmpty()
+
+
+def test_texts_of_the_topic_sample_are_not_shuffled(spark):
+    from lexigrove.plans.topic_model import sample_texts
+    from lexigrove.session import checkpointed
+
+    records = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(100)], "record_no long, text string")
+    texts = sample_texts(records, checkpointed(spark.createDataFrame([(3,), (5,), (500,)], "record_no long")))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, texts.collect())) == [(3, None), (5, "t5")]
