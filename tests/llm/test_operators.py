@@ -12,7 +12,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lexigrove.llm import (decontamination, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality,
+from lexigrove.llm import (decontamination, graph, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality,
                            pseudonyms, suffix_dedup, toxicity)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, node string, version string, kept string, bucket string"
@@ -367,6 +367,37 @@ def test_components_against_brute_force(docs, none, heavy):
     assert jaccard_join.joined(none).count() == 0
 
 
+def test_rounds_end_with_the_stars(spark, monkeypatch):
+    """Known components are merged, not found again, and no round is made only to see that nothing changes."""
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, name, write=graph.written: rounds.append(name) or write(df, name))
+
+    def found(links, known=None):
+        out = graph.components(spark.createDataFrame(links, "a long, b long"), known)
+        return {r["node"]: r["component"] for r in out.collect()}, out
+
+    star, known = found([(-3, 7), (5, -3), (5, 7), (7, -3), (20, 10), (10, 30), (4, 4)])
+    assert star == {7: -3, 5: -3, 20: 10, 30: 10} and len(rounds) == 1
+    both, _ = found([(30, 5)], known)
+    assert both == {7: -3, 5: -3, 10: -3, 20: -3, 30: -3} and len(rounds) <= 3
+    chain, _ = found([(i, i + 1) for i in range(50)])
+    assert chain == {i: 0 for i in range(1, 51)}
+    assert found([])[0] == {}
+
+
+def test_tables_written_by_the_join(docs, monkeypatch):
+    # Each table is a job and a set of files. Of a turn: elements, pairs, their nodes, links found and the rounds of its components.
+    names = []
+    for module in (jaccard_join, graph):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written: names.append(name) or write(df, name))
+    jaccard_join.joined(docs).count()
+    assert names[:6] == ["shingles", "prefixes", "nodes", "elements", "named", "texts"]
+    turns = names.count("found")
+    assert 2 <= turns <= jaccard_join.TURNS + 1 and names.count("groups") == 1 and names.count("links") <= 2 * turns
+    assert names.count("pairs") == names.count("ends") == names.count("elements") == turns
+    assert len(names) - names.count("links") == 6 + 4 * turns
+
+
 def test_near_copies_meet_once_in_each_order(spark):
     # Eight nodes share 20 elements; node 7 lacks every fifth of them, node 6 shares only the last one.
     places = {n: [t for t in range(20) if not (n == 7 and t % 5 == 0 or n == 6 and t < 19)] for n in range(8)}
