@@ -18,8 +18,8 @@ Work is by class: documents with equal sets are one node. Steps:
 3. what is left meets the bitmaps of its nodes, and elements without a partner
    that passes the bound below are left out;
 4. in each element's group, nodes are first paired with one hub; verified links
-   give components. A few turns with other hubs, while these find links, join
-   most of what belongs together;
+   give components. A few turns with other hubs join most of what belongs
+   together;
 5. then all nodes of a group that still lie in different components are paired,
    so that no link between components is missed, and verified. Pairs inside a
    component need no check: they cannot change the result.
@@ -62,7 +62,6 @@ NEIGHBOURS = 32
 HUBS = 2
 LANES = 4
 TURNS = 3
-SELDOM = 20
 EARLIER = 3
 MARKS = 1 << 24
 BITS = 256
@@ -305,9 +304,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int = WORDS, percent: int =
         if not parts:
             return
         rows = [np.concatenate(column) for column in zip(*parts)]
-        del parts
+        # One copy of the entries at a time: the batches' own go before they are sorted.
+        del parts, batch, node, length, own, token, most
         order = np.lexsort((rows[1], rows[2], rows[0]))
-        token, node, length, most = (x[order] for x in rows)
+        token, node, length, most = (rows.pop(0)[order] for _ in range(4))
+        del order
         fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
         token, node, length, most = (x[fresh] for x in (token, node, length, most))
         keep = np.flatnonzero(partnered(token, length.astype(np.int64), most, percent))
@@ -367,13 +368,13 @@ def _prefixed(prefix: str, *names: str) -> list:
     return [F.col(c).alias(prefix + c) for c in (*names, "n", "most", *BITMAP)]
 
 
-def hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each node with the nearest of its groups' hubs that lie in other components: (a, b), at most HUBS for a node.
+def hub_pairs(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each node with the nearest of its groups' hubs that lie in other components, if they share an element under all orders.
 
-    ``placed``: order_no, token, node, n, most, bitmaps and component. Sizes and
-    bitmaps are tested while rows meet their group's hub. The hub is the first by
-    a hash of node, turn and one of a few lanes of tokens, so that the groups of
-    one cluster agree on few hubs.
+    ``placed``: order_no, token, node, n, most, bitmaps and component; ``sets``: node
+    and its tokens by order. Sizes and bitmaps are tested while rows meet their
+    group's hub. The hub is the first by a hash of node, turn and one of a few
+    lanes of tokens, so that the groups of one cluster agree on few hubs.
     """
     order = F.struct(F.xxhash64(F.lit(turn), F.pmod("token", F.lit(ORDERS * LANES)), "node"), "node")
     hubs = (placed.groupBy("order_no", "token").agg(F.min_by(F.struct(*_prefixed("b_", "node", "component")), order).alias("hub"))
@@ -381,10 +382,21 @@ def hub_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
     # A node has no more hubs than elements.
     near = F.sort_array(F.collect_set(F.struct(differing.alias("differing"), "b_node")))
-    return (placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
-            .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit() & _may_link("a_", "b_", percent))
-            .groupBy("a_node").agg(F.slice(near, 1, HUBS).alias("near")).select("a_node", F.explode("near.b_node").alias("b_node"))
-            .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    chosen = written(placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
+                     .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit() & _may_link("a_", "b_", percent))
+                     .groupBy("a_node").agg(F.slice(near, 1, HUBS).alias("near")).select("a_node", F.explode("near.b_node").alias("b_node"))
+                     .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "chosen")
+    sets = sets.join(_ends(chosen), "node", "left_semi")
+    meeting = chosen.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+    shared = [F.arrays_overlap(F.col("a_tokens")[i], F.col("b_tokens")[i]) for i in range(ORDERS)]
+    return meeting.filter(F.forall(F.array(*shared), lambda x: x)).select("a", "b")
+
+
+def tokens_of(shared: DataFrame) -> DataFrame:
+    """The shared prefix tokens of each node by order: (node, tokens), at most a prefix of its set under each order."""
+    by_order = [F.collect_list(F.when(F.col("order_no") == i, F.col("token"))) for i in range(ORDERS)]
+    return shared.groupBy("node").agg(F.array(*by_order).alias("tokens"))
 
 
 def across(placed: DataFrame) -> DataFrame:
@@ -484,14 +496,13 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
                     .join(_under_all_orders(every), "node", "left_semi").select("node", *BITMAP, "first.id", "first.version"), "nodes")
     shared = written(likely(every.join(nodes.select("node", *BITMAP), "node"), buckets_for(counts, percent), percent)
                      .withColumn("order_no", _order_no()), "elements")
+    sets = written(tokens_of(shared.join(_under_all_orders(shared), "node", "left_semi")), "tokens")
     # Written, so that Spark knows its size: a small choice is broadcast by Spark's own threshold, a large one shuffles the texts it may need.
-    chosen = written(nodes.select("node", "id", "version").join(_under_all_orders(shared), "node", "left_semi"), "named")
+    chosen = written(nodes.select("node", "id", "version").join(sets, "node", "left_semi"), "named")
     texts = written(texts_of(docs, chosen), "texts")
     discarded(every, chosen)
     member = tried = None
-    hubs = True
     for turn in range(TURNS + 1):
-        last = turn == TURNS or not hubs
         if not turn:
             at = shared.withColumn("component", F.col("node"))
         else:
@@ -500,18 +511,13 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
             at = written(across(at), "elements")
             discarded(shared)
             shared = at
-        pairs = cross_pairs(at, percent) if last else hub_pairs(at, turn, percent)
+        pairs = hub_pairs(at, sets, turn, percent) if turn < TURNS else cross_pairs(at, percent)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = written(verified(pairs, texts, n, percent), "found")
-        n_found = found.count()
-        if n_found or not turn:
+        if turn == 0 or not found.isEmpty():
             member = components(found, member)
-        if last:
-            break
-        # Hubs spare pairs by joining components; where few of them link, the last step may as well begin.
-        hubs = SELDOM * n_found > pairs.count()
-    discarded(shared, texts)
+    discarded(shared, sets, texts)
     return (rows.join(member.withColumnRenamed("component", "root"), "node", "left")
             .select("doc_id", "version", "n_shingles", F.coalesce("root", "node").alias("root")))
 
