@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexigrove.llm.shared import written
+from lexigrove.llm.shared import narrow, written
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -35,6 +35,6 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         # The node itself is linked in the row of its smallest neighbour.
         small = large.join(smallest, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.distinct(), "links")
+        edges = written(narrow(small.distinct()), "links")
         if _stars(edges):
             return edges.toDF("node", "component")

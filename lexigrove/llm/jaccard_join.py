@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from lexigrove.llm.graph import components
-from lexigrove.llm.shared import SPACED_BYTES, discarded, mixed, pieces, raw, unused, written
+from lexigrove.llm.shared import SPACED_BYTES, discarded, mixed, narrow, pieces, raw, unused, written
 
 WORDS = 4
 PERCENT = 85
@@ -58,6 +58,7 @@ MERGED_TASKS = 64
 ENTRIES_PER_BUCKET = 1_000_000
 ENTRIES_PER_ROW = 500_000
 HEAVY = 1_000_000
+ROWS_PER_FILE = 20_000
 NEIGHBOURS = 32
 HUBS = 2
 LANES = 4
@@ -382,10 +383,10 @@ def hub_pairs(placed: DataFrame, sets: DataFrame, turn: int, percent: int) -> Da
     differing = sum((F.bit_count(F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))) for x in BITMAP), F.lit(0))
     # A node has no more hubs than elements.
     near = F.sort_array(F.collect_set(F.struct(differing.alias("differing"), "b_node")))
-    chosen = written(placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
+    chosen = written(narrow(placed.select("order_no", "token", *_prefixed("a_", "node", "component")).join(hubs, ["order_no", "token"])
                      .filter((F.col("a_component") != F.col("b_component")) & _lengths_fit() & _may_link("a_", "b_", percent))
                      .groupBy("a_node").agg(F.slice(near, 1, HUBS).alias("near")).select("a_node", F.explode("near.b_node").alias("b_node"))
-                     .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "chosen")
+                     .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()), "chosen")
     sets = sets.join(_ends(chosen), "node", "left_semi")
     meeting = chosen.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
@@ -462,7 +463,7 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _ends(pairs: DataFrame) -> DataFrame:
     """The nodes of pairs, written: few of them are broadcast by Spark's own threshold, so other nodes are not shuffled."""
-    return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    return written(narrow(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "ends")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -492,13 +493,13 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
     counts = rarity(stats.filter("part is not null").select("part", "task", "counts"))
     every = written(prefixes(docs, counts, n, percent, heavy), "prefixes")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), "version")).alias("first")
-    nodes = written(rows.filter("n_shingles > 0").groupBy("node").agg(first, *(F.min(b).alias(b) for b in BITMAP))
-                    .join(_under_all_orders(every), "node", "left_semi").select("node", *BITMAP, "first.id", "first.version"), "nodes")
+    nodes = written(narrow(rows.filter("n_shingles > 0").groupBy("node").agg(first, *(F.min(b).alias(b) for b in BITMAP))
+                    .join(_under_all_orders(every), "node", "left_semi").select("node", *BITMAP, "first.id", "first.version")), "nodes")
     shared = written(likely(every.join(nodes.select("node", *BITMAP), "node"), buckets_for(counts, percent), percent)
                      .withColumn("order_no", _order_no()), "elements")
     sets = written(tokens_of(shared.join(_under_all_orders(shared), "node", "left_semi")), "tokens")
     # Written, so that Spark knows its size: a small choice is broadcast by Spark's own threshold, a large one shuffles the texts it may need.
-    chosen = written(nodes.select("node", "id", "version").join(sets, "node", "left_semi"), "named")
+    chosen = written(narrow(nodes.select("node", "id", "version").join(sets, "node", "left_semi")), "named")
     texts = written(texts_of(docs, chosen), "texts")
     discarded(every, chosen)
     member = tried = None
@@ -508,13 +509,14 @@ def placed(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, heavy: int =
         else:
             # Nodes without a smaller one in reach are their components' roots.
             at = shared.drop("component").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            at = written(across(at), "elements")
+            # What is left of a small table needs few tasks and files; a large one keeps its partitions.
+            at = written(across(at).coalesce(max(1, -(-shared.count() // ROWS_PER_FILE))), "elements")
             discarded(shared)
             shared = at
         pairs = hub_pairs(at, sets, turn, percent) if turn < TURNS else cross_pairs(at, percent)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(narrow(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(verified(pairs, texts, n, percent), "found")
+        found = written(narrow(verified(pairs, texts, n, percent)), "found")
         if turn == 0 or not found.isEmpty():
             member = components(found, member)
     discarded(shared, sets, texts)

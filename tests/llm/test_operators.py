@@ -395,6 +395,22 @@ def test_tables_written_by_the_join(docs, monkeypatch):
     assert names.count("found") == turns and names.count("links") <= 2 * turns
 
 
+def test_narrow_tables_are_few_files(spark):
+    # Each written file starts about six processes where Hadoop has no native code; tables of a few numbers a row need few files.
+    confs = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        links = spark.range(2_000).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+        found, ends = graph.components(links), jaccard_join._ends(links)
+        assert max(len(found.inputFiles()), len(ends.inputFiles())) <= 8
+        assert found.filter("node = component + 1").count() == found.count() == 2_000 and ends.distinct().count() == ends.count() == 4_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_copies_meet_once_in_each_order(spark):
     # Eight nodes share 20 elements; node 7 lacks every fifth of them, node 6 shares only the last one.
     places = {n: [t for t in range(20) if not (n == 7 and t % 5 == 0 or n == 6 and t < 19)] for n in range(8)}
