@@ -34,7 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lexigrove.llm.shared import WORD_BYTES, pieces, word_bytes, written
+from lexigrove.llm.shared import CHUNK_BYTES, SMALL_GROUPS, WORD_BYTES, few, pieces, word_bytes, written
+from lexigrove.session import local_table
 
 # --- fixed values: the score ---
 PLACES = 20
@@ -43,7 +44,8 @@ TF_FACTOR = 1000
 LENGTH_FACTOR = 12
 LENGTH_SHARE = 25
 
-BLOCK_BYTES = 16 << 20
+# Each block is one row, which Spark copies as a whole: small ones keep the heap small.
+BLOCK_BYTES = 2 << 20
 ITEM_WORDS = 500_000
 FIRST_READ = 256
 LANES = 256
@@ -77,7 +79,7 @@ def collection(docs: DataFrame) -> Size:
     """Counts words by their first bytes, without making them."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents = terms = 0
-        for _, texts in pieces(batches, "text"):
+        for _, texts in pieces(batches, "text", CHUNK_BYTES // 4):
             texts = [t or b"" for t in texts]
             inside = _PART_OF_WORD[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
             starts = np.concatenate([[0], np.cumsum(inside[1:] & ~inside[:-1])])
@@ -124,7 +126,7 @@ def index(docs: DataFrame, size: Size, block_bytes: int = BLOCK_BYTES) -> DataFr
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for part, texts in pieces(batches, "text"):
+        for part, texts in pieces(batches, "text", min(CHUNK_BYTES, block_bytes)):
             parts.append((part.column(0).to_pylist(), texts))
             held += sum(len(t) for t in texts if t)
             if held >= block_bytes:
@@ -132,7 +134,7 @@ def index(docs: DataFrame, size: Size, block_bytes: int = BLOCK_BYTES) -> DataFr
                 parts, held = [], 0
         yield from rows(parts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(built, INDEX)
+    return few(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(built, INDEX)
 
 
 def item_parts(items: DataFrame, most: int = ITEM_WORDS) -> Iterator[list[tuple]]:
@@ -153,20 +155,24 @@ def item_parts(items: DataFrame, most: int = ITEM_WORDS) -> Iterator[list[tuple]
         yield part
 
 
+def places_of(asked: list[bytes], terms: pa.Array) -> np.ndarray:
+    """The place of each asked term among those of a block, -1 if it is not there."""
+    return pa.compute.fill_null(pa.compute.index_in(pa.array(asked, terms.type), value_set=terms), -1).to_numpy()
+
+
 def document_frequencies(blocks: DataFrame, asked: set[bytes]) -> dict[bytes, int]:
     """In how many documents each asked term occurs; reads no list."""
-    shared = blocks.sparkSession.sparkContext.broadcast(asked)
+    shared = blocks.sparkSession.sparkContext.broadcast(list(asked))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
+        terms = shared.value
+        total = np.zeros(len(terms), dtype=np.int64)
         for batch in batches:
-            for terms, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before = 0
-                for term, end in zip(terms, ends):
-                    if term in shared.value:
-                        total[term] = total.get(term, 0) + end - before
-                    before = end
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["term", "df"])
+            for i in range(batch.num_rows):
+                at, ends = places_of(terms, batch.column(0)[i].values), np.diff(batch.column(1)[i].values.to_numpy(), prepend=0)
+                total[at >= 0] += ends[at[at >= 0]]
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([terms[n] for n in met], pa.binary()), pa.array(total[met])], names=["term", "df"])
 
     rows = blocks.select("terms", "ends").mapInArrow(counted, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     shared.unpersist()
@@ -242,19 +248,22 @@ def search_part(blocks: DataFrame, part: list[tuple], size: Size, places: int =
     frequencies = document_frequencies(blocks, {t for _, asked in part for t in asked})
     # Terms of no document or of no weight change no score.
     asked = [[(t, n * weight(size, frequencies[t])) for t, n in terms.items() if t in frequencies and weight(size, frequencies[t])] for _, terms in part]
-    shared = blocks.sparkSession.sparkContext.broadcast(asked)
+    every = sorted({t for terms in asked for t, _ in terms})
+    numbers = {t: n for n, t in enumerate(every)}
+    shared = blocks.sparkSession.sparkContext.broadcast((every, [[(numbers[t], w) for t, w in terms] for terms in asked]))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [[] for _ in shared.value]
+        every, asked = shared.value
+        found = [[] for _ in asked]
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {n: batch.column(n)[i].values for n in batch.schema.names}
                 ids, lengths, docs, tfs = (cell[n].to_numpy().astype(np.int64) for n in ("doc_ids", "lengths", "docs", "tfs"))
                 ends = np.concatenate([[0], cell["ends"].to_numpy()])
-                number = {t: n for n, t in enumerate(cell["terms"].to_pylist())}
+                at = places_of(every, cell["terms"]).tolist()
                 impact = impacts(tfs, lengths[docs], size)
-                for item, terms in enumerate(shared.value):
-                    lists = [(docs[ends[k]:ends[k + 1]], w * impact[ends[k]:ends[k + 1]]) for k, w in ((number.get(t), w) for t, w in terms) if k is not None]
+                for item, terms in enumerate(asked):
+                    lists = [(docs[ends[k]:ends[k + 1]], w * impact[ends[k]:ends[k + 1]]) for k, w in ((at[n], w) for n, w in terms) if k >= 0]
                     if lists:
                         held = found[item]
                         bar = -held[places - 1][0] if len(held) >= places else 1
@@ -272,7 +281,7 @@ def ranked(docs: DataFrame, items: DataFrame, places: int = PLACES, item_words:
     """Each item's best documents: item_id, rank, doc_id, score."""
     spark = docs.sparkSession
     size = collection(docs)
-    blocks = written(index(docs, size, block_bytes), "impact-lists")
+    blocks = written(index(docs, size, block_bytes), "impact-lists", **SMALL_GROUPS)
     kind = items.schema["item_id"].dataType.simpleString()
     def first(rows: DataFrame, *group: str) -> DataFrame:
         order = W.partitionBy(*group).orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
@@ -280,7 +289,7 @@ def ranked(docs: DataFrame, items: DataFrame, places: int = PLACES, item_words:
 
     out = None
     for part in item_parts(items, item_words):
-        names = spark.createDataFrame([(n, item_id) for n, (item_id, _) in enumerate(part)], f"item int, item_id {kind}")
+        names = local_table(spark, [(n, item_id) for n, (item_id, _) in enumerate(part)], f"item int, item_id {kind}")
         found = search_part(blocks, part, size, places).withColumn("lane", F.spark_partition_id() % LANES)
         # In two steps: however many tasks there are, no item meets more than LANES lists at once.
         best = first(first(found, "item", "lane").drop("rank"), "item")
