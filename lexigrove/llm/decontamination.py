@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrove.llm.shared import pieces, raw, unused, word_bytes, written
+from lexigrove.llm.shared import PARTITIONS_PER_FILE, SMALL_GROUPS, few, pieces, places_of, unused, word_bytes, written
 
 # --- fixed values: the contamination rule ---
 WINDOW = 13
 HIT_SHARE = 20
 
-BLOCK_BYTES = 2 << 20
+# Each block is one row, which Spark copies as a whole: small ones keep the heap small.
+BLOCK_BYTES = 1 << 20
 ITEM_WORDS = 500_000
 NEAR_TERMS = 3
 NEAR_SLACK = 3
@@ -75,18 +76,19 @@ def index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             block = {"block": base + number, "versions": part.column(1).to_pylist(), **_block(part.column(0).to_pylist(), texts)}
             yield pa.RecordBatch.from_arrays([pa.array([block[f.name]], f.type) for f in types], schema=types)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(built, INDEX)
+    # Numbers of blocks need one run of ``built`` a task: tasks are made fewer before it.
+    return few(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(built, INDEX)
 
 
-def _windows(words: list[bytes], size: int) -> range:
-    return range(0, max(len(words) - size, 0) + 1) if words else range(0)
+def _windows(words: int, size: int) -> range:
+    return range(0, max(words - size, 0) + 1) if words else range(0)
 
 
 class Postings:
     """One block, ready to be searched."""
 
-    def __init__(self, terms: list[bytes], ends: np.ndarray, gaps: np.ndarray):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, asked: list[bytes], terms: pa.Array, ends: np.ndarray, gaps: np.ndarray):
+        self.numbers = places_of(asked, terms).astype(np.int64)
         self.ends = np.concatenate([[0], ends])
         self.positions = np.cumsum(gaps)
 
@@ -115,15 +117,15 @@ class Postings:
 
 
 def _search_block(block: Postings, first: np.ndarray, counts: np.ndarray, items: list, size: int, slack: int):
-    """Hit words as a flag per position, and the items by document number."""
+    """Hit words as a flag per position, and the items by document number. Items are places in the asked words."""
     hit = np.zeros(int(first[-1] + counts[-1]) + 1 if len(first) else 1, dtype=bool)
     exact, close = set(), set()
     for item_id, words in items:
-        numbers = np.array([block.number.get(w, -1) for w in words], dtype=np.int64)
+        numbers = block.numbers[words]
         width = min(size, len(words))
         absent = np.concatenate([[0], np.cumsum(numbers < 0)])
         rarity = np.where(numbers < 0, 0, block.ends[numbers + 1] - block.ends[numbers])
-        for start in _windows(words, size):
+        for start in _windows(len(words), size):
             if absent[start + width] > absent[start]:
                 continue
             part = numbers[start:start + width]
@@ -166,15 +168,18 @@ def search(blocks: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: i
                       ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
     def one_pass(part: list) -> DataFrame:
-        shared = context.broadcast(part)
+        asked = sorted({w for _, words in part for w in words})
+        place = {w: n for n, w in enumerate(asked)}
+        shared = context.broadcast((asked, [(item_id, np.array([place[w] for w in words], dtype=np.int64)) for item_id, words in part]))
 
         def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, items_asked = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
                     cell = {n: batch.column(n)[i].values for n in batch.schema.names if n != "block"}
                     first, counts = cell["first"].to_numpy(), cell["words"].to_numpy()
-                    block = Postings(cell["terms"].to_pylist(), cell["ends"].to_numpy(), cell["gaps"].to_numpy())
-                    hit, exact, close = _search_block(block, first, counts, shared.value, size, slack)
+                    block = Postings(asked, cell["terms"], cell["ends"].to_numpy(), cell["gaps"].to_numpy())
+                    hit, exact, close = _search_block(block, first, counts, items_asked, size, slack)
                     items: dict[int, list] = {}
                     near: dict[int, list] = {}
                     for into, pairs in ((items, exact), (near, close)):
@@ -187,7 +192,8 @@ def search(blocks: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: i
                         pa.array([items.get(d, []) for d in range(len(first))], kind.field("items").type),
                         pa.array([near.get(d, []) for d in range(len(first))], kind.field("near_items").type)], schema=kind)
 
-        return blocks.mapInArrow(searched, FOUND)
+        # One run of ``searched`` for each part of a file: a batch never holds more than that part.
+        return few(blocks.mapInArrow(searched, FOUND))
 
     passes = [one_pass(part) for part in _item_parts(benchmark)]
     if len(passes) == 1:
@@ -210,7 +216,7 @@ def _covered(spans):
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = NEAR_SLACK) -> DataFrame:
     """Per document: words, hit words, spans, exact and near items and the verdict."""
-    stored = written(index(docs), "postings")
+    stored = written(index(docs), "postings", **SMALL_GROUPS)
     named = search(stored, benchmark, size, slack).withColumns({
         n: F.array_sort(F.array_distinct(F.filter(n, lambda x: x.isNotNull()))) for n in ("items", "near_items")})
     return named.withColumn("n_hit", _covered(F.col("spans"))).withColumn(
@@ -225,4 +231,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return [F.coalesce("doc_id", F.lit(-1)).alias(key[0]), version.alias(key[1])]
 
     bad = matches(docs, benchmark).filter("contaminated").select(*keys(F.col("version"))).distinct()
-    return docs.select("*", *keys(F.xxhash64("text"))).join(bad, key, "left_anti").select(*docs.columns)
+    return few(docs, PARTITIONS_PER_FILE).select("*", *keys(F.xxhash64("text"))).join(bad, key, "left_anti").select(*docs.columns)

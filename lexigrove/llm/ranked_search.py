@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lexigrove.llm.shared import CHUNK_BYTES, SMALL_GROUPS, WORD_BYTES, few, pieces, word_bytes, written
+from lexigrove.llm.shared import CHUNK_BYTES, SMALL_GROUPS, WORD_BYTES, few, pieces, places_of, word_bytes, written
 from lexigrove.session import local_table
 
 # --- fixed values: the score ---
@@ -155,11 +155,6 @@ def item_parts(items: DataFrame, most: int = ITEM_WORDS) -> Iterator[list[tuple]
         yield part
 
 
-def places_of(asked: list[bytes], terms: pa.Array) -> np.ndarray:
-    """The place of each asked term among those of a block, -1 if it is not there."""
-    return pa.compute.fill_null(pa.compute.index_in(pa.array(asked, terms.type), value_set=terms), -1).to_numpy()
-
-
 def document_frequencies(blocks: DataFrame, asked: set[bytes]) -> dict[bytes, int]:
     """In how many documents each asked term occurs; reads no list."""
     shared = blocks.sparkSession.sparkContext.broadcast(list(asked))

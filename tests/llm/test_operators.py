@@ -6,14 +6,17 @@ import re
 import zlib
 from collections import Counter
 from itertools import combinations
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from lexigrove.llm import (decontamination, graph, graph_search, jaccard_join, line_spread, mixing, notices, pairwise_quality,
-                           pseudonyms, suffix_dedup, toxicity)
+                           pseudonyms, ranked_search, suffix_dedup, toxicity)
+from lexigrove.llm.shared import SMALL_GROUPS, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, node string, version string, kept string, bucket string"
 
@@ -411,6 +414,41 @@ def test_narrow_tables_are_few_files(spark):
             spark.conf.set(k, v)
 
 
+def files_of(df):
+    return [unquote(urlparse(f).path) for f in df.inputFiles()]
+
+
+def test_indexes_are_few_files(spark, monkeypatch):
+    # Each written file starts about six processes, which count as large as their JVM while they share its memory.
+    made = {}
+    for module in (decontamination, ranked_search):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written, **options: made.setdefault(name, write(df, name, **options)))
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(60_000))) for i in range(40)], "doc_id long, text string").repartition(40).localCheckpoint()
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    found = decontamination.matches(docs, bench)
+    ranked_search.ranked(docs, bench).count()
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert found.rdd.getNumPartitions() <= most and found.count() == 40
+    for name in ("postings", "impact-lists"):
+        files = files_of(made[name])
+        assert 1 < len(files) <= most
+
+
+def test_groups_of_large_rows_are_bounded(spark):
+    rows = spark.range(40).coalesce(1).select("id", F.expr("repeat(sha2(cast(id as string), 512), 20000)").alias("text"), F.expr("transform(sequence(1, 500000), x -> cast(pmod(xxhash64(x, id), 1000000007) as int))").alias("numbers"))
+    metadata = pq.ParquetFile(files_of(written(rows, "rows", **SMALL_GROUPS))[0]).metadata
+    sizes = [metadata.row_group(i).total_byte_size for i in range(metadata.num_row_groups)]
+    assert metadata.num_rows == 40 and max(sizes) < 16 << 20
+
+
+def test_texts_left_by_decontamination_are_few_files(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(120)], "doc_id long, text string").repartition(60).localCheckpoint()
+    left = decontamination.clean(docs, spark.createDataFrame([(1, "other")], "item_id long, text string"))
+    assert left.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(120))
+
+
 def test_near_copies_meet_once_in_each_order(spark):
     # Eight nodes share 20 elements; node 7 lacks every fifth of them, node 6 shares only the last one.
     places = {n: [t for t in range(20) if not (n == 7 and t % 5 == 0 or n == 6 and t < 19)] for n in range(8)}
