@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from lexigrove.llm.shared import mixed, written
+from lexigrove.llm.shared import PARTITIONS_PER_FILE, few, mixed, written
 
 # --- fixed values: words and weights of the mix ---
 WORD = r"[^\x20\x09-\x0D]+"
@@ -235,12 +235,12 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = S
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """The mixed corpus: one row per slot with its text and the documents it comes from."""
     spark = docs.sparkSession
-    sized = counted(docs)
+    sized = counted(few(docs))
     made = plan(sized, block_words=block_words)
     sources = source_table(spark, made)
     streamed = streams(sized, sources, sized.count())
     pieces = cut(with_words(streamed, docs), block_words, F.col("all"))
     joined = filled(spark, pieces, made, shard_blocks).join(F.broadcast(sources), "source_no")
-    return joined.select(
+    return few(joined.select(
         "shard", "slot", "source", "block", F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.words").alias("piece_words"),
-        F.array_join("pieces.piece", " ").alias("text"))
+        F.array_join("pieces.piece", " ").alias("text")), PARTITIONS_PER_FILE)

@@ -449,6 +449,19 @@ def test_texts_left_by_decontamination_are_few_files(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(120))
 
 
+def test_the_mix_is_few_files(spark, docs):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        made = written(mixing.mix(docs), "mix")
+        assert len(made.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+        assert made.count() == made.select("shard", "slot").distinct().count() > 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_copies_meet_once_in_each_order(spark):
     # Eight nodes share 20 elements; node 7 lacks every fifth of them, node 6 shares only the last one.
     places = {n: [t for t in range(20) if not (n == 7 and t % 5 == 0 or n == 6 and t < 19)] for n in range(8)}
